@@ -58,7 +58,8 @@ def hash_bucket(h, bits=12) -> Column:
     return F.shiftright(h, 64 - bits)
 
 
-def running(df: DataFrame, keys, order, bucket, sums=None, maxs=None, mins=None, rank=None) -> DataFrame:
+def running(df: DataFrame, keys, order, bucket, sums=None, maxs=None, mins=None, rank=None,
+            total=None) -> DataFrame:
     """Running sums, maxima, minima and row numbers per key.
 
     ``bucket`` is a Column that never falls along ``order`` (a day, a hash prefix). ``sums``, ``maxs`` and ``mins`` map
@@ -73,12 +74,13 @@ def running(df: DataFrame, keys, order, bucket, sums=None, maxs=None, mins=None,
         work = work.withColumn(f"__v_{name}", F.col(c) if isinstance(c, str) else c)
 
     totals = work.groupBy(*keys, "__b").agg(
+        *([F.count(F.lit(1)).alias("__rows")] if total else []),
         *[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums],
         *[F.max(f"__v_{n}").alias(f"__t_{n}") for n in maxs],
         *[F.min(f"__v_{n}").alias(f"__t_{n}") for n in mins])
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *keys, "__b",
+        *keys, "__b", *([F.sum("__rows").over(Window.partitionBy(*keys)).alias(total)] if total else []),
         *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in sums],
         *[F.max(f"__t_{n}").over(before).alias(f"__c_{n}") for n in maxs],
         *[F.min(f"__t_{n}").over(before).alias(f"__c_{n}") for n in mins])

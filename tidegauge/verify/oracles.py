@@ -2,6 +2,7 @@
 
 VIEWS = {}
 ORDER = []
+MATERIALIZED = {"points", "following", "alerts"}
 
 
 def view(name, sql):
@@ -19,7 +20,7 @@ def sql(body, *names):
                 need.add(v)
                 add(VIEWS[v])
     add(body)
-    parts = [f"{v} AS ({VIEWS[v].replace('@', '')})" for v in ORDER if v in need]
+    parts = [f"{v} AS {'MATERIALIZED ' if v in MATERIALIZED else ''}({VIEWS[v].replace('@', '')})" for v in ORDER if v in need]
     recursive = "RECURSIVE " if "UNION ALL" in "".join(parts) + body else ""
     body = body.replace("@", "")
     if not parts:

@@ -1,13 +1,19 @@
 """One query per operator over the driver's tables. Times are given as epoch microseconds, floats to 6 places."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidegauge import adapters as A
-from tidegauge.config import TICK, DetectionConfig
+from tidegauge.config import TICK, DetectionConfig, FeatureConfig, TrainingConfig
 from tidegauge.functions import columns as C
-from tidegauge.operators import lists, ordered, ranking, rules, traffic
+from tidegauge.operators import evaluate, features, learn, lists, ordered, ranking, rules, status, traffic
 from tidegauge.plans import detection
-from tidegauge.plans.spread import settle
+from tidegauge.plans.spread import settle, shared_folder
+from tidegauge.schemas import ALERTS, COUNTERS, FEATURES, FLAG_COUNTERS
+from tidegauge.sources.flows import sample_per_group, union_flows
+from tidegauge.sources.tables import to_metric_rows
+from tidegauge.streaming import jobs, processors
 
 TICK_SECONDS = 21_600.0
 PER_TICK = {"tick_seconds": TICK_SECONDS, "attack_pps": 52 / TICK_SECONDS, "alert_pps": 45 / TICK_SECONDS,
@@ -377,7 +383,461 @@ def d20_alert_rollup(spark, sf):
     return _out(df, "span_start", "type", "severity", "alerts")
 
 
+def i11_combine_scores(spark, sf):
+    scores = _scored(spark, sf)
+    ml = scores.filter(F.col("n") % 5 != 0).select(
+        "link_id", "tick_start", (F.col("n") % 3 == 0).alias("is_attack"),
+        (50 + F.col("packets") * 7 % 51).cast("double").alias("confidence"),
+        F.lit(0.5).alias("attack_probability"), F.lit("SYN_Flood").alias("attack_type"))
+    df = rules.combine_scores(settle(scores), ml, cfg=CFG)
+    return _out(df, "link_id", "tick_start", "score", "is_anomaly", "ml_prediction", "ml_confidence", "attack_type",
+                "detection_source", reasons=F.size("reasons").cast("long"), metrics=F.size("metrics").cast("long"))
+
+
+def i14_decision_matrix(spark, sf):
+    i = F.col("event_id")
+    df = A.read(spark, sf, "events").select(
+        (i % 101).alias("s"), (i % 97 + 4).alias("m"), (i % 89).alias("c"))
+    return (df.groupBy(rules.decision_matrix("s", "m", "c").alias("decision")).agg(F.count(F.lit(1)).alias("rows")))
+
+
+def d17_scoring_tally(spark, sf):
+    scores = settle(_scored(spark, sf))
+    ml = scores.filter(F.col("n") % 5 != 0).select(
+        "link_id", "tick_start", (F.col("n") % 3 == 0).alias("is_attack"), F.lit(80.0).alias("confidence"),
+        F.lit(0.5).alias("attack_probability"), F.lit("SYN_Flood").alias("attack_type"))
+    return rules.scoring_tally(rules.combine_scores(scores, ml, cfg=CFG))
+
+
+# -- profile ---------------------------------------------------------------------------------------
+
+def _rates(spark, sf, seconds=TICK_SECONDS):
+    return ordered.tick_rates(traffic.protocol_ratios(traffic.tick_counters(_admitted(spark, sf), seconds)))
+
+
+_PROFILE = ["avg_pps", "peak_pps", "avg_bps", "peak_bps", "tcp_ratio", "udp_ratio", "icmp_ratio", "learning_samples"]
+
+
+def d11_learn_profile(spark, sf):
+    return _out(ordered.learn_profile(_rates(spark, sf), CFG.learning_seconds), "link_id", *_PROFILE)
+
+
+def d21_relearn_profile(spark, sf):
+    df = ordered.learn_profile(_rates(spark, sf), CFG.learning_seconds, "2024-01-15 03:00:00")
+    return _out(df, "link_id", *_PROFILE, "learn_start")
+
+
+def e7_adapt_profile(spark, sf):
+    rates = settle(_rates(spark, sf))
+    profile = ordered.learn_profile(rates, CFG.learning_seconds)
+    df = ordered.adapt_profile(rates, profile, CFG.learning_seconds)
+    return _out(df, "link_id", "tick_start", "avg_pps", "avg_bps", "peak_pps", "peak_bps")
+
+
+def e7_current_profile(spark, sf):
+    rates = settle(_rates(spark, sf))
+    profile = ordered.learn_profile(rates, CFG.learning_seconds)
+    df = ordered.current_profile(rates, profile, CFG.learning_seconds)
+    return _out(df, "link_id", "avg_pps", "avg_bps", "peak_pps", "peak_bps", "last_updated")
+
+
+def a13_metric_rows(spark, sf):
+    totals = _rates(spark, sf).groupBy("link_id").agg(
+        *[F.sum(c).alias(c) for c in ("packets", "bytes", "dropped_packets", "tcp_packets", "udp_packets")])
+    host = (ordered.host_summary(A.host_metrics(spark, sf))
+            .select("link_id", F.col("avg_cpu_percent").alias("cpu_percent"),
+                    F.col("avg_memory_percent").alias("memory_percent")))
+    up = status.uptime(_rates(spark, sf))
+    rows = to_metric_rows(totals.join(host, "link_id").join(up, "link_id"))
+    return _out(rows, "link_id", "name", "type", "help", "value")
+
+
+# -- H: features -----------------------------------------------------------------------------------
+
+FEATURE_WINDOW = FeatureConfig(window_samples=40)
+
+
+def _feature_ticks(spark, sf):
+    sources = traffic.source_ticks(_admitted(spark, sf), TICK_SECONDS)
+    cols = ["packets", "bytes", "tcp_packets", *FLAG_COUNTERS]
+    return (sources.groupBy("link_id", "tick_start").agg(*[F.sum(f"all_{c}").alias(c) for c in cols])
+            .withColumn("tick_seconds", F.lit(TICK_SECONDS)))
+
+
+def b16_split_fwd_bwd(spark, sf):
+    frame = features.feature_frame(_feature_ticks(spark, sf), FEATURE_WINDOW)
+    return _out(frame, "link_id", "tick_start", "fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes")
+
+
+def e12_feature_frame(spark, sf):
+    frame = features.feature_frame(_feature_ticks(spark, sf), FEATURE_WINDOW, chunk=50)
+    return _out(frame, "link_id", "tick_start", "bf_max", "bf_min", "bf_mean", "bf_std", "iat_mean", "window_samples")
+
+
+def h1_h19_flow_features(spark, sf):
+    df = features.flow_features(settle(_feature_ticks(spark, sf)), FEATURE_WINDOW, chunk=50)
+    return _out(df, "link_id", "tick_start", *FEATURES)
+
+
+def h1_h19_flow_features_default(spark, sf):
+    df = features.flow_features(settle(_feature_ticks(spark, sf)))
+    return _out(df, "link_id", "tick_start", *FEATURES)
+
+
+def h20_source_windows(spark, sf):
+    df = features.source_windows(_sources(spark, sf), 10, chunk=12)
+    return _out(df, "link_id", "tick_start", "src_ip", "window_packets", "window_bytes", "window_ticks", "first_seen")
+
+
+def h20_flow_counts(spark, sf):
+    return _out(features.flow_counts(_sources(spark, sf)), "link_id", "tick_start", "flow_count")
+
+
+def h21_feature_summary(spark, sf):
+    frame = features.feature_frame(settle(_feature_ticks(spark, sf)), FEATURE_WINDOW)
+    df = features.feature_summary(frame, features.flow_counts(_sources(spark, sf)))
+    return _out(df, "link_id", "tick_start", "total_fwd_packets", "total_bwd_packets", "total_fwd_bytes",
+                "total_bwd_bytes", "window_samples", "unique_flows", "Flow Bytes/s", "Flow Packets/s",
+                "SYN Flag Count", "ACK Flag Count")
+
+
+def h22_feature_epochs(spark, sf):
+    resets = (A.read(spark, sf, "events").filter(F.col("user_id") < 2)
+              .select(A._link(), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("reset_at")).distinct())
+    df = features.mark_epochs(_feature_ticks(spark, sf), resets)
+    out = features.flow_features(settle(df), FEATURE_WINDOW, keys=["link_id", "epoch_id"])
+    return _out(out, "link_id", "epoch_id", "tick_start", "Flow Duration", "Total Fwd Packets", "SYN Flag Count",
+                "Flow IAT Mean")
+
+
+def h_flow_features_true(spark, sf):
+    df = features.flow_features_true(_admitted(spark, sf).withColumn("src_port", F.lit(0)))
+    return _out(df, "link_id", "low_ip", "low_port", "high_ip", "high_port", "protocol", "Flow Duration",
+                "Total Fwd Packets", "Total Backward Packets", "Total Length of Fwd Packets", "Flow IAT Mean",
+                "Fwd IAT Total", "Packet Length Mean", "Packet Length Std", "SYN Flag Count", "Fwd PSH Flags")
+
+
+# -- D12-D19: prediction scores --------------------------------------------------------------------
+
+def d12_label_counts(spark, sf):
+    return evaluate.label_counts(A.labelled_flows(spark, sf))
+
+
+def d13_confusion(spark, sf):
+    return evaluate.confusion(A.predictions(spark, sf))
+
+
+def d13_confusion_matrix(spark, sf):
+    return (evaluate.confusion_matrix(A.predictions(spark, sf), [0, 1])
+            .withColumnsRenamed({"0": "predicted_0", "1": "predicted_1"}))
+
+
+def d14_accuracy(spark, sf):
+    return _out(evaluate.accuracy(A.predictions(spark, sf)), "accuracy")
+
+
+def d15_weighted_scores(spark, sf):
+    return _out(evaluate.weighted_scores(A.predictions(spark, sf)), "precision", "recall", "f1")
+
+
+def d16_class_report(spark, sf):
+    return _out(evaluate.class_report(A.predictions(spark, sf)), "class", "precision", "recall", "f1", "support")
+
+
+def d19_binary_rates(spark, sf):
+    return _out(evaluate.binary_rates(A.predictions(spark, sf)), "tpr", "tnr", "fpr", "precision", "f1")
+
+
+# -- J: learning -----------------------------------------------------------------------------------
+
+def _prepared(spark, sf):
+    return learn.prepare_flows(A.labelled_flows(spark, sf))
+
+
+def _flow_columns():
+    return ["Flow Duration", "Total Fwd Packets", "Total Backward Packets", "Total Length of Fwd Packets",
+            "Total Length of Bwd Packets", "Flow Bytes/s", "SYN Flag Count", "ACK Flag Count"]
+
+
+def a6_sample_per_group(spark, sf):
+    df = sample_per_group(A.labelled_flows(spark, sf), "source_file", 500)
+    return df.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def b8_encode_multiclass(spark, sf):
+    df, encoder = learn.encode_multiclass(A.labelled_flows(spark, sf))
+    named = learn.decode_multiclass(df, encoder)
+    return named.groupBy("label", "code", "name").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def b17_attack_type(spark, sf):
+    df = (A.labelled_flows(spark, sf).withColumn("Flow Packets/s", F.col("Total Fwd Packets") * 300)
+          .withColumn("Flow Bytes/s", F.col("`Flow Bytes/s`") * 100))
+    kind = C.infer_attack_type(is_attack=~C.is_benign("label"))
+    return df.groupBy(kind.alias("attack_type")).agg(F.count(F.lit(1)).alias("flows"))
+
+
+def f6_shuffle(spark, sf):
+    df = ranking.shuffle_rows(A.labelled_flows(spark, sf))
+    return df.groupBy("label", "source_file").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def g1_union_flows(spark, sf):
+    flows = A.labelled_flows(spark, sf)
+    df = union_flows([flows, flows.drop("ACK Flag Count")])
+    return df.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"), F.count("ACK Flag Count").alias("acks"))
+
+
+def g6_dedupe_flows(spark, sf):
+    return learn.dedupe_flows(A.labelled_flows(spark, sf).select("Flow Duration", "SYN Flag Count", "label"))
+
+
+def j1_prepare_flows(spark, sf):
+    odd = (F.when(F.col("SYN Flag Count") % 7 == 0, float("inf")).when(F.col("SYN Flag Count") % 11 == 0, float("nan"))
+           .otherwise(F.col("`Flow Bytes/s`")))
+    df = A.labelled_flows(spark, sf).withColumn("Flow Bytes/s", odd)
+    df = df.withColumnsRenamed({"label": " Label", "SYN Flag Count": " SYN Flag Count"})
+    return _out(learn.prepare_flows(df), *_flow_columns(), "label", "source_file")
+
+
+def j2_balance(spark, sf):
+    return (learn.balance(_prepared(spark, sf), 0.3).groupBy("label").agg(F.count(F.lit(1)).alias("rows")))
+
+
+def j3_split(spark, sf):
+    return (learn.split(_prepared(spark, sf)).groupBy("label", "split").agg(F.count(F.lit(1)).alias("rows")))
+
+
+def j4_split(spark, sf):
+    return (learn.split(_prepared(spark, sf), (0.7, 0.15, 0.15)).groupBy("label", "split")
+            .agg(F.count(F.lit(1)).alias("rows")))
+
+
+def j5_scale_pop(spark, sf):
+    return _out(learn.scale_pop(_prepared(spark, sf), _flow_columns()), *_flow_columns(), "label")
+
+
+def j8_class_weights(spark, sf):
+    df = A.labelled_flows(spark, sf).withColumn("code", C.encode_binary())
+    return _out(learn.class_weights(df, "code"), "code", "rows", "weight")
+
+
+SMALL = TrainingConfig(num_trees=10, max_depth=5)
+
+
+def _trained(spark, sf, cfg=SMALL):
+    parts = settle(learn.split(_prepared(spark, sf)))
+    rows = {s: parts.filter(F.col("split") == s) for s in learn.SPLITS}
+    model, metrics = learn.train(rows["train"], cfg, rows["val"])
+    return model, metrics, rows
+
+
+def j6_random_forest(spark, sf):
+    return _trained(spark, sf)[1]
+
+
+def j7_gradient_boosting(spark, sf):
+    return _trained(spark, sf, TrainingConfig("gradient_boosting", num_trees=5, max_depth=4))[1]
+
+
+def j17_decision_tree(spark, sf):
+    return _trained(spark, sf, TrainingConfig("tree", max_depth=10))[1]
+
+
+def j9_predict(spark, sf):
+    model, _, rows = _trained(spark, sf)
+    df = learn.predict(model, rows["test"])
+    return df.groupBy("label", "is_attack", "attack_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def j11_predict_untrained(spark, sf):
+    df = learn.predict(None, A.labelled_flows(spark, sf))
+    return df.groupBy("is_attack", "attack_type", "confidence").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def j14_train_job(spark, sf):
+    _, _, tables = learn.train_job(spark, A.labelled_flows(spark, sf),
+                                   TrainingConfig(num_trees=10, max_depth=5, samples_per_file=None))
+    return tables["test_report"]
+
+
+def f5_feature_importance(spark, sf):
+    return learn.feature_importance(spark, _trained(spark, sf)[0], 10)
+
+
+def j16_select_by_anova(spark, sf):
+    names = learn.select_by_anova(_prepared(spark, sf), 3)
+    return spark.createDataFrame([(n,) for n in names], "feature string")
+
+
+def j19_mine_signatures(spark, sf):
+    df = A.labelled_flows(spark, sf).withColumn(
+        "attack_type", F.when(C.is_benign("label"), "BENIGN").otherwise(C.norm_label("label")))
+    df = df.withColumn("confidence", F.col("ACK Flag Count") * 2)
+    out = learn.mine_signatures(df, ["Total Fwd Packets", "SYN Flag Count"], exact=True)
+    return _out(out, "attack_type", "matched", "false_rate", "keep", low_0=F.get("low", F.lit(0)),
+                high_1=F.get("high", F.lit(1)))
+
+
+def j20_apply_rules(spark, sf):
+    df = (A.labelled_flows(spark, sf)
+          .withColumn("Total Fwd Packets", F.col("Total Fwd Packets") * 10)
+          .withColumn("Down/Up Ratio", F.col("Total Backward Packets") / F.col("Total Fwd Packets") * 5)
+          .withColumn("Flow Packets/s", F.col("SYN Flag Count"))
+          .withColumn("Packet Length Variance", F.col("ACK Flag Count")))
+    return (learn.apply_rules(df).groupBy(F.concat_ws(",", "matched_rules").alias("matched_rules"))
+            .agg(F.count(F.lit(1)).alias("flows")))
+
+
+def j21_token_bucket(spark, sf):
+    state = F.when(F.col("src_ip") % 3 == 0, "attack").when(F.col("src_ip") % 3 == 1, "anomaly").otherwise("benign")
+    df = _admitted(spark, sf).withColumn("ts", F.date_trunc("day", "ts")).withColumn("state", state)
+    return _out(learn.token_bucket(df, rates={"benign": 3, "anomaly": 2, "attack": 1}), "seq", "shaped")
+
+
+# -- L: status -------------------------------------------------------------------------------------
+
+def _based(spark, sf):
+    return ordered.baseline(settle(_ticks(spark, sf)), CFG.baseline_samples)
+
+
+def l2_baseline_info(spark, sf):
+    return _out(status.baseline_info(_based(spark, sf)), "link_id", "mean_pps", "std_pps", "mean_bps", "std_bps",
+                "mean_tcp_ratio", "mean_udp_ratio", "mean_icmp_ratio", "samples", "last_updated")
+
+
+def l4_status_lines(spark, sf):
+    return _out(status.status_lines(_based(spark, sf)), "link_id", "tick_start", "line")
+
+
+def l5_uptime(spark, sf):
+    return _out(status.uptime(_ticks(spark, sf)), "link_id", "uptime_seconds")
+
+
+def k13_attack_episodes(spark, sf):
+    df = status.attack_episodes(_scored(spark, sf), 86_400.0)
+    return _out(df, "link_id", "episode", "started", "ended", "ticks", "max_score")
+
+
+def l1_status_snapshot(spark, sf):
+    scores = settle(_scored(spark, sf))
+    alerts = rules.to_alerts(scores, CFG)
+    rates = settle(_rates(spark, sf))
+    profile = ordered.learn_profile(rates, CFG.learning_seconds)
+    df = status.status_snapshot(scores, traffic.ip_stats(_admitted(spark, sf)), A.blacklist(spark, sf), alerts, profile,
+                                "2024-01-25 00:00:00", cfg=CFG)
+
+    def joined(c, field):
+        return F.concat_ws(",", F.transform(c, lambda x: x[field].cast("string")))
+    return _out(df, "link_id", "as_of", "current_pps", "current_bps", packets=F.col("statistics.packets"),
+                mean_pps=F.col("baseline.mean_pps"), avg_pps=F.col("profile.avg_pps"),
+                blocked=F.size("blacklist").cast("long"), alerts=F.size("recent_alerts").cast("long"),
+                top=joined("top_sources", "src_ip"), severities=joined("recent_alerts", "severity"))
+
+
+def l3_ml_stats(spark, sf):
+    scores = settle(_scored(spark, sf))
+    ml = scores.select("link_id", "tick_start", (F.col("n") % 2 == 0).alias("is_attack"), F.lit(80.0).alias("confidence"),
+                       F.lit(0.5).alias("attack_probability"), F.lit("SYN_Flood").alias("attack_type"))
+    return status.ml_stats(rules.combine_scores(scores, ml, cfg=CFG))
+
+
+# -- K: streams ------------------------------------------------------------------------------------
+
+def _work(spark):
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _stream(spark, sf, adapter=A.packets):
+    """The driver's event table as a stream through the same adapter."""
+    class Streamed:
+        conf = spark.conf
+        read = None
+
+    schema = A.read(spark, sf, "events").schema
+    Streamed.read = spark.readStream.schema(schema)
+    return adapter(Streamed, sf)
+
+
+def _run(spark, df, mode="append"):
+    """Run a stream over everything there is and read its result."""
+    folder = _work(spark)
+    q = (df.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out")
+         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+def _streamed_packets(spark, sf):
+    processors.use_rocksdb(spark)
+    return traffic.admit(_stream(spark, sf))
+
+
+def k1_stream_ticks(spark, sf):
+    df = _run(spark, jobs.stream_ticks(_streamed_packets(spark, sf), TICK_SECONDS))
+    return _out(df, "link_id", "tick_start", *COUNTERS)
+
+
+def k2_stream_ip_stats(spark, sf):
+    df = _run(spark, jobs.stream_ip_stats(_streamed_packets(spark, sf), TICK_SECONDS))
+    return _out(df, "link_id", "tick_start", "src_ip", "packets", "bytes", "syn_count", "udp_count")
+
+
+def k3_stream_baseline(spark, sf):
+    rates = jobs.stream_rates(_streamed_packets(spark, sf), TICK_SECONDS)
+    df = _run(spark, processors.stream_baseline(rates, 40))
+    return _out(df, "link_id", "tick_start", "samples", "mean_pps", "std_pps", "pps_sigma", "change_rate")
+
+
+def k4_stream_scores(spark, sf):
+    folder = _work(spark)
+    jobs.stream_scores(_streamed_packets(spark, sf), f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint",
+                       CFG).awaitTermination()
+    return _score_out(spark.read.parquet(f"{folder}/out"))
+
+
+def k5_stream_cooldown(spark, sf):
+    processors.use_rocksdb(spark)
+    df = processors.stream_cooldown(_stream(spark, sf, A.alert_candidates), 3600.0, "ts")
+    return _out(_run(spark, df), "link_id", "type", "seq", "timestamp")
+
+
+def k6_closed_loop(spark, sf):
+    folder = _work(spark)
+    q = jobs.run_closed_loop(_streamed_packets(spark, sf), f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint",
+                             CFG)
+    q.awaitTermination()
+    return _out(spark.read.schema(ALERTS).json(f"{folder}/out/alerts"), "timestamp", "type", "severity", "message")
+
+
+def k7_stream_profile(spark, sf):
+    rates = jobs.stream_rates(_streamed_packets(spark, sf), TICK_SECONDS)
+    df = _run(spark, processors.stream_profile(rates, CFG.learning_seconds))
+    return _out(df, "link_id", "tick_start", "avg_pps", "peak_pps", "avg_bps", "peak_bps", "learning_samples")
+
+
+def k8_stream_features(spark, sf):
+    folder = _work(spark)
+    jobs.stream_features(_streamed_packets(spark, sf), f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint",
+                         TICK_SECONDS, cfg=FEATURE_WINDOW).awaitTermination()
+    return _out(spark.read.parquet(f"{folder}/out"), "link_id", "tick_start", *FEATURES)
+
+
+def k12_sliding_counters(spark, sf):
+    df = _run(spark, jobs.sliding_counters(_streamed_packets(spark, sf), 86_400.0, TICK_SECONDS))
+    return _out(df, "link_id", "window_start", "packets", "bytes")
+
+
+def k13_stream_episodes(spark, sf):
+    """Sessions of error events per link."""
+    processors.use_rocksdb(spark)
+    df = (_stream(spark, sf, A.alert_candidates)
+          .select("link_id", F.col("ts").alias("tick_start"), (F.col("type") == "error").alias("is_anomaly"),
+                  F.lit(50.0).alias("score")))
+    out = _run(spark, jobs.stream_episodes(df, "1 hour"))
+    return _out(out, "link_id", "started", "closed", "ticks")
+
+
 def all_queries():
-    skip = {"all_queries", "settle"}
-    return {n: f for n, f in globals().items()
-            if callable(f) and not n.startswith("_") and n not in skip and getattr(f, "__module__", "") == __name__}
+    own = {n: f for n, f in globals().items() if not n.startswith("_") and n != "all_queries"}
+    return {n: f for n, f in own.items() if callable(f) and getattr(f, "__module__", "") == __name__}
