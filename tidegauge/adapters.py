@@ -17,12 +17,22 @@ def _ts():
     return F.col("ts").cast("timestamp").alias("ts")
 
 
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream."""
+    schema = read(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 def packets(spark, sf_dir) -> DataFrame:
+    return packets_of(read(spark, sf_dir, "events"))
+
+
+def packets_of(events: DataFrame) -> DataFrame:
     """Two links; sources are users; ports, flags and header checks follow from ids."""
     kind = F.col("event_type")
     number = (F.when(kind.isin("click", "view"), 6).when(kind == "purchase", 17)
               .when(kind == "signup", 1).otherwise(47))
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         _link(), _ts(), F.col("event_id").alias("seq"), F.col("user_id").alias("src_ip"),
         (F.get_json_object("props", "$.k").cast("long") % 8).alias("dst_ip"),
         (1024 + F.col("event_id") % 60000).cast("int").alias("src_port"),
@@ -68,7 +78,12 @@ def counters(spark, sf_dir) -> DataFrame:
 
 
 def alert_candidates(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "events").select(
+    return alert_candidates_of(read(spark, sf_dir, "events"))
+
+
+def alert_candidates_of(events: DataFrame) -> DataFrame:
+    """One alert type per event type."""
+    return events.select(
         _link(), F.col("event_type").alias("type"), _ts(), F.col("event_id").alias("seq"))
 
 

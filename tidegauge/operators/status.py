@@ -97,6 +97,8 @@ def status_snapshot(scores: DataFrame, sources: DataFrame, blacklist: DataFrame,
     out = totals
     for part in (now, base, prof, blocked, recent, top):
         out = key_join(out, part, LINK, "left")
+    for name in ("blacklist", "recent_alerts", "top_sources"):
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
     out = out.select(*[c for c in out.columns if c != "__now"], "__now.*")
     if importance is not None:
         best = importance.limit(10).collect()  # ten rows

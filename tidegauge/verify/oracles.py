@@ -10,7 +10,7 @@ def view(name, sql):
     ORDER.append(name)
 
 
-def sql(body, *names):
+def sql(body):
     """``body`` with the named views, and the views those use, in front of it."""
     need = set()
 
@@ -255,7 +255,6 @@ _KNOWN = ["BENIGN", "DrDoS_DNS", "DrDoS_LDAP", "DrDoS_MSSQL", "DrDoS_NTP", "DrDo
           "DrDoS_UDP", "Syn", "TFTP", "UDP-lag", "WebDDoS", "Portmap", "NetBIOS", "LDAP", "MSSQL", "UDP"]
 _LABEL_ID = "CASE trim(label) " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(_KNOWN)) + " END"
 
-_HUMAN = """CASE WHEN n >= {g} THEN printf('%.2f', {gx}) || '{gs}'"""
 
 
 def _two(x):
@@ -408,3 +407,300 @@ SELECT s.*, ROW_NUMBER() OVER (PARTITION BY s.link_id, s.tick ORDER BY s.packets
 JOIN @kept_minute k ON k.link_id = s.link_id AND k.ts = s.tick) WHERE r <= 5 AND packets > 3""")
 query("f4_recent_alerts", "SELECT link_id, epoch_us(ts) AS timestamp_us, severity FROM @alerts ORDER BY ts DESC, link_id LIMIT 10")
 query("d20_alert_rollup", """SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS span_start_us, type, severity, COUNT(*) AS alerts FROM @alerts GROUP BY 1, 2, 3""")
+
+# -- merge, tally, decisions -----------------------------------------------------------------------
+
+_ML = """SELECT s.*, CASE WHEN n % 5 <> 0 THEN n % 3 = 0 END AS ml, CASE WHEN n % 5 <> 0 THEN {conf} END AS conf FROM @scores s"""
+view("mlscores", _ML.format(conf="50 + (packets * 7) % 51"))
+query("i11_combine_scores", """SELECT link_id, epoch_us(tick) AS tick_start_us,
+       round(CASE WHEN ml IS NULL THEN score ELSE LEAST(100, comb) END, 6) AS score,
+       CASE WHEN ml IS NULL THEN is_anomaly WHEN ml AND conf >= 85 OR is_anomaly AND ml OR is_anomaly AND score >= 70
+              OR ml AND conf >= 70 OR comb >= 60 THEN TRUE ELSE is_anomaly END AS is_anomaly,
+       ml AS ml_prediction, round(COALESCE(conf, 0)::DOUBLE, 6) AS ml_confidence,
+       CASE WHEN ml IS NULL THEN 'UNKNOWN' WHEN ml THEN 'SYN_Flood' ELSE 'BENIGN' END AS attack_type,
+       CASE WHEN ml IS NULL THEN 'statistical' WHEN ml AND conf >= 85 THEN 'ml' WHEN is_anomaly AND ml THEN 'hybrid'
+            WHEN is_anomaly AND score >= 70 THEN 'statistical' WHEN ml AND conf >= 70 THEN 'ml'
+            WHEN comb >= 60 THEN 'hybrid' ELSE 'statistical' END AS detection_source,
+       CAST(CASE WHEN reasons = '' THEN 0 ELSE length(reasons) - length(replace(reasons, '|', '')) + 1 END
+            + COALESCE(ml, FALSE)::INT AS BIGINT) AS reasons,
+       CAST(CASE WHEN n = 1 THEN 0 ELSE 2 + (pps_sigma IS NOT NULL)::INT + (change_rate IS NOT NULL)::INT
+              + 3 * (proto_packets > 0)::INT + 2 * (sources > 0)::INT END + 2 * (ml IS NOT NULL)::INT AS BIGINT) AS metrics
+FROM (SELECT *, score + CASE WHEN ml THEN conf * 0.3::DOUBLE ELSE 0 END AS comb FROM @mlscores)""")
+query("i14_decision_matrix", """SELECT CASE WHEN s >= 70 AND m >= 85 THEN 'HIGH CONFIDENCE ATTACK' WHEN s >= 70 OR m >= 85 THEN 'MEDIUM CONFIDENCE'
+       WHEN c >= 60 THEN 'PROBABLE ATTACK' ELSE 'BENIGN' END AS decision, COUNT(*) AS rows
+FROM (SELECT event_id % 101 AS s, event_id % 97 + 4 AS m, event_id % 89 AS c FROM events) GROUP BY 1""")
+query("d17_scoring_tally", """SELECT link_id, COUNT(ml) AS ml_predictions, COUNT(*) FILTER (ml) AS ml_attacks,
+       COUNT(*) FILTER (CASE WHEN ml IS NULL THEN is_anomaly WHEN ml THEN TRUE WHEN is_anomaly AND score >= 70 THEN TRUE
+                             WHEN score >= 60 THEN TRUE ELSE is_anomaly END) AS anomalies
+FROM @mlscores GROUP BY 1""")
+
+# -- profile ---------------------------------------------------------------------------------------
+
+
+def _learned(since):
+    return f"""
+SELECT link_id, AVG(pps) AS avg_pps, MAX(pps) AS peak_pps, AVG(bps) AS avg_bps, MAX(bps) AS peak_bps,
+       arg_max(tcp_ratio, tick) AS tcp_ratio, arg_max(udp_ratio, tick) AS udp_ratio, arg_max(icmp_ratio, tick) AS icmp_ratio,
+       COUNT(*) AS learning_samples, MIN(t0) AS learn_start
+FROM (SELECT *, MIN(tick) OVER (PARTITION BY link_id) AS t0 FROM @ticks WHERE tick >= TIMESTAMP '{since}')
+WHERE tick < t0 + INTERVAL 7 DAY GROUP BY 1"""
+
+
+view("learned", _learned("1970-01-01"))
+view("relearned", _learned("2024-01-15 03:00:00"))
+_PROFILE = """SELECT link_id, round(avg_pps, 6) AS avg_pps, round(peak_pps, 6) AS peak_pps, round(avg_bps, 6) AS avg_bps,
+       round(peak_bps, 6) AS peak_bps, round(tcp_ratio, 6) AS tcp_ratio, round(udp_ratio, 6) AS udp_ratio,
+       round(icmp_ratio, 6) AS icmp_ratio, learning_samples"""
+query("d11_learn_profile", _PROFILE + " FROM @learned")
+query("d21_relearn_profile", _PROFILE + ", epoch_us(learn_start) AS learn_start_us FROM @relearned")
+view("later", """
+SELECT link_id, tick, pps, bps, i, p0, b0, pk, bk
+FROM (SELECT t.link_id, t.tick, t.pps, t.bps, l.avg_pps AS p0, l.avg_bps AS b0, l.peak_pps AS pk, l.peak_bps AS bk,
+             ROW_NUMBER() OVER (PARTITION BY t.link_id ORDER BY t.tick) - 1 AS i
+      FROM @ticks t JOIN @learned l ON l.link_id = t.link_id AND t.tick >= l.learn_start + INTERVAL 7 DAY)""")
+MATERIALIZED.add("later")
+view("ema", """
+SELECT link_id, tick, i, p0 AS ap, b0 AS ab, pk, bk FROM @later WHERE i = 0
+UNION ALL
+SELECT l.link_id, l.tick, l.i, 0.95::DOUBLE * e.ap + 0.05::DOUBLE * l.pps, 0.95::DOUBLE * e.ab + 0.05::DOUBLE * l.bps,
+       GREATEST(e.pk, l.pps), GREATEST(e.bk, l.bps)
+FROM ema e JOIN @later l ON l.link_id = e.link_id AND l.i = e.i + 1""")
+_EMA = "round(ap, 6) AS avg_pps, round(ab, 6) AS avg_bps, round(pk, 6) AS peak_pps, round(bk, 6) AS peak_bps"
+query("e7_adapt_profile", f"SELECT link_id, epoch_us(tick) AS tick_start_us, {_EMA} FROM @ema WHERE i > 0")
+query("e7_current_profile", f"""SELECT link_id, {_EMA}, epoch_us(tick) AS last_updated_us FROM @ema
+WHERE (link_id, i) IN (SELECT link_id, MAX(i) FROM @ema GROUP BY 1)""")
+_METRIC_ROWS = [
+    ("ddos_total_packets", "counter", "Total packets processed", "p"), ("ddos_total_bytes", "counter", "Total bytes processed", "b"),
+    ("ddos_dropped_packets", "counter", "Packets dropped", "0"), ("ddos_tcp_packets", "counter", "TCP packets", "t"),
+    ("ddos_udp_packets", "counter", "UDP packets", "u"), ("ddos_cpu_percent", "gauge", "CPU usage percentage", "c"),
+    ("ddos_memory_percent", "gauge", "Memory usage percentage", "m"), ("ddos_uptime_seconds", "counter", "System uptime in seconds", "s")]
+query("a13_metric_rows", """WITH t AS (SELECT k.*, h.c, h.m FROM
+ (SELECT link_id, SUM(packets) AS p, SUM(bytes) AS b, SUM(tcp_packets) AS t, SUM(udp_packets) AS u,
+         (epoch_us(MAX(tick)) - epoch_us(MIN(tick))) / 1000000.0::DOUBLE AS s FROM @counts GROUP BY 1) k
+ JOIN (SELECT link_id, AVG(cpu_percent) AS c, AVG(memory_percent) AS m FROM
+       (SELECT *, ROW_NUMBER() OVER (PARTITION BY link_id ORDER BY ts DESC, seq DESC) AS i FROM @host_metrics) WHERE i <= 60 GROUP BY 1) h
+   ON h.link_id = k.link_id)
+""" + " UNION ".join(f"SELECT link_id, '{n}' AS name, '{k}' AS type, '{h}' AS help, round(CAST({c} AS DOUBLE), 6) AS value FROM t"
+                      for n, k, h, c in _METRIC_ROWS))
+
+# -- features --------------------------------------------------------------------------------------
+
+_FLAGS = {"fin": 1, "syn": 2, "rst": 4, "psh": 8, "ack": 16, "urg": 32}
+view("fticks", "SELECT link_id, tick, COUNT(*) AS packets, SUM(bytes) AS bytes, COUNT(*) FILTER (protocol = 6) AS tcp, "
+     + ", ".join(f"COUNT(*) FILTER ((tcp_flags & {b}) <> 0) AS {f}" for f, b in _FLAGS.items()) + " FROM @adm GROUP BY 1, 2")
+view("resets", """SELECT DISTINCT 'link' || CAST(user_id % 2 AS VARCHAR) AS link_id, date_trunc('day', ts) AS reset_at
+FROM events WHERE user_id < 2""")
+view("epticks", """SELECT *, (SELECT COUNT(*) FROM @resets r WHERE r.link_id = t.link_id AND r.reset_at <= t.tick) AS epoch_id FROM @fticks t""")
+
+
+def _moments(table, frame, key="link_id"):
+    series = "".join(
+        f", SUM({c}) OVER w AS {n}_sum, MAX({c}) OVER w AS {n}_max, MIN({c}) OVER w AS {n}_min, AVG({c}) OVER w AS {n}_mean, "
+        f"STDDEV_POP({c}) OVER w AS {n}_std, VAR_POP({c}) OVER w AS {n}_var"
+        for n, c in (("bf", "fb"), ("bb", "bb"), ("iat", "iat"), ("pf", "fp"), ("pb", "bp")))
+    flags = "".join(f", SUM({f}) OVER e AS c_{f}" for f in _FLAGS)
+    return f"""
+SELECT *, GREATEST(d / 1000000.0::DOUBLE, 0.001) AS s,
+       (bf_sum + bb_sum) / (2.0::DOUBLE * ws) AS pmean,
+       (bf_var + bb_var) / 2 + ((bf_mean - bb_mean) / 2) * ((bf_mean - bb_mean) / 2) AS pvar
+FROM (SELECT *{series}{flags}, COUNT(*) OVER w AS ws,
+             (epoch_us(tick) - epoch_us(MIN(tick) OVER (PARTITION BY {key}))) + 21600000000.0::DOUBLE AS d
+      FROM (SELECT *, CAST(trunc(packets * r) AS BIGINT) AS fp, packets - CAST(trunc(packets * r) AS BIGINT) AS bp,
+                   CAST(trunc(bytes * r) AS BIGINT) AS fb, bytes - CAST(trunc(bytes * r) AS BIGINT) AS bb,
+                   (epoch_us(tick) - epoch_us(LAG(tick) OVER (PARTITION BY {key} ORDER BY tick))) / 1000.0::DOUBLE AS iat
+            FROM (SELECT *, CASE WHEN SUM(tcp) OVER k / SUM(packets) OVER k > 0.5 THEN 0.6::DOUBLE ELSE 0.8::DOUBLE END AS r
+                  FROM @{table} WINDOW k AS (PARTITION BY {key} ORDER BY tick)))
+      WINDOW w AS (PARTITION BY {key} ORDER BY tick ROWS BETWEEN {frame} PRECEDING AND CURRENT ROW),
+             e AS (PARTITION BY {key} ORDER BY tick))"""
+
+
+view("frame40", _moments("fticks", 39))
+view("frame1000", _moments("fticks", 999))
+view("epframe", _moments("epticks", 39, "link_id, epoch_id"))
+
+_FEATURE_SQL = {
+    "Flow Duration": "d", "Total Fwd Packets": "pf_sum", "Total Backward Packets": "pb_sum",
+    "Total Length of Fwd Packets": "bf_sum", "Total Length of Bwd Packets": "bb_sum",
+    "Flow Bytes/s": "(bf_sum + bb_sum) / s", "Flow Packets/s": "(pf_sum + pb_sum) / s",
+    "Fwd Header Length": "pf_sum * 40", "Bwd Header Length": "pb_sum * 40", "Fwd Packets/s": "pf_sum / s",
+    "Bwd Packets/s": "pb_sum / s", "Min Packet Length": "LEAST(bf_min, bb_min)",
+    "Max Packet Length": "GREATEST(bf_max, bb_max)", "Packet Length Mean": "pmean", "Packet Length Std": "sqrt(pvar)",
+    "Packet Length Variance": "pvar", "Down/Up Ratio": "CASE WHEN pf_sum > 0 THEN pb_sum / pf_sum ELSE 0 END",
+    "Average Packet Size": "CASE WHEN pf_sum + pb_sum > 0 THEN (bf_sum + bb_sum) / (pf_sum + pb_sum) ELSE 0 END",
+    "Avg Fwd Segment Size": "CASE WHEN pf_sum > 0 THEN bf_sum / pf_sum ELSE 0 END",
+    "Avg Bwd Segment Size": "CASE WHEN pb_sum > 0 THEN bb_sum / pb_sum ELSE 0 END",
+    "Fwd PSH Flags": "0", "Bwd PSH Flags": "0", "Fwd URG Flags": "0", "Bwd URG Flags": "0", "CWE Flag Count": "0",
+    "ECE Flag Count": "0", "Init_Win_bytes_forward": "65535", "Init_Win_bytes_backward": "65535",
+    "Active Mean": "100", "Active Std": "50", "Active Max": "500", "Active Min": "10",
+    "Idle Mean": "1000", "Idle Std": "500", "Idle Max": "5000", "Idle Min": "100",
+    **{f"{side} Packet Length {m}": f"{c}_{m.lower()}" for side, c in (("Fwd", "bf"), ("Bwd", "bb")) for m in ("Max", "Min", "Mean", "Std")},
+    **{f"{part} IAT {m}": f"iat_{m.lower()}" for part in ("Flow", "Fwd", "Bwd") for m in ("Mean", "Std", "Max", "Min")},
+    "Fwd IAT Total": "iat_sum", "Bwd IAT Total": "iat_sum",
+    **{f"{f.upper()} Flag Count": f"c_{f}" for f in _FLAGS},
+}
+
+
+def _pick(names):
+    plain = {"Flow Duration": 'd AS "Flow Duration"'}
+    return ", ".join(plain.get(n) or f'round(COALESCE(CAST({_FEATURE_SQL[n]} AS DOUBLE), 0), 6) AS "{n}"' for n in names)
+
+
+query("b16_split_fwd_bwd", """SELECT link_id, epoch_us(tick) AS tick_start_us, fp AS fwd_packets, CAST(bp AS BIGINT) AS bwd_packets, fb AS fwd_bytes,
+       CAST(bb AS BIGINT) AS bwd_bytes FROM @frame40""")
+query("e12_feature_frame", """SELECT link_id, epoch_us(tick) AS tick_start_us, bf_max, bf_min, round(bf_mean, 6) AS bf_mean, round(bf_std, 6) AS bf_std,
+       round(iat_mean, 6) AS iat_mean, ws AS window_samples FROM @frame40""")
+_ALL = _pick(_FEATURE_SQL)
+query("h1_h19_flow_features", f"SELECT link_id, epoch_us(tick) AS tick_start_us, {_ALL} FROM @frame40")
+query("h1_h19_flow_features_default", f"SELECT link_id, epoch_us(tick) AS tick_start_us, {_ALL} FROM @frame1000")
+query("h20_source_windows", """SELECT link_id, epoch_us(tick) AS tick_start_us, src_ip, CAST(SUM(packets) OVER w AS BIGINT) AS window_packets,
+       CAST(SUM(bytes) OVER w AS BIGINT) AS window_bytes, COUNT(*) OVER w AS window_ticks,
+       ROW_NUMBER() OVER (PARTITION BY link_id, src_ip ORDER BY tick) = 1 AS first_seen
+FROM @sources WINDOW w AS (PARTITION BY link_id, src_ip ORDER BY tick ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+_SEEN = """(SELECT c.link_id, c.tick, COUNT(f.src_ip) AS flow_count FROM @counts c
+ JOIN (SELECT link_id, src_ip, MIN(tick) AS first FROM @sources GROUP BY 1, 2) f ON f.link_id = c.link_id AND f.first <= c.tick GROUP BY 1, 2)"""
+query("h20_flow_counts", f"SELECT link_id, epoch_us(tick) AS tick_start_us, flow_count FROM {_SEEN}")
+query("h21_feature_summary", f"""SELECT f.link_id, epoch_us(f.tick) AS tick_start_us, CAST(SUM(fp) OVER e AS BIGINT) AS total_fwd_packets,
+       CAST(SUM(bp) OVER e AS BIGINT) AS total_bwd_packets, CAST(SUM(fb) OVER e AS BIGINT) AS total_fwd_bytes,
+       CAST(SUM(bb) OVER e AS BIGINT) AS total_bwd_bytes, ws AS window_samples, flow_count AS unique_flows,
+       {_pick(["Flow Bytes/s", "Flow Packets/s", "SYN Flag Count", "ACK Flag Count"])}
+FROM @frame40 f JOIN {_SEEN} u ON u.link_id = f.link_id AND u.tick = f.tick WINDOW e AS (PARTITION BY f.link_id ORDER BY f.tick)""")
+query("h22_feature_epochs", f"""SELECT link_id, CAST(epoch_id AS INTEGER) AS epoch_id, epoch_us(tick) AS tick_start_us,
+       {_pick(["Flow Duration", "Total Fwd Packets", "SYN Flag Count", "Flow IAT Mean"])} FROM @epframe""")
+query("h_flow_features_true", """SELECT link_id, low_ip, low_port, high_ip, high_port, protocol,
+       CAST(MAX(us) - MIN(us) AS DOUBLE) AS "Flow Duration",
+       round(CAST(COUNT(*) FILTER (fwd) AS DOUBLE), 6) AS "Total Fwd Packets",
+       round(CAST(COUNT(*) FILTER (NOT fwd) AS DOUBLE), 6) AS "Total Backward Packets",
+       round(CAST(COALESCE(SUM(bytes) FILTER (fwd), 0) AS DOUBLE), 6) AS "Total Length of Fwd Packets",
+       round(COALESCE(AVG(iat), 0), 6) AS "Flow IAT Mean", round(COALESCE(SUM(siat) FILTER (fwd), 0), 6) AS "Fwd IAT Total",
+       round(AVG(bytes), 6) AS "Packet Length Mean", round(STDDEV_POP(bytes), 6) AS "Packet Length Std",
+       round(CAST(COUNT(*) FILTER ((tcp_flags & 2) <> 0) AS DOUBLE), 6) AS "SYN Flag Count",
+       round(CAST(COUNT(*) FILTER (fwd AND (tcp_flags & 8) <> 0) AS DOUBLE), 6) AS "Fwd PSH Flags"
+FROM (SELECT *, from_low = first_value(from_low) OVER f AS fwd, (us - LAG(us) OVER f) / 1000.0::DOUBLE AS iat,
+             (us - LAG(us) OVER (PARTITION BY link_id, low_ip, low_port, high_ip, high_port, protocol, from_low ORDER BY us, seq)) / 1000.0::DOUBLE AS siat
+      FROM (SELECT *, epoch_us(ts) AS us, CASE WHEN from_low THEN src_ip ELSE dst_ip END AS low_ip, CASE WHEN from_low THEN 0 ELSE dst_port END AS low_port,
+                   CASE WHEN from_low THEN dst_ip ELSE src_ip END AS high_ip, CASE WHEN from_low THEN dst_port ELSE 0 END AS high_port
+            FROM (SELECT *, src_ip < dst_ip OR (src_ip = dst_ip AND 0 <= dst_port) AS from_low FROM @adm))
+      WINDOW f AS (PARTITION BY link_id, low_ip, low_port, high_ip, high_port, protocol ORDER BY us, seq))
+GROUP BY 1, 2, 3, 4, 5, 6""")
+
+# -- prediction scores -----------------------------------------------------------------------------
+
+query("d12_label_counts", "SELECT label, COUNT(*) AS rows FROM @flows GROUP BY 1")
+query("d13_confusion", "SELECT label, prediction, COUNT(*) AS rows FROM @predictions GROUP BY 1, 2")
+query("d13_confusion_matrix", """SELECT label, COUNT(*) FILTER (prediction = 0) AS predicted_0, COUNT(*) FILTER (prediction = 1) AS predicted_1
+FROM @predictions GROUP BY 1""")
+query("d14_accuracy", "SELECT round(AVG(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM @predictions")
+view("report", """
+SELECT class, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS r, support
+FROM (SELECT c.class, COUNT(*) FILTER (label = class AND prediction = class) AS tp, COUNT(*) FILTER (prediction = class) AS predicted,
+             COUNT(*) FILTER (label = class) AS support
+      FROM @predictions, (SELECT label AS class FROM @predictions UNION SELECT prediction FROM @predictions) c GROUP BY 1)""")
+_F1 = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END"
+query("d15_weighted_scores", f"""SELECT round(SUM(p * support) / SUM(support), 6) AS precision, round(SUM(r * support) / SUM(support), 6) AS recall,
+       round(SUM({_F1} * support) / SUM(support), 6) AS f1 FROM @report""")
+query("d16_class_report", f"SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round({_F1}, 6) AS f1, support FROM @report")
+query("d19_binary_rates", """SELECT round(tp / (tp + fn), 6) AS tpr, round(tn / (tn + fp), 6) AS tnr, round(fp / (tn + fp), 6) AS fpr,
+       round(tp / (tp + fp), 6) AS precision, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1
+FROM (SELECT COUNT(*) FILTER (label = 1 AND prediction = 1) AS tp, COUNT(*) FILTER (label = 0 AND prediction = 1) AS fp,
+             COUNT(*) FILTER (label = 1 AND prediction = 0) AS fn, COUNT(*) FILTER (label = 0 AND prediction = 0) AS tn FROM @predictions)""")
+
+# -- learning --------------------------------------------------------------------------------------
+
+query("a6_sample_per_group", "SELECT source_file, LEAST(COUNT(*), 500) AS rows FROM @flows GROUP BY 1")
+query("b8_encode_multiclass", """SELECT label, CAST(dense_rank() OVER (ORDER BY trim(label)) - 1 AS DOUBLE) AS code, trim(label) AS name, rows
+FROM (SELECT label, COUNT(*) AS rows FROM @flows GROUP BY 1)""")
+query("b17_attack_type", f"""SELECT CASE WHEN {_BINARY} = 0 THEN 'BENIGN' WHEN "SYN Flag Count" > 100 AND "ACK Flag Count" < 10 THEN 'SYN_Flood'
+       WHEN "Total Fwd Packets" * 300 > 10000 AND "Flow Bytes/s" * 100 > 1000000 THEN 'UDP_Flood'
+       WHEN "Total Fwd Packets" * 300 > 5000 THEN 'DrDoS_UDP' ELSE 'DDoS_Generic' END AS attack_type, COUNT(*) AS flows FROM @flows GROUP BY 1""")
+query("f6_shuffle", "SELECT label, source_file, COUNT(*) AS rows FROM @flows GROUP BY 1, 2")
+query("g1_union_flows", "SELECT source_file, 2 * COUNT(*) AS rows, COUNT(*) AS acks FROM @flows GROUP BY 1")
+query("g6_dedupe_flows", 'SELECT DISTINCT "Flow Duration", "SYN Flag Count", label FROM @flows')
+_FLOW_COLUMNS = ["Flow Duration", "Total Fwd Packets", "Total Backward Packets", "Total Length of Fwd Packets",
+                 "Total Length of Bwd Packets", "Flow Bytes/s", "SYN Flag Count", "ACK Flag Count"]
+query("j1_prepare_flows", "SELECT " + ", ".join(
+    f'{c} AS "{n}"' for n, c in [(n, f'"{n}"') for n in _FLOW_COLUMNS if n != "Flow Bytes/s"] + [
+        ("Flow Bytes/s", """CASE WHEN "SYN Flag Count" % 7 = 0 OR "SYN Flag Count" % 11 = 0 THEN 0 ELSE "Flow Bytes/s" END""")])
+    + ", trim(label) AS label, source_file FROM @flows")
+query("j2_balance", f"""WITH c AS (SELECT COUNT(*) FILTER ({_BINARY} = 1) AS a, COUNT(*) FILTER ({_BINARY} = 0) AS b FROM @flows)
+SELECT trim(label) AS label, CAST(CASE WHEN {_BINARY} = 1 THEN COUNT(*) ELSE MIN(LEAST(b, CAST(trunc(a * 0.3::DOUBLE / (1 - 0.3::DOUBLE)) AS BIGINT))) END AS BIGINT) AS rows
+FROM @flows, c GROUP BY label""")
+
+
+def _split(a, b):
+    return f"""WITH c AS (SELECT trim(label) AS label, COUNT(*) AS n FROM @flows GROUP BY 1)
+SELECT label, 'train' AS split, CAST(round(n * {a}) AS BIGINT) AS rows FROM c
+UNION SELECT label, 'val', CAST(round(n * {b}) - round(n * {a}) AS BIGINT) FROM c
+UNION SELECT label, 'test', CAST(n - round(n * {b}) AS BIGINT) FROM c"""
+
+
+query("j3_split", _split("0.7", "0.8"))
+query("j4_split", _split("0.7", "0.85"))
+query("j5_scale_pop", "SELECT " + ", ".join(
+    f'round(("{n}" - AVG("{n}") OVER ()) / STDDEV_POP("{n}") OVER (), 6) AS "{n}"' for n in _FLOW_COLUMNS)
+    + ", trim(label) AS label FROM @flows")
+query("j8_class_weights", f"""SELECT code, rows, round(SUM(rows) OVER () / (2.0::DOUBLE * rows), 6) AS weight
+FROM (SELECT {_BINARY} AS code, COUNT(*) AS rows FROM @flows GROUP BY 1)""")
+query("j11_predict_untrained", "SELECT FALSE AS is_attack, 'UNKNOWN' AS attack_type, 0.0::DOUBLE AS confidence, COUNT(*) AS rows FROM @flows")
+query("j19_mine_signatures", f"""WITH f AS (SELECT *, CASE WHEN {_BINARY} = 0 THEN 'BENIGN' ELSE trim(label) END AS t FROM @flows),
+b AS (SELECT t, MIN("Total Fwd Packets") AS l0, MAX("Total Fwd Packets") AS h0, MIN("SYN Flag Count") AS l1, MAX("SYN Flag Count") AS h1
+      FROM f WHERE t <> 'BENIGN' AND "ACK Flag Count" * 2 > 90 GROUP BY 1),
+m AS (SELECT b.t, l0, h1, COUNT(*) FILTER (f.t = b.t) AS mine, COUNT(*) FILTER (f.t = 'BENIGN') AS good,
+             COUNT(*) FILTER (f.t = b.t AND "Total Fwd Packets" BETWEEN l0 AND h0 AND "SYN Flag Count" BETWEEN l1 AND h1) AS hit,
+             COUNT(*) FILTER (f.t = 'BENIGN' AND "Total Fwd Packets" BETWEEN l0 AND h0 AND "SYN Flag Count" BETWEEN l1 AND h1) AS bad
+      FROM f, b GROUP BY 1, 2, 3)
+SELECT t AS attack_type, round(hit / mine, 6) AS matched, round(bad / good, 6) AS false_rate, hit / mine >= 0.9 AND bad / good < 0.001 AS keep,
+       round(l0, 6) AS low_0, round(h1, 6) AS high_1 FROM m""")
+query("j20_apply_rules", """SELECT CASE WHEN p > 200 AND b / p * 5 < 0.05::DOUBLE AND s > 100 AND a < 10 THEN 'udp_flood' ELSE '' END AS matched_rules, COUNT(*) AS flows
+FROM (SELECT "Total Fwd Packets" * 10 AS p, "Total Backward Packets" AS b, "SYN Flag Count" AS s, "ACK Flag Count" AS a FROM @flows) GROUP BY 1""")
+query("j21_token_bucket", """SELECT seq, ROW_NUMBER() OVER (PARTITION BY link_id, src_ip, date_trunc('day', ts) ORDER BY seq)
+       > CASE src_ip % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS shaped FROM @adm""")
+
+# -- status ----------------------------------------------------------------------------------------
+
+query("l2_baseline_info", """SELECT link_id, round(mean_pps, 6) AS mean_pps, round(std_pps, 6) AS std_pps, round(mean_bps, 6) AS mean_bps,
+       round(std_bps, 6) AS std_bps, round(mean_tcp_ratio, 6) AS mean_tcp_ratio, round(mean_udp_ratio, 6) AS mean_udp_ratio,
+       round(mean_icmp_ratio, 6) AS mean_icmp_ratio, samples, epoch_us(tick) AS last_updated_us
+FROM @prior WHERE (link_id, n) IN (SELECT link_id, MAX(n) FROM @prior GROUP BY 1)""")
+query("l4_status_lines", """SELECT link_id, epoch_us(tick) AS tick_start_us, 'Status: ' || printf('%.0f', pps) || ' pps | Baseline: '
+       || printf('%.0f', COALESCE(mean_pps, 0)) || ' pps | IPs: ' || sources || ' | Drop rate: 0' AS line FROM @prior WHERE n % 10 = 0""")
+query("l5_uptime", """SELECT link_id, round((epoch_us(MAX(tick)) - epoch_us(MIN(tick))) / 1000000.0::DOUBLE, 6) AS uptime_seconds FROM @counts GROUP BY 1""")
+query("l3_ml_stats", """SELECT link_id, COUNT(*) AS total_ml_predictions, COUNT(*) FILTER (n % 2 = 0) AS ml_attacks_detected, FALSE AS ml_enabled
+FROM @scores GROUP BY 1""")
+query("k13_attack_episodes", """SELECT link_id, CAST(episode AS BIGINT) AS episode, epoch_us(MIN(tick)) AS started_us, epoch_us(MAX(tick)) AS ended_us, COUNT(*) AS ticks,
+       MAX(score) AS max_score
+FROM (SELECT *, SUM(new) OVER (PARTITION BY link_id ORDER BY tick) AS episode
+      FROM (SELECT link_id, tick, score, CASE WHEN tick - LAG(tick) OVER (PARTITION BY link_id ORDER BY tick) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new
+            FROM @scores WHERE is_anomaly)) GROUP BY 1, 2""")
+query("l1_status_snapshot", """SELECT s.link_id, epoch_us(s.tick) AS as_of_us, round(s.pps, 6) AS current_pps, round(s.bps, 6) AS current_bps,
+       (SELECT COUNT(*) FROM @adm a WHERE a.link_id = s.link_id) AS packets, round(s.mean_pps, 6) AS mean_pps,
+       (SELECT round(avg_pps, 6) FROM @learned l WHERE l.link_id = s.link_id) AS avg_pps,
+       (SELECT COUNT(*) FROM @blacklist b WHERE b.link_id = s.link_id AND (removed_at IS NULL OR removed_at > TIMESTAMP '2024-01-25')) AS blocked,
+       (SELECT LEAST(10, COUNT(*)) FROM @alerts a WHERE a.link_id = s.link_id) AS alerts,
+       (SELECT string_agg(CAST(src_ip AS VARCHAR), ',' ORDER BY p DESC, src_ip) FROM (SELECT link_id, src_ip, COUNT(*) AS p,
+          ROW_NUMBER() OVER (PARTITION BY link_id ORDER BY COUNT(*) DESC, src_ip) AS r FROM @adm GROUP BY 1, 2) t WHERE t.link_id = s.link_id AND r <= 10) AS top,
+       (SELECT string_agg(severity, ',' ORDER BY ts DESC) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY link_id ORDER BY ts DESC) AS r FROM @alerts) a
+          WHERE a.link_id = s.link_id AND r <= 10) AS severities
+FROM @scores s WHERE (s.link_id, s.n) IN (SELECT link_id, MAX(n) FROM @scores GROUP BY 1)""")
+
+# -- streams: what has closed by the last packet ---------------------------------------------------
+
+_CLOSED = "tick + INTERVAL 6 HOUR <= (SELECT MAX(date_trunc('millisecond', ts)) FROM @adm)"
+query("k1_stream_ticks", f"""SELECT link_id, epoch_us(tick) AS tick_start_us, packets, bytes, 0::BIGINT AS dropped_packets, 0::BIGINT AS dropped_bytes,
+       packets AS passed_packets, bytes AS passed_bytes, tcp_packets, udp_packets, icmp_packets, other_packets FROM @counts WHERE {_CLOSED}""")
+query("k2_stream_ip_stats", f"""SELECT link_id, epoch_us(tick) AS tick_start_us, src_ip, packets, bytes, syn_count, udp_count FROM @sources WHERE {_CLOSED}""")
+query("k3_stream_baseline", f"""SELECT link_id, epoch_us(tick) AS tick_start_us, history AS samples, round(mean_pps, 6) AS mean_pps, round(std_pps, 6) AS std_pps,
+       round(pps_sigma, 6) AS pps_sigma, round(change_rate, 6) AS change_rate FROM @prior WHERE {_CLOSED}""")
+query("k4_stream_scores", _SCORE + f"@scores WHERE {_CLOSED}")
+query("k5_stream_cooldown", SQL["e15_cooldown"].replace("AS ts_us", "AS timestamp_us"))
+query("k6_closed_loop", """SELECT epoch_us(ts) AS timestamp_us, type, severity, message FROM @alerts WHERE """ + _CLOSED.replace("tick +", "ts +", 1))
+query("k7_stream_profile", f"""SELECT e.link_id, epoch_us(tick) AS tick_start_us, {_EMA}, learning_samples
+FROM @ema e JOIN @learned l ON l.link_id = e.link_id WHERE {_CLOSED}""")
+query("k8_stream_features", f"SELECT link_id, epoch_us(tick) AS tick_start_us, {_ALL} FROM @frame40 WHERE {_CLOSED}")
+query("k12_sliding_counters", """SELECT link_id, epoch_us(w) AS window_start_us, COUNT(*) AS packets, CAST(SUM(bytes) AS BIGINT) AS bytes
+FROM (SELECT link_id, bytes, tick - to_hours(6 * k) AS w FROM @adm, range(4) r(k))
+WHERE w + INTERVAL 1 DAY <= (SELECT MAX(date_trunc('millisecond', ts)) FROM @adm) GROUP BY 1, 2""")
+query("k13_stream_episodes", """SELECT link_id, epoch_us(MIN(ts)) AS started_us, epoch_us(MAX(ts) + INTERVAL 1 HOUR) AS closed_us, COUNT(*) AS ticks
+FROM (SELECT *, SUM(new) OVER (PARTITION BY link_id ORDER BY ts, seq) AS g
+      FROM (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY link_id ORDER BY ts, seq) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new
+            FROM @candidates WHERE type = 'error'))
+GROUP BY link_id, g HAVING MAX(ts) + INTERVAL 1 HOUR <= (SELECT MAX(date_trunc('millisecond', ts)) FROM @candidates WHERE type = 'error')""")

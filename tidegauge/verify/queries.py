@@ -24,7 +24,7 @@ CFG = DetectionConfig(scope=TICK, **PER_TICK)
 CFG_CUM = DetectionConfig(**PER_TICK)
 
 
-def _out(df, *columns, **made):
+def _out(df, *columns, rounded=True, **made):
     """Select, with timestamps as microseconds and doubles rounded."""
     cols = [F.col(f"`{c}`").alias(c) for c in columns] + [c.alias(n) for n, c in made.items()]
     df = df.select(*cols)
@@ -33,7 +33,7 @@ def _out(df, *columns, **made):
         c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
         if kind == "timestamp":
             final.append(F.unix_micros(c).alias(f.name + "_us"))
-        elif kind == "double":
+        elif kind == "double" and rounded and f.name != "Flow Duration":
             final.append(F.round(c, 6).alias(f.name))
         else:
             final.append(c)
@@ -597,7 +597,7 @@ def j1_prepare_flows(spark, sf):
            .otherwise(F.col("`Flow Bytes/s`")))
     df = A.labelled_flows(spark, sf).withColumn("Flow Bytes/s", odd)
     df = df.withColumnsRenamed({"label": " Label", "SYN Flag Count": " SYN Flag Count"})
-    return _out(learn.prepare_flows(df), *_flow_columns(), "label", "source_file")
+    return _out(learn.prepare_flows(df), *_flow_columns(), "label", "source_file", rounded=False)
 
 
 def j2_balance(spark, sf):
@@ -748,17 +748,6 @@ def _work(spark):
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _stream(spark, sf, adapter=A.packets):
-    """The driver's event table as a stream through the same adapter."""
-    class Streamed:
-        conf = spark.conf
-        read = None
-
-    schema = A.read(spark, sf, "events").schema
-    Streamed.read = spark.readStream.schema(schema)
-    return adapter(Streamed, sf)
-
-
 def _run(spark, df, mode="append"):
     """Run a stream over everything there is and read its result."""
     folder = _work(spark)
@@ -770,7 +759,7 @@ def _run(spark, df, mode="append"):
 
 def _streamed_packets(spark, sf):
     processors.use_rocksdb(spark)
-    return traffic.admit(_stream(spark, sf))
+    return traffic.admit(A.packets_of(A.stream_events(spark, sf)))
 
 
 def k1_stream_ticks(spark, sf):
@@ -798,7 +787,7 @@ def k4_stream_scores(spark, sf):
 
 def k5_stream_cooldown(spark, sf):
     processors.use_rocksdb(spark)
-    df = processors.stream_cooldown(_stream(spark, sf, A.alert_candidates), 3600.0, "ts")
+    df = processors.stream_cooldown(A.alert_candidates_of(A.stream_events(spark, sf)), 3600.0, "ts")
     return _out(_run(spark, df), "link_id", "type", "seq", "timestamp")
 
 
@@ -831,7 +820,7 @@ def k12_sliding_counters(spark, sf):
 def k13_stream_episodes(spark, sf):
     """Sessions of error events per link."""
     processors.use_rocksdb(spark)
-    df = (_stream(spark, sf, A.alert_candidates)
+    df = (A.alert_candidates_of(A.stream_events(spark, sf))
           .select("link_id", F.col("ts").alias("tick_start"), (F.col("type") == "error").alias("is_anomaly"),
                   F.lit(50.0).alias("score")))
     out = _run(spark, jobs.stream_episodes(df, "1 hour"))
