@@ -6,7 +6,7 @@ from tidegauge.config import CUMULATIVE, DetectionConfig
 from tidegauge.functions import columns as C
 from tidegauge.operators.lists import listed_at
 from tidegauge.plans.spread import (
-    day_bucket, key_join, position_of_rank, running, runs, salted_join, time_bucket,
+    day_bucket, key_join, position_of_rank, running, runs, salted_join, time_bucket, with_salt,
 )
 from tidegauge.schemas import COUNTERS, FLOW_KEY
 
@@ -48,13 +48,15 @@ def packet_verdict(packets: DataFrame, blacklist: DataFrame | None = None,
 
     One pass with the given list: a source that is listed because of this result is dropped from the next run on.
     """
+    # Both joins below spread a source's packets in the same way, so they share one shuffle (if they need any).
+    salted = with_salt(packets, ["ts", "seq"])
     if blacklist is None:
-        marked = packets.withColumn("blacklisted", F.lit(False))
+        marked = salted.withColumn("blacklisted", F.lit(False))
     else:
-        marked = listed_at(packets, blacklist)
+        marked = listed_at(salted, blacklist)
     out = _mark_syn_excess(marked, ~F.col("blacklisted"), limit)
     drop = F.col("blacklisted") | F.col("syn_dropped")
-    return out.withColumn("verdict", F.when(drop, "drop").otherwise("pass")).drop("syn_dropped")
+    return out.withColumn("verdict", F.when(drop, "drop").otherwise("pass")).drop("syn_dropped", "__salt")
 
 
 def rate_limit(packets: DataFrame, per_second: int) -> DataFrame:

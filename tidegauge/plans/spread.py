@@ -31,16 +31,26 @@ def key_join(left: DataFrame, right: DataFrame, keys, how="inner", extra=None) -
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys, salt_of, how="left", extra=None, salts=SALTS) -> DataFrame:
-    """Join in which one key of ``left`` may be very frequent.
+def with_salt(df: DataFrame, salt_of, salts=SALTS) -> DataFrame:
+    """Adds ``__salt``, a hash of row values (not a random number), so a task that runs again salts every row alike."""
+    return df.withColumn("__salt", F.pmod(F.xxhash64(*salt_of), F.lit(salts)).cast("int"))
 
-    The left rows of a key are spread over ``salts`` buckets by a hash of ``salt_of`` (a hash of row values, so that a
-    task that is run again puts every row where it was), and the right side is repeated once per bucket. No broadcast is
-    forced: the optimizer broadcasts the right side only if its known size is below the session's threshold.
+
+def salted_join(left: DataFrame, right: DataFrame, keys, salt_of, how="left", salts=SALTS) -> DataFrame:
+    """Join in which one key of ``left`` may be very frequent: left, semi or anti, on plain equality.
+
+    The left rows of a key are spread over ``salts`` buckets and the right side is repeated once per bucket. No broadcast
+    is forced: the optimizer broadcasts the right side only if its known size is below the session's threshold. A left
+    side that already has ``__salt`` keeps it, so that several such joins in a row need one shuffle.
     """
-    lhs = left.withColumn("__salt", F.pmod(F.xxhash64(*salt_of), F.lit(salts)).cast("int"))
-    rhs = right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return key_join(lhs, rhs, [*keys, "__salt"], how, extra).drop("__salt")
+    salted = "__salt" in left.columns
+    lhs = left if salted else with_salt(left, salt_of, salts)
+    names = {k: f"__r_{k}" for k in [*keys, "__salt"]}
+    rhs = (right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+           .withColumnsRenamed(names))
+    cond = [lhs[k] == rhs[r] for k, r in names.items()]
+    out = lhs.join(rhs, cond, how).drop(*names.values())
+    return out if salted else out.drop("__salt")
 
 
 def day_bucket(ts="ts", days=1) -> Column:
@@ -58,43 +68,51 @@ def hash_bucket(h, bits=12) -> Column:
     return F.shiftright(h, 64 - bits)
 
 
+def _with_carry(work, carry):
+    """Rows and one carried row per bucket, which sorts first."""
+    return (work.withColumn("__row", F.lit(1))
+            .unionByName(carry.withColumn("__row", F.lit(0)), allowMissingColumns=True))
+
+
 def running(df: DataFrame, keys, order, bucket, sums=None, maxs=None, mins=None, rank=None,
             total=None) -> DataFrame:
     """Running sums, maxima, minima and row numbers per key.
 
     ``bucket`` is a Column that never falls along ``order`` (a day, a hash prefix). ``sums``, ``maxs`` and ``mins`` map
-    new column names to columns of ``df``; ``rank`` names a 1-based row number. Per key one row per bucket is put in
-    order; the rows themselves are only ordered inside their bucket.
+    new column names to columns of ``df``; ``rank`` names a 1-based row number, ``total`` the key's row count. Per key
+    one row per bucket is put in order; the rows themselves are only ordered inside their bucket. What comes before a
+    bucket joins its rows as one more row at the front, so rows are shuffled once and nothing is joined.
     """
     sums, maxs, mins = dict(sums or {}), dict(maxs or {}), dict(mins or {})
     if rank:
-        sums[rank] = F.lit(1)
-    work = df.withColumn("__b", bucket)
-    for name, c in {**sums, **maxs, **mins}.items():
-        work = work.withColumn(f"__v_{name}", F.col(c) if isinstance(c, str) else c)
+        sums[rank] = F.lit(1).cast("long")
+    made = {**sums, **maxs, **mins}
+    work = df.select("*", bucket.alias("__b"),
+                     *[(F.col(c) if isinstance(c, str) else c).alias(f"__v_{n}") for n, c in made.items()])
 
     totals = work.groupBy(*keys, "__b").agg(
         *([F.count(F.lit(1)).alias("__rows")] if total else []),
-        *[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums],
-        *[F.max(f"__v_{n}").alias(f"__t_{n}") for n in maxs],
-        *[F.min(f"__v_{n}").alias(f"__t_{n}") for n in mins])
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        *[F.sum(f"__v_{n}").alias(f"__v_{n}") for n in sums],
+        *[F.max(f"__v_{n}").alias(f"__v_{n}") for n in maxs],
+        *[F.min(f"__v_{n}").alias(f"__v_{n}") for n in mins])
+    key = Window.partitionBy(*keys)
+    before = key.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *keys, "__b", *([F.sum("__rows").over(Window.partitionBy(*keys)).alias(total)] if total else []),
-        *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in sums],
-        *[F.max(f"__t_{n}").over(before).alias(f"__c_{n}") for n in maxs],
-        *[F.min(f"__t_{n}").over(before).alias(f"__c_{n}") for n in mins])
+        *keys, "__b", *([F.sum("__rows").over(key).alias(total)] if total else []),
+        *[F.sum(f"__v_{n}").over(before).alias(f"__v_{n}") for n in sums],
+        *[F.max(f"__v_{n}").over(before).alias(f"__v_{n}") for n in maxs],
+        *[F.min(f"__v_{n}").over(before).alias(f"__v_{n}") for n in mins])
 
-    inside = (Window.partitionBy(*keys, "__b").orderBy(*order)
+    inside = (Window.partitionBy(*keys, "__b").orderBy("__row", *order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = key_join(work, carry, [*keys, "__b"])
-    for n in sums:
-        joined = joined.withColumn(n, F.col(f"__c_{n}") + F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)))
-    for n in maxs:
-        joined = joined.withColumn(n, F.greatest(f"__c_{n}", F.max(f"__v_{n}").over(inside)))
-    for n in mins:
-        joined = joined.withColumn(n, F.least(f"__c_{n}", F.min(f"__v_{n}").over(inside)))
-    return joined.drop("__b", *[f"__{p}_{n}" for p in "vc" for n in {**sums, **maxs, **mins}])
+    old = [F.col(f"`{c}`") for c in df.columns]
+    out = _with_carry(work, carry).select(
+        *old, "__row",
+        *([F.max(total).over(inside).alias(total)] if total else []),
+        *[F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)).alias(n) for n in sums],
+        *[F.max(f"__v_{n}").over(inside).alias(n) for n in maxs],
+        *[F.min(f"__v_{n}").over(inside).alias(n) for n in mins])
+    return out.filter("__row = 1").drop("__row")
 
 
 def previous(df: DataFrame, keys, order, bucket, columns) -> DataFrame:
@@ -103,13 +121,15 @@ def previous(df: DataFrame, keys, order, bucket, columns) -> DataFrame:
     last = work.groupBy(*keys, "__b").agg(
         F.max_by(F.struct(*columns), F.struct(*order)).alias("__last"))
     along = Window.partitionBy(*keys).orderBy("__b")
-    carry = last.select(*keys, "__b", F.lag("__last").over(along).alias("__prev"))
-    inside = Window.partitionBy(*keys, "__b").orderBy(*order)
-    out = key_join(work, carry, [*keys, "__b"])
-    first = F.row_number().over(inside) == 1
-    for c in columns:
-        out = out.withColumn(f"prev_{c}", F.when(first, F.col(f"__prev.{c}")).otherwise(F.lag(c).over(inside)))
-    return out.drop("__b", "__prev")
+    carry = (last.select(*keys, "__b", F.lag("__last").over(along).alias("__prev"))
+             .select(*keys, "__b", *[F.col(f"__prev.{c}").alias(f"__p_{c}") for c in columns]))
+    inside = Window.partitionBy(*keys, "__b").orderBy("__row", *order)
+    # The carried row holds the values in columns of their own: a key column may be among the wanted ones.
+    work = work.select("*", *[F.col(c).alias(f"__p_{c}") for c in columns])
+    out = _with_carry(work, carry).select(
+        *[F.col(f"`{c}`") for c in df.columns], "__row",
+        *[F.lag(f"__p_{c}").over(inside).alias(f"prev_{c}") for c in columns])
+    return out.filter("__row = 1").drop("__row")
 
 
 def numbered(df: DataFrame, keys, order, bucket, name="n") -> DataFrame:
@@ -134,21 +154,20 @@ def owned(df: DataFrame) -> DataFrame:
 
 
 def position_of_rank(df: DataFrame, keys, order, bucket, k) -> DataFrame:
-    """The ``order`` values of every key's k-th row; keys with fewer rows are absent.
+    """The ``order`` values of every key's k-th row; keys with fewer rows (or without a value) are absent.
 
     Only the bucket in which a key reaches its k-th row is ranked, all others are merely counted. ``k`` is a number or
     a column of ``df`` that is constant per key.
     """
-    work = df.withColumn("__b", bucket)
-    kc = F.lit(k) if isinstance(k, int) else k
-    work = work.withColumn("__k", kc)
+    want = F.lit(k) if isinstance(k, int) else k
+    work = df.select(*keys, *order, bucket.alias("__b"), want.alias("__k"))
     counts = work.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"), F.max("__k").alias("__want"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     crossing = (counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
                 .filter((F.col("__before") < F.col("__want")) & (F.col("__want") <= F.col("__before") + F.col("__n")))
                 .select(*keys, "__b", (F.col("__want") - F.col("__before")).alias("__left")))
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    return (key_join(work, crossing, [*keys, "__b"])
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order)
+    return (work.join(crossing, [*keys, "__b"])
             .withColumn("__i", F.row_number().over(inside))
             .filter(F.col("__i") == F.col("__left"))
             .select(*keys, *order))

@@ -571,7 +571,7 @@ query("h_flow_features_true", """SELECT link_id, low_ip, low_port, high_ip, high
        round(CAST(COUNT(*) FILTER (fwd) AS DOUBLE), 6) AS "Total Fwd Packets",
        round(CAST(COUNT(*) FILTER (NOT fwd) AS DOUBLE), 6) AS "Total Backward Packets",
        round(CAST(COALESCE(SUM(bytes) FILTER (fwd), 0) AS DOUBLE), 6) AS "Total Length of Fwd Packets",
-       round(COALESCE(AVG(iat), 0), 6) AS "Flow IAT Mean", round(COALESCE(SUM(siat) FILTER (fwd), 0), 6) AS "Fwd IAT Total",
+       round(COALESCE(MAX(iat), 0), 3) AS flow_iat_max, round(COALESCE(SUM(siat) FILTER (fwd), 0), 3) AS fwd_iat_total,
        round(AVG(bytes), 6) AS "Packet Length Mean", round(STDDEV_POP(bytes), 6) AS "Packet Length Std",
        round(CAST(COUNT(*) FILTER ((tcp_flags & 2) <> 0) AS DOUBLE), 6) AS "SYN Flag Count",
        round(CAST(COUNT(*) FILTER (fwd AND (tcp_flags & 8) <> 0) AS DOUBLE), 6) AS "Fwd PSH Flags"

@@ -513,8 +513,9 @@ def h22_feature_epochs(spark, sf):
 def h_flow_features_true(spark, sf):
     df = features.flow_features_true(_admitted(spark, sf).withColumn("src_port", F.lit(0)))
     return _out(df, "link_id", "low_ip", "low_port", "high_ip", "high_port", "protocol", "Flow Duration",
-                "Total Fwd Packets", "Total Backward Packets", "Total Length of Fwd Packets", "Flow IAT Mean",
-                "Fwd IAT Total", "Packet Length Mean", "Packet Length Std", "SYN Flag Count", "Fwd PSH Flags")
+                "Total Fwd Packets", "Total Backward Packets", "Total Length of Fwd Packets", "Packet Length Mean",
+                "Packet Length Std", "SYN Flag Count", "Fwd PSH Flags",
+                flow_iat_max=F.round("Flow IAT Max", 3), fwd_iat_total=F.round("Fwd IAT Total", 3))
 
 
 # -- D12-D19: prediction scores --------------------------------------------------------------------
