@@ -96,18 +96,26 @@ def split_by_hash(df: DataFrame, fractions=(0.7, 0.1, 0.2), seed: int = 42) -> D
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """N / (k * n_c) per class."""
+    """N / (k * n_c) per class. The totals run over one row per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
-    # One row per class, so the totals over all classes need no partitioning key.
-    total = counts.agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    n, k = (total.n or 0), max(total.k, 1)
-    return counts.withColumn("weight", F.lit(float(n)) / (k * F.col("rows")))
+    everything = counts.agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    return counts.withColumn("weight", F.lit(float(everything.n or 0)) / (max(everything.k, 1) * F.col("rows")))
+
+
+MAX_CLASSES = 1000
 
 
 def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    weights = class_weights(df, label).select(label, "weight")
-    spread = [C.feature(c) for c in df.columns if c != label][:4]
-    return salted_join(df, weights, [label], spread or [F.col(label)])
+    """Adds ``weight``. The weights of up to ``MAX_CLASSES`` classes become one expression, so nothing is joined."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("rows")).limit(MAX_CLASSES + 1).collect()
+    if len(counts) > MAX_CLASSES:
+        spread = [C.feature(c) for c in df.columns if c != label] or [F.col(label)]
+        return salted_join(df, class_weights(df, label).select(label, "weight"), [label], spread)
+    n = sum(r.rows for r in counts)
+    weight = F.lit(None).cast("double")
+    for r in counts:
+        weight = F.when(F.col(label).eqNullSafe(F.lit(r[label])), n / (len(counts) * r.rows)).otherwise(weight)
+    return df.withColumn("weight", weight)
 
 
 def scale_pop(df: DataFrame, columns, fit_on: DataFrame | None = None) -> DataFrame:

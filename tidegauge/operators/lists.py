@@ -1,8 +1,8 @@
 """Block lists and signatures: matching packets against them and keeping the lists."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tidegauge.plans.spread import key_join, salted_join
+from tidegauge.plans.spread import key_join, sized_join
 
 KEY = ["link_id", "src_ip"]
 
@@ -14,27 +14,35 @@ def _numbered(packets):
 def apply_blacklist(packets: DataFrame, blacklist: DataFrame) -> DataFrame:
     """The packets whose source is not on the list.
 
-    A list below the session's broadcast threshold is broadcast by the optimizer; a longer one is joined on salted
-    keys, so a single busy source does not end up in one task.
+    A list of checked length is broadcast and packets stay where they are; a longer one is joined on salted keys, so a
+    single busy source does not end up in one task.
     """
-    return salted_join(packets, blacklist.select(*KEY).distinct(), KEY, _numbered(packets), "left_anti")
+    return sized_join(packets, blacklist.select(*KEY).distinct(), KEY, _numbered(packets), "left_anti")
 
 
 def blacklisted_packets(packets: DataFrame, blacklist: DataFrame) -> DataFrame:
     """The packets whose source is on the list."""
-    return salted_join(packets, blacklist.select(*KEY).distinct(), KEY, _numbered(packets), "left_semi")
+    return sized_join(packets, blacklist.select(*KEY).distinct(), KEY, _numbered(packets), "left_semi")
 
 
-def listed_at(packets: DataFrame, blacklist: DataFrame) -> DataFrame:
-    """Adds ``blacklisted``: the source was on the list at the packet's time.
+def listed_spans(blacklist: DataFrame) -> DataFrame:
+    """The times each source is listed, without overlaps, as microseconds from ``__from`` up to ``__until``."""
+    forever = F.lit(2**63 - 1)
+    spans = blacklist.select(*KEY, F.unix_micros("added_at").alias("__from"),
+                             F.coalesce(F.unix_micros("removed_at"), forever).alias("__until"))
+    order = Window.partitionBy(*KEY).orderBy("__from", "__until")
+    reached = F.max("__until").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = (spans.filter("__from < __until")
+             .withColumn("__new", F.when(reached >= F.col("__from"), 0).otherwise(1)))
+    spans = spans.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.groupBy(*KEY, "__run").agg(F.min("__from").alias("__from"), F.max("__until").alias("__until")).drop("__run")
 
-    Several entries of a source are first put into one array, so a packet stays one row.
-    """
-    spans = blacklist.groupBy(*KEY).agg(F.collect_set(F.struct("added_at", "removed_at")).alias("__spans"))
-    out = salted_join(packets, spans, KEY, _numbered(packets))
-    hit = F.exists("__spans", lambda s: (F.col("ts") >= s["added_at"])
-                   & (s["removed_at"].isNull() | (F.col("ts") < s["removed_at"])))
-    return out.withColumn("blacklisted", F.coalesce(hit, F.lit(False))).drop("__spans")
+
+def listed_at(packets: DataFrame, blacklist: DataFrame) -> DataFrame:
+    """Adds ``blacklisted``: the source was on the list at the packet's time. Every packet stays one row."""
+    timed = packets.withColumn("__us", F.unix_micros("ts"))
+    out = sized_join(timed, listed_spans(blacklist), KEY, _numbered(packets), "left", ("__us", "__from", "__until"))
+    return out.withColumn("blacklisted", F.col("__from").isNotNull()).drop("__us", "__from", "__until")
 
 
 def apply_blacklist_asof(packets: DataFrame, blacklist: DataFrame) -> DataFrame:

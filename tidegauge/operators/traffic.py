@@ -6,7 +6,8 @@ from tidegauge.config import CUMULATIVE, DetectionConfig
 from tidegauge.functions import columns as C
 from tidegauge.operators.lists import listed_at
 from tidegauge.plans.spread import (
-    day_bucket, key_join, position_of_rank, running, runs, salted_join, time_bucket, with_salt,
+    day_bucket, key_join, position_of_rank, running, runs, settle, sized_join, time_bucket,
+    with_salt,
 )
 from tidegauge.schemas import COUNTERS, FLOW_KEY
 
@@ -25,13 +26,18 @@ def admit(packets: DataFrame) -> DataFrame:
 
 def _mark_syn_excess(packets, counted, limit):
     """Adds ``syn_dropped``. A source drops every SYN after its (limit+1)-th, so one cut-off position per source decides
-    and a source's packets are never put in order as a whole."""
+    and a source's packets are never put in order as a whole.
+
+    The cut-offs (one row per source over the limit) are written first: their number then decides whether packets have
+    to be shuffled to meet them.
+    """
     syn = packets.filter(counted & C.is_syn())
-    cut = (position_of_rank(syn, ["link_id", "src_ip"], ["ts", "seq"], time_bucket("ts", 60), limit + 1)
-           .select("link_id", "src_ip", F.struct("ts", "seq").alias("__cut")))
-    out = salted_join(packets, cut, ["link_id", "src_ip"], ["ts", "seq"])
-    dropped = counted & C.is_syn() & (F.struct("ts", "seq") > F.col("__cut"))
-    return out.withColumn("syn_dropped", F.coalesce(dropped, F.lit(False))).drop("__cut")
+    cut = settle(position_of_rank(syn, ["link_id", "src_ip"], ["ts", "seq"], time_bucket("ts", 60), limit + 1)
+                 .withColumnsRenamed({"ts": "__cut_ts", "seq": "__cut_seq"}))
+    out = sized_join(packets, cut, ["link_id", "src_ip"], ["ts", "seq"])
+    later = (F.col("ts") > F.col("__cut_ts")) | ((F.col("ts") == F.col("__cut_ts")) & (F.col("seq") > F.col("__cut_seq")))
+    dropped = counted & C.is_syn() & later
+    return out.withColumn("syn_dropped", F.coalesce(dropped, F.lit(False))).drop("__cut_ts", "__cut_seq")
 
 
 def syn_excess(packets: DataFrame, limit: int = DEFAULT.syn_limit) -> DataFrame:
@@ -48,7 +54,7 @@ def packet_verdict(packets: DataFrame, blacklist: DataFrame | None = None,
 
     One pass with the given list: a source that is listed because of this result is dropped from the next run on.
     """
-    # Both joins below spread a source's packets in the same way, so they share one shuffle (if they need any).
+    # Should both joins below have to shuffle, they spread a source's packets in the same way and share the shuffle.
     salted = with_salt(packets, ["ts", "seq"])
     if blacklist is None:
         marked = salted.withColumn("blacklisted", F.lit(False))

@@ -36,23 +36,45 @@ def with_salt(df: DataFrame, salt_of, salts=SALTS) -> DataFrame:
     return df.withColumn("__salt", F.pmod(F.xxhash64(*salt_of), F.lit(salts)).cast("int"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys, salt_of, how="left", salts=SALTS) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys, salt_of, how="left", during=None, salts=SALTS) -> DataFrame:
     """Join in which one key of ``left`` may be very frequent: left, semi or anti, on plain equality.
 
-    The left rows of a key are spread over ``salts`` buckets and the right side is repeated once per bucket. No broadcast
-    is forced: the optimizer broadcasts the right side only if its known size is below the session's threshold. A left
-    side that already has ``__salt`` keeps it, so that several such joins in a row need one shuffle.
+    The left rows of a key are spread over ``salts`` buckets and the right side is repeated once per bucket. ``during``
+    (time, start, end) also asks that start <= time < end. A left side that already has ``__salt`` keeps it, so that
+    several such joins in a row need one shuffle.
     """
     salted = "__salt" in left.columns
     lhs = left if salted else with_salt(left, salt_of, salts)
-    names = {k: f"__r_{k}" for k in [*keys, "__salt"]}
-    rhs = (right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-           .withColumnsRenamed(names))
-    cond = [lhs[k] == rhs[r] for k, r in names.items()]
-    out = lhs.join(rhs, cond, how).drop(*names.values())
+    rhs = right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    out = _equi_join(lhs, rhs, [*keys, "__salt"], how, during)
     return out if salted else out.drop("__salt")
 
 
+def _equi_join(left, right, keys, how, during=None):
+    names = {k: f"__r_{k}" for k in keys}
+    rhs = right.withColumnsRenamed(names)
+    cond = [left[k] == rhs[r] for k, r in names.items()]
+    if during:
+        time, start, end = during
+        cond += [left[time] >= rhs[start], left[time] < rhs[end]]
+    return left.join(rhs, cond, how).drop(*names.values())
+
+
+BROADCAST_ROWS = 500_000
+
+
+def sized_join(left: DataFrame, right: DataFrame, keys, salt_of, how="left", during=None,
+               max_rows=BROADCAST_ROWS) -> DataFrame:
+    """Join a large left side with a list of narrow rows that is usually, but not surely, short.
+
+    The list is counted (up to the limit) now. A short one is broadcast, so the left side is not shuffled at all; a
+    longer one goes through ``salted_join``.
+    """
+    if right.limit(max_rows + 1).count() <= max_rows:
+        return _equi_join(left, F.broadcast(right), keys, how, during)
+    return salted_join(left, right, keys, salt_of, how, during)
+
+
 def day_bucket(ts="ts", days=1) -> Column:
     ts = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_micros(ts) / F.lit(86_400_000_000 * days)).cast("long")
@@ -63,7 +85,7 @@ def time_bucket(ts, seconds) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(int(round(seconds * 1_000_000)))).cast("long")
 
 
-def hash_bucket(h, bits=12) -> Column:
+def hash_bucket(h, bits=16) -> Column:
     """Bucket of a 64-bit hash that keeps the order of the hash."""
     return F.shiftright(h, 64 - bits)
 
