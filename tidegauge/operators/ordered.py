@@ -84,6 +84,20 @@ def baseline(rates: DataFrame, samples: int = 300, frame: str = "prior", min_sam
     return owned(work.withColumn("pps_sigma", sigma).withColumn("change_rate", change))
 
 
+def attach_baseline(ticks: DataFrame, stored: DataFrame) -> DataFrame:
+    """C3 for a stored baseline: adds to each tick the columns of the link's latest row of ``stored`` (``valid_from``) at
+    or before it.
+
+    Stored rows are put among the ticks; the latest one so far is a running maximum of (time, values).
+    """
+    values = [c for c in stored.columns if c not in ("link_id", "valid_from")]
+    marks = stored.select("link_id", F.col("valid_from").alias("tick_start"), F.struct("valid_from", *values).alias("__s"),
+                          F.lit(0).alias("__kind"))
+    both = ticks.withColumn("__kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    out = running(both, LINK, ["tick_start", "__kind"], day_bucket("tick_start"), maxs={"__now": "__s"})
+    return out.filter("__kind = 1").select(*ticks.columns, "__now.valid_from", *[f"__now.{c}" for c in values])
+
+
 def inter_arrival(ticks: DataFrame) -> DataFrame:
     """Milliseconds since the tick before, null on the first."""
     df = previous(ticks, LINK, ["tick_start"], day_bucket("tick_start"), ["tick_start"])

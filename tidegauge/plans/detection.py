@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.config import TICK, DetectionConfig
-from tidegauge.operators import lists, ordered, ranking, rules, traffic
+from tidegauge.config import TICK, DetectionConfig, FeatureConfig
+from tidegauge.operators import features, learn, lists, ordered, ranking, rules, traffic
 from tidegauge.plans.spread import day_bucket, key_join, running, settle
 from tidegauge.schemas import COUNTERS, FLAG_COUNTERS
 
@@ -68,6 +68,21 @@ def score_packets(packets: DataFrame, cfg: DetectionConfig = DetectionConfig(),
     return score_table(settle(tick_table(sources, cfg)), cfg)
 
 
+def hybrid_scores(packets: DataFrame, model, cfg: DetectionConfig = DetectionConfig(), blacklist: DataFrame | None = None,
+                  feature_cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """Rule scores merged with a classifier's verdict on the features of the same ticks; rules alone without a model."""
+    seen = traffic.packet_verdict(traffic.admit(packets), blacklist, cfg.syn_limit)
+    sources = traffic.source_ticks(seen, cfg.tick_seconds)
+    if cfg.scope != TICK:
+        sources = settle(sources)
+    ticks = settle(tick_table(sources, cfg))
+    scores = score_table(ticks, cfg)
+    if model is None:
+        return rules.combine_scores(scores, None, cfg=cfg)
+    predictions = learn.predict(model, features.flow_features(ticks, feature_cfg), keep=KEYS)
+    return rules.combine_scores(scores, predictions, cfg=cfg)
+
+
 def respond(scores: DataFrame, sources: DataFrame, cfg: DetectionConfig = DetectionConfig()):
     """Kept alerts, and the sources to block because of them."""
     kept = ordered.cooldown(rules.to_alerts(scores, cfg), cfg.cooldown_seconds)

@@ -704,3 +704,9 @@ FROM (SELECT *, SUM(new) OVER (PARTITION BY link_id ORDER BY ts, seq) AS g
       FROM (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY link_id ORDER BY ts, seq) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new
             FROM @candidates WHERE type = 'error'))
 GROUP BY link_id, g HAVING MAX(ts) + INTERVAL 1 HOUR <= (SELECT MAX(date_trunc('millisecond', ts)) FROM @candidates WHERE type = 'error')""")
+query("c3_attach_baseline", """SELECT t.link_id, epoch_us(t.tick) AS tick_start_us, epoch_us(b.tick + INTERVAL 3 HOUR) AS valid_from_us,
+       round(b.mean_pps, 6) AS mean_pps, round(b.std_pps, 6) AS std_pps, b.history
+FROM @ticks t LEFT JOIN @prior b ON b.link_id = t.link_id AND b.n = (SELECT MAX(p.n) FROM @prior p
+     WHERE p.link_id = t.link_id AND p.n % 8 = 0 AND p.tick + INTERVAL 3 HOUR <= t.tick)""")
+query("i12_rules_alone", """SELECT link_id, epoch_us(tick) AS tick_start_us, score, is_anomaly, 0.0::DOUBLE AS ml_confidence, 'UNKNOWN' AS attack_type,
+       'statistical' AS detection_source FROM @scores""")

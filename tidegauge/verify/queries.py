@@ -283,6 +283,15 @@ def e3_baseline_inclusive(spark, sf):
     return _out(ordered.baseline(_ticks(spark, sf), 40, "inclusive", chunk=7), "link_id", "tick_start", *_BASE)
 
 
+def c3_attach_baseline(spark, sf):
+    ticks = settle(_ticks(spark, sf))
+    base = ordered.baseline(ticks, 40).filter(F.col("n") % 8 == 0)
+    stored = base.select("link_id", (F.col("tick_start") + F.expr("interval 3 hours")).alias("valid_from"), "mean_pps",
+                         "std_pps", "history")
+    df = ordered.attach_baseline(ticks, stored)
+    return _out(df, "link_id", "tick_start", "valid_from", "mean_pps", "std_pps", "history")
+
+
 def e9_syn_excess(spark, sf):
     return _out(traffic.syn_excess(_admitted(spark, sf), CFG.syn_limit), "seq", "syn_dropped")
 
@@ -662,6 +671,18 @@ def j14_train_job(spark, sf):
     return tables["test_report"]
 
 
+def hybrid_scores(spark, sf):
+    """A forest trained on the labelled flows judges the ticks next to the rules."""
+    df = detection.hybrid_scores(A.packets(spark, sf), _trained(spark, sf)[0], CFG)
+    return _out(df, "link_id", "tick_start", "score", "is_anomaly", "ml_prediction", "ml_confidence", "attack_type",
+                "detection_source")
+
+
+def i12_rules_alone(spark, sf):
+    df = detection.hybrid_scores(A.packets(spark, sf), None, CFG)
+    return _out(df, "link_id", "tick_start", "score", "is_anomaly", "ml_confidence", "attack_type", "detection_source")
+
+
 def f5_feature_importance(spark, sf):
     return learn.feature_importance(spark, _trained(spark, sf)[0], 10)
 
