@@ -3,7 +3,6 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from helpers import at, packets, sources
 from tidegauge.operators import lists, ranking, traffic

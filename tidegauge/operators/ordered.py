@@ -8,10 +8,9 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidegauge.config import DetectionConfig
 from tidegauge.functions import columns as C
 from tidegauge.plans.spread import (
-    day_bucket, key_join, numbered, owned, previous, running, runs, time_bucket, with_halo,
+    day_bucket, key_join, numbered, owned, previous, running, runs, settle, small_join, with_halo,
 )
 
 LINK = ["link_id"]
@@ -107,18 +106,27 @@ def inter_arrival(ticks: DataFrame) -> DataFrame:
 
 # -- long-term profile -----------------------------------------------------------------------------
 
+def learning_phases(rates: DataFrame, seconds: float = 3600.0, since=None) -> DataFrame:
+    """Adds ``learn_start`` and ``phase``: 'learn' within the learning period of the link, 'boundary' for the tick that
+    ends it, 'follow' after that. A link's start is a running minimum, so nothing is joined."""
+    if since is not None:
+        since = F.to_timestamp(F.lit(since)) if isinstance(since, str) else since
+        rates = rates.filter(F.col("tick_start") >= since)
+    df = running(rates, LINK, ["tick_start"], day_bucket("tick_start"), mins={"learn_start": "tick_start"})
+    df = previous(df, LINK, ["tick_start"], day_bucket("tick_start"), ["tick_start"])
+    learning = C.seconds_between("learn_start", "tick_start") < seconds
+    boundary = C.seconds_between("learn_start", "prev_tick_start") < seconds
+    return (df.withColumn("phase", F.when(learning, "learn").when(boundary, "boundary").otherwise("follow"))
+            .drop("prev_tick_start"))
+
+
 def learn_profile(rates: DataFrame, seconds: float = 3600.0, since=None) -> DataFrame:
     """Mean and peak rates over the learning period of each link.
 
     The period starts with the link's first tick, or with the first at or after ``since`` (relearning). Protocol shares
     are those of the period's last tick that has any, else the defaults.
     """
-    if since is not None:
-        since = F.to_timestamp(F.lit(since)) if isinstance(since, str) else since
-        rates = rates.filter(F.col("tick_start") >= since)
-    starts = rates.groupBy(*LINK).agg(F.min("tick_start").alias("learn_start"))
-    period = (key_join(rates, starts, LINK)
-              .filter(C.seconds_between("learn_start", "tick_start") < seconds))
+    period = learning_phases(rates, seconds, since).filter("phase = 'learn'")
     last = F.max_by(F.struct("proto_packets", "tcp_ratio", "udp_ratio", "icmp_ratio"), "tick_start")
     out = period.groupBy(*LINK).agg(
         F.avg("pps").alias("avg_pps"), F.max("pps").alias("peak_pps"),
@@ -134,20 +142,14 @@ def learn_profile(rates: DataFrame, seconds: float = 3600.0, since=None) -> Data
         share("icmp_ratio", 0.05), "learning_samples", "learn_start", "last_updated", F.lit(True).alias("is_learned"))
 
 
-def after_learning(rates: DataFrame, profile: DataFrame, seconds: float = 3600.0,
-                   keep_boundary: bool = False) -> DataFrame:
+def after_learning(rates: DataFrame, seconds: float = 3600.0, since=None, keep_boundary: bool = False) -> DataFrame:
     """Ticks that update a learned profile.
 
     The tick that ends the learning period only triggers the computation and is used for neither; ``keep_boundary``
     keeps it.
     """
-    start = profile.select(*LINK, "learn_start")
-    later = (key_join(rates, start, LINK)
-             .filter(C.seconds_between("learn_start", "tick_start") >= seconds).drop("learn_start"))
-    if keep_boundary:
-        return later
-    first = later.groupBy(*LINK).agg(F.min("tick_start").alias("__first"))
-    return key_join(later, first, LINK).filter(F.col("tick_start") > F.col("__first")).drop("__first")
+    used = ["follow", "boundary"] if keep_boundary else ["follow"]
+    return learning_phases(rates, seconds, since).filter(F.col("phase").isin(used)).drop("phase", "learn_start")
 
 
 def ema(ticks: DataFrame, columns, seeds: DataFrame, alpha: float = 0.05, chunk: int | None = None) -> DataFrame:
@@ -162,7 +164,7 @@ def ema(ticks: DataFrame, columns, seeds: DataFrame, alpha: float = 0.05, chunk:
     longest = int(-200 / math.log10(keep)) - halo
     chunk = min(chunk or CHUNK, longest)
     work = with_halo(numbered(ticks, LINK, ["tick_start"], day_bucket("tick_start")), "n", chunk, halo)
-    work = key_join(work, seeds.select(*LINK, *[f"seed_{c}" for c in columns]), LINK, "left")
+    work = small_join(work, seeds.select(*LINK, *[f"seed_{c}" for c in columns]), LINK, "left")
     order = Window.partitionBy(*LINK, "__chunk").orderBy("n")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     i = F.row_number().over(order)
@@ -176,17 +178,20 @@ def ema(ticks: DataFrame, columns, seeds: DataFrame, alpha: float = 0.05, chunk:
     return owned(work).drop("__i", *[f"seed_{c}" for c in columns])
 
 
-def adapt_profile(rates: DataFrame, profile: DataFrame, seconds: float = 3600.0, alpha: float = 0.05,
+def adapt_profile(rates: DataFrame, profile: DataFrame, seconds: float = 3600.0, alpha: float = 0.05, since=None,
                   keep_boundary: bool = False, chunk: int | None = None) -> DataFrame:
-    """The learned profile carried on through later ticks: exponential averages and running peaks."""
-    later = after_learning(rates, profile, seconds, keep_boundary)
-    later = later.select(*LINK, "tick_start", "pps", "bps")
+    """The learned profile carried on through later ticks: exponential averages and running peaks.
+
+    ``since`` is that of ``learn_profile``. The profile is one row per link and is written first.
+    """
+    profile = settle(profile)
+    later = after_learning(rates, seconds, since, keep_boundary).select(*LINK, "tick_start", "pps", "bps")
     seeds = profile.select(*LINK, F.col("avg_pps").alias("seed_pps"), F.col("avg_bps").alias("seed_bps"))
     out = ema(later, ["pps", "bps"], seeds, alpha, chunk)
     out = running(out, LINK, ["tick_start"], day_bucket("tick_start"),
                   maxs={"max_pps": "pps", "max_bps": "bps"})
     peaks = profile.select(*LINK, F.col("peak_pps").alias("__pp"), F.col("peak_bps").alias("__pb"))
-    return key_join(out, peaks, LINK, "left").select(
+    return small_join(out, peaks, LINK, "left").select(
         *LINK, "tick_start", "pps", "bps", F.col("ema_pps").alias("avg_pps"), F.col("ema_bps").alias("avg_bps"),
         F.greatest("max_pps", "__pp").alias("peak_pps"), F.greatest("max_bps", "__pb").alias("peak_bps"))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidegauge.plans.spread import key_join
+from tidegauge.plans.spread import small_join
 
 
 def top_sources(sources: DataFrame, k: int = 10, per_link: bool = True) -> DataFrame:
@@ -29,7 +29,7 @@ def block_candidates(sources: DataFrame, alerts: DataFrame, top: int = 5, more_t
     """of the top sources of every tick with a kept alert, those above the packet threshold."""
     alerted = alerts.select("link_id", F.col("timestamp").alias("tick_start")).distinct()
     w = Window.partitionBy("link_id", "tick_start").orderBy(F.desc("packets"), "src_ip")
-    busy = key_join(sources.filter(F.col("packets") > more_than), alerted, ["link_id", "tick_start"], "left_semi")
+    busy = small_join(sources.filter(F.col("packets") > more_than), alerted, ["link_id", "tick_start"], "left_semi")
     # All sources above the threshold rank before all others, so the filter may come first.
     return busy.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 

@@ -84,8 +84,8 @@ def hybrid_scores(packets: DataFrame, model, cfg: DetectionConfig = DetectionCon
 
 
 def respond(scores: DataFrame, sources: DataFrame, cfg: DetectionConfig = DetectionConfig()):
-    """Kept alerts, and the sources to block because of them."""
-    kept = ordered.cooldown(rules.to_alerts(scores, cfg), cfg.cooldown_seconds)
+    """Kept alerts, and the sources (per-tick rows) to block because of them."""
+    kept = settle(ordered.cooldown(rules.to_alerts(scores, cfg), cfg.cooldown_seconds))
     return kept, ranking.block_candidates(sources, kept, cfg.block_top, cfg.block_packets)
 
 

@@ -22,8 +22,7 @@ def _same(left, right, keys) -> Column:
 
 def key_join(left: DataFrame, right: DataFrame, keys, how="inner", extra=None) -> DataFrame:
     """Null-safe equi-join; the right side brings only its other columns. ``extra`` may add a condition."""
-    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
+    r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     cond = _same(left, r, keys)
     if extra is not None:
         cond = cond & extra
@@ -75,6 +74,16 @@ def sized_join(left: DataFrame, right: DataFrame, keys, salt_of, how="left", dur
     return salted_join(left, right, keys, salt_of, how, during)
 
 
+def small_join(left: DataFrame, right: DataFrame, keys, how="inner", max_rows=BROADCAST_ROWS) -> DataFrame:
+    """Null-safe join with a table of about one row per link: broadcast if its counted size allows it.
+
+    Without that, all rows of a link would meet in one task. Beyond the limit there are so many links that the plain join
+    is spread by them, and AQE splits what is skewed.
+    """
+    short = right.limit(max_rows + 1).count() <= max_rows
+    return key_join(left, F.broadcast(right) if short else right, keys, how)
+
+
 def day_bucket(ts="ts", days=1) -> Column:
     ts = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_micros(ts) / F.lit(86_400_000_000 * days)).cast("long")
