@@ -43,3 +43,33 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(23 + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id"""
+
+SQL["op3_host_quality"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS win
+  FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM docs)),
+twice AS (SELECT r, i FROM wins QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+again AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY r),
+lines AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words,
+    coalesce(lines.n, 0) AS n_lines FROM docs LEFT JOIN again USING (r) LEFT JOIN lines USING (r)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    n_words > 0 AND 2 * n_symbols >= n_words AS symbols_failed,
+    n_dup_lines > 0 AND 100 * n_dup_lines >= 30 * n_lines AS lines_failed FROM m),
+long AS (SELECT source, rule, CAST(failed AS INTEGER) AS failed
+  FROM f UNPIVOT (failed FOR rule IN (base_failed, symbols_failed, lines_failed))),
+h AS (SELECT source, rule, count(*) AS n, sum(failed) AS x FROM long GROUP BY ALL),
+t AS (SELECT rule, sum(n) AS n, count(*) AS hosts, sum(x) / sum(n) AS mean, sum(x * x / n) / sum(n) AS sq FROM h GROUP BY rule),
+p AS (SELECT rule, mean, mean * (1 - mean) AS noise,
+    sq - mean * mean - mean * (1 - mean) * hosts / n AS between_hosts FROM t),
+gone AS (SELECT DISTINCT coalesce(source, '(null)') AS source FROM h JOIN p USING (rule)
+  WHERE CASE WHEN noise <= 0 OR between_hosts <= 1e-9 * noise THEN mean
+    ELSE (x + mean * greatest(noise / between_hosts - 1, 0)) / (n + greatest(noise / between_hosts - 1, 0)) END > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(source, '(null)') NOT IN (SELECT source FROM gone) AS kept FROM f"""

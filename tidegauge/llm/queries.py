@@ -2,13 +2,31 @@
 
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat_format, decontaminate, line_dedup
+from tidegauge.llm import bpe, chat_format, decontaminate, host_quality, line_dedup
+from tidegauge.plans.spread import settle
 
 
 def _table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def vocabulary():
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe(spark, sf):
+    out = bpe.encode(_table(spark, sf, "documents").select("doc_id", "text"), vocabulary(), decoded=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded_text", 256).alias("decoded_sha256"))
+
+
+def op3_host_quality(spark, sf):
+    measured = settle(host_quality.measure(_table(spark, sf, "documents").select("doc_id", "source", "text")).drop("text"))
+    return host_quality.judge(measured).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_decontaminate(spark, sf):
     out = decontaminate.scan(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
