@@ -19,11 +19,6 @@ def extend(batch: pa.RecordBatch, made: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + list(made.values()), names=kept + list(made))
 
 
-def pick(df: DataFrame, **columns) -> DataFrame:
-    """Only the named columns under fixed names: pick(docs, id="doc_id", text="text")."""
-    return df.select(*[F.col(f"`{c}`").alias(n) for n, c in columns.items()])
-
-
 def has_unique_ids(df: DataFrame, id_col: str) -> bool:
     """Whether the column identifies the rows: no null and no repetition."""
     ids = df.select(F.col(f"`{id_col}`").alias("id"))
@@ -33,14 +28,15 @@ def has_unique_ids(df: DataFrame, id_col: str) -> bool:
 ROW = "__row"
 
 
-def with_row_ids(df: DataFrame, id_col: str) -> DataFrame:
-    """Adds ``__row``, a long that identifies the row: the id where ids are unique integers, else a number written once.
+def with_row_ids(df: DataFrame, id_col: str) -> tuple[DataFrame, bool]:
+    """Adds ``__row``, a long that identifies the row, and says whether that is the id itself.
 
-    The numbering is written to the shared folder, so that a task that runs again sees the same numbers.
+    It is where ids are unique longs. Otherwise rows are numbered and written to the shared folder, so that a task that
+    runs again sees the same numbers.
     """
     if isinstance(df.schema[id_col].dataType, LongType) and has_unique_ids(df, id_col):
-        return df.withColumn(ROW, F.col(f"`{id_col}`"))
-    return settle(df.withColumn(ROW, F.monotonically_increasing_id()))
+        return df.withColumn(ROW, F.col(f"`{id_col}`")), True
+    return settle(df.withColumn(ROW, F.monotonically_increasing_id())), False
 
 
 def fields(ddl: str) -> list[StructField]:

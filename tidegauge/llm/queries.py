@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, chat_format, decontaminate, host_quality, line_dedup
+from tidegauge.llm import bpe, chat_format, decontaminate, host_quality, jaccard, line_dedup
 from tidegauge.plans.spread import settle
 
 
@@ -34,6 +34,11 @@ def op4_decontaminate(spark, sf):
                       (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_jaccard_join(spark, sf):
+    return jaccard.near_duplicates(_table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op7_line_dedup(spark, sf):
     out = line_dedup.drop_common_lines(_table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
