@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, chat_format, decontaminate, host_quality, jaccard, line_dedup
+from tidegauge.llm import bpe, chat_format, decontaminate, host_quality, jaccard, language, licenses, line_dedup
 from tidegauge.plans.spread import settle
 
 
@@ -44,6 +44,17 @@ def op7_line_dedup(spark, sf):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_licenses(spark, sf):
+    out = licenses.scan(_table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+                      F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op9_language(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_chat_format(spark, sf):
     own = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
