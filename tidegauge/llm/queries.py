@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, chat_format, decontaminate, host_quality, jaccard, language, licenses, line_dedup
+from tidegauge.llm import bpe, chat_format, decontaminate, host_quality, jaccard, language, licenses, line_dedup, pii
 from tidegauge.plans.spread import settle
 
 
@@ -15,6 +15,11 @@ def vocabulary():
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii_surrogates(spark, sf):
+    return pii.replace(_table(spark, sf, "documents").select("doc_id", "text"), "tidegauge").select(
+        "doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
+
+
 def op2_bpe(spark, sf):
     out = bpe.encode(_table(spark, sf, "documents").select("doc_id", "text"), vocabulary(), decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
