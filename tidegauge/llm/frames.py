@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegralType, StructField, StructType
 
 from tidegauge.plans.spread import settle
 
@@ -29,14 +29,26 @@ ROW = "__row"
 
 
 def with_row_ids(df: DataFrame, id_col: str) -> tuple[DataFrame, bool]:
-    """Adds ``__row``, a long that identifies the row, and says whether that is the id itself.
+    """Adds ``__row``, a long that identifies the row and grows with the id, and says whether it is the id itself.
 
-    It is where ids are unique longs. Otherwise rows are numbered and written to the shared folder, so that a task that
-    runs again sees the same numbers.
+    It is where ids are unique integers. Otherwise the rows are sorted by id (nulls first, equal ids in some order),
+    numbered and written to the shared folder, so that a task that runs again sees the same numbers.
     """
-    if isinstance(df.schema[id_col].dataType, LongType) and has_unique_ids(df, id_col):
-        return df.withColumn(ROW, F.col(f"`{id_col}`")), True
-    return settle(df.withColumn(ROW, F.monotonically_increasing_id())), False
+    if isinstance(df.schema[id_col].dataType, IntegralType) and has_unique_ids(df, id_col):
+        return df.withColumn(ROW, F.col(f"`{id_col}`").cast("long")), True
+    return settle(df.orderBy(F.col(f"`{id_col}`")).withColumn(ROW, F.monotonically_increasing_id())), False
+
+
+BROADCAST_BYTES = 32 << 20
+
+
+def join_lists(docs: DataFrame, lists: DataFrame, of: str) -> DataFrame:
+    """Left join of ``docs`` with one row per ``__row`` that holds an array ``of`` longs: broadcast if its bytes allow it.
+
+    Otherwise both sides are shuffled by row; rows are unique, so nothing is skewed.
+    """
+    size = lists.agg(F.sum(F.size(of) * 16 + 64).alias("bytes")).first()["bytes"] or 0
+    return docs.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, ROW, "left")
 
 
 def fields(ddl: str) -> list[StructField]:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, chat_format, decontaminate, host_quality, jaccard, language, licenses, line_dedup, pii
+from tidegauge.llm import bpe, chat_format, decontaminate, host_quality, jaccard, language, licenses, line_dedup, pii, repeats
 from tidegauge.plans.spread import settle
 
 
@@ -44,6 +44,12 @@ def op5_jaccard_join(spark, sf):
         "doc_id", "n_shingles", "component_id")
 
 
+def op6_repeated_passages(spark, sf):
+    out = repeats.remove_repeats(_table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark, sf):
     out = line_dedup.drop_common_lines(_table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
