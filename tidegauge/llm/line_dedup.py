@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.frames import extend, fields, with_columns_of
+from tidegauge.llm.frames import ROW, extend, fields, with_columns_of, with_row_ids
 from tidegauge.llm.textbytes import mix
 from tidegauge.plans.spread import settle
 
@@ -32,24 +32,25 @@ def _digests(text):
 
 
 def count_lines(batches):
-    """(h1, h2, docs): in how many documents each key stands, added up within the task."""
-    held = {}
+    """(h1, h2, docs, first): in how many documents each key stands, and the least row, added up within the task."""
+    docs, first = {}, {}
 
     def out():
-        both = np.frombuffer(b"".join(held), ">u8").astype(np.int64).reshape(-1, 2)
+        both = np.frombuffer(b"".join(docs), ">u8").astype(np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays(
-            [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.fromiter(held.values(), np.int64, len(held)))],
-            names=["h1", "h2", "docs"])
+            [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.fromiter(docs.values(), np.int64, len(docs))),
+             pa.array(np.fromiter(first.values(), np.int64, len(first)))], names=["h1", "h2", "docs", "first"])
 
     for batch in batches:
-        for text in batch.column(0):
+        for text, row in zip(batch.column("text"), batch.column("row").to_pylist()):
             for d in set(_digests(text.as_py())):
                 if d is not None:
-                    held[d] = held.get(d, 0) + 1
-            if len(held) > HELD:
+                    docs[d] = docs.get(d, 0) + 1
+                    first[d] = min(first.get(d, row), row)
+            if len(docs) > HELD:
                 yield out()
-                held = {}
-    if held:
+                docs, first = {}, {}
+    if docs:
         yield out()
 
 
@@ -93,13 +94,13 @@ def slot_of(h1, h2, displacement, n):
 def build_shard(table: pa.Table) -> pa.Table:
     """The arrays of one shard as one row of binaries."""
     h1, h2 = (table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
-    docs = table.column("docs").to_numpy()
+    docs, first = table.column("docs").to_numpy(), table.column("first").to_numpy()
     shift, slots = build_hash(h1, h2)
-    prints, counts = np.zeros(len(h1), np.uint64), np.zeros(len(h1), np.uint32)
-    prints[slots], counts[slots] = h1 ^ (h2 << np.uint64(1)), np.minimum(docs, 0xFFFFFFFF)
+    prints, counts, rows = np.zeros(len(h1), np.uint64), np.zeros(len(h1), np.uint32), np.zeros(len(h1), np.int64)
+    prints[slots], counts[slots], rows[slots] = h1 ^ (h2 << np.uint64(1)), np.minimum(docs, 0xFFFFFFFF), first
     return pa.table({"shard": table.column("shard")[:1], "keys": pa.array([len(h1)], pa.int64()),
                      "shift": pa.array([shift.tobytes()]), "prints": pa.array([prints.tobytes()]),
-                     "counts": pa.array([counts.tobytes()])})
+                     "counts": pa.array([counts.tobytes()]), "first": pa.array([rows.tobytes()])})
 
 
 class Arrays:
@@ -124,11 +125,12 @@ class Arrays:
         self.shift = np.concatenate(shift)
         self.prints = np.concatenate([np.frombuffer(r["prints"], np.uint64) for r in rows])
         self.counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
+        self.first = np.concatenate([np.frombuffer(r["first"], np.int64) for r in rows])
         return vars(self)
 
-    def count(self, h1, h2):
-        """Documents per key; 0 for keys that are not in these shards."""
-        out = np.zeros(len(h1), dtype=np.int64)
+    def probe(self, h1, h2):
+        """(documents, least row) per key; 0 documents for keys that are not in these shards."""
+        out, rows = np.zeros(len(h1), dtype=np.int64), np.zeros(len(h1), dtype=np.int64)
         place = self.place[shard_of(h1, self.shards)]
         known = np.flatnonzero(place >= 0)
         place, a, b = place[known], h1[known], h2[known]
@@ -136,33 +138,38 @@ class Arrays:
         shift = self.shift[self.shift_at[place] + bucket].astype(np.uint64)
         at = self.key_at[place] + slot_of(a, b, shift, self.size[place].astype(np.uint64))
         out[known] = np.where(self.prints[at] == a ^ (b << np.uint64(1)), self.counts[at], 0)
-        return out
+        rows[known] = self.first[at]
+        return out, rows
 
 
 def shard_of(h1, shards):
     return ((h1 >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
 
-def drop_common_lines(docs: DataFrame, min_docs=10, text_col="text", block_keys=BLOCK_KEYS) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs=10, text_col="text", keep_first_by=None, block_keys=BLOCK_KEYS) -> DataFrame:
     """``docs`` without the lines whose key stands in at least ``min_docs`` rows.
 
+    With ``keep_first_by``, a column of ids, such lines stay in the row with the least id that has them (of rows whose ids
+    repeat or are null, in the one written first).
+
     The text is cut at \\n; a line's key is the line without ASCII white space at its ends and with A-Z lower-cased. Lines
     without a key stay. Adds n_lines, n_dropped (longs) and kept_text; columns of these names give way. A null or empty
     text is one empty line and is kept as an empty text. Rows count one by one, whether or not their ids repeat.
 
     Keys are 128-bit hashes, counted exactly; a foreign line takes a frequent one's place with a chance of 2**-64. The
-    arrays hold at most ``block_keys`` lines (20 bytes each) per broadcast; more are probed block by block.
+    arrays hold at most ``block_keys`` lines (about 22 bytes each) per broadcast; more are probed block by block.
     """
     spark = docs.sparkSession
-    text = F.col(f"`{text_col}`")
-    counted = (docs.select(text.alias("text")).mapInArrow(count_lines, "h1 long, h2 long, docs long")
-               .groupBy("h1", "h2").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs))
+    docs = with_row_ids(docs, keep_first_by)[0] if keep_first_by else docs.withColumn(ROW, F.lit(-1).cast("long"))
+    counted = (docs.select(F.col(f"`{text_col}`").alias("text"), F.col(ROW).alias("row"))
+               .mapInArrow(count_lines, "h1 long, h2 long, docs long, first long").groupBy("h1", "h2")
+               .agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= min_docs))
     common = settle(counted)
     total = common.count()
     shards = max(1, -(-total // PER_SHARD))
     shard = F.shiftrightunsigned("h1", 40) % F.lit(shards)
     arrays = settle(common.withColumn("shard", shard).groupBy("shard")
-                    .applyInArrow(build_shard, "shard long, keys long, shift binary, prints binary, counts binary"))
+                    .applyInArrow(build_shard, "shard long, keys long, shift binary, prints binary, counts binary, first binary"))
     made = fields("n_lines long, n_dropped long, kept_text string")
     per_block = max(1, block_keys // PER_SHARD)
     out, first = docs, True
@@ -171,12 +178,12 @@ def drop_common_lines(docs: DataFrame, min_docs=10, text_col="text", block_keys=
         shared = spark.sparkContext.broadcast(Arrays.pack(rows, shards) if rows else None)
         last = at + per_block >= shards
         found = [] if last else fields("__common binary")
-        out = out.mapInArrow(_probe(text_col, shared, first, last), with_columns_of(out, (made if last else found)))
+        out = out.mapInArrow(_probe(text_col, shared, bool(keep_first_by), first, last), with_columns_of(out, (made if last else found)))
         out, first = (out if last else settle(out)), False
-    return out.drop("__common")
+    return out.drop("__common", ROW)
 
 
-def _probe(text_col, shared, first, last):
+def _probe(text_col, shared, keep_first, first, last):
     """A pass over the documents; between passes ``__common`` has a byte per line: whether it was found."""
 
     def probe(batches):
@@ -186,7 +193,12 @@ def _probe(text_col, shared, first, last):
             keys = [line_key(line) for lines in texts for line in lines]
             has = np.array([bool(k) for k in keys], dtype=bool)
             both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(k) for k in keys), ">u8").astype(np.uint64).reshape(-1, 2)
-            common = has & (arrays.count(both[:, 0], both[:, 1]) > 0) if arrays else np.zeros(len(keys), bool)
+            common = np.zeros(len(keys), bool)
+            if arrays:
+                found, least = arrays.probe(both[:, 0], both[:, 1])
+                common = has & (found > 0)
+                if keep_first:
+                    common &= least != np.repeat(batch.column(ROW).to_numpy(), [len(lines) for lines in texts])
             if not first:
                 common |= np.frombuffer(b"".join(batch.column("__common").to_pylist()), bool)
             ends = np.cumsum([len(lines) for lines in texts])
