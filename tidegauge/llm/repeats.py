@@ -86,11 +86,10 @@ def _parse(length):
                 same[1:] = (k1[1:] == k1[:-1]) & (k2[1:] >> _u(40) == k2[:-1] >> _u(40))
                 first = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
                 hit = doc > doc[first]
-                keep = hit | ~same
                 k1 = np.where(hit, mix(doc.view(np.uint64) ^ k2), k1)
                 doc = np.where(hit, -doc - 1, doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[keep].view(np.int64)), pa.array(k2[keep].view(np.int64)), pa.array(doc[keep])], names=["k1", "k2", "doc"])
+                    [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(doc)], names=["k1", "k2", "doc"])
 
     return run
 
@@ -98,8 +97,9 @@ def _parse(length):
 def _compare(batches):
     """Rows (row, span, trigger) from phrases sorted by trigger, phrase and text; the trigger is null for hits.
 
-    Later texts of a phrase are hits. The first text's phrase is open, and goes on with its trigger, if the trigger stands
-    in another phrase as well. What must be known of the rows before a block is one row.
+    Later texts of a phrase are hits. The earliest text's phrase is open, and goes on with its trigger, if the trigger stands
+    in another phrase as well. What must be known of the rows before a block is one row, and the places of the first phrase
+    in one text.
     """
     before = None
 
@@ -124,14 +124,18 @@ def _compare(batches):
         several = np.add.reduceat(new_u.astype(np.int64), np.flatnonzero(new_h)) > 1
         if before is not None and before["several"]:
             several[0] = True
-        opened = new_u & own & several[which_h]
+        early = own & (doc == earliest)
+        opened = early & several[which_h]
         out.append((doc[opened], k2[opened], h[opened]))
-        if before is not None and before["held"] is not None and several[0]:
-            out.append(tuple(np.array([x]) for x in before["held"]))
+        held = before["held"] if before is not None else []
+        if several[0]:
+            out += held
+        if several[-1]:
+            held = []
+        else:
+            waiting = early & (which_h == which_h[-1])
+            held = (held if which_h[-1] == 0 else []) + [(doc[waiting], k2[waiting], h[waiting])]
         last = int(first_u[-1])
-        held = None
-        if not several[-1]:
-            held = (doc[last], k2[last], h[last]) if own[last] else before["held"]
         before = {"k1": k1[last], "k2": k2[last], "doc": doc[last], "several": bool(several[-1]), "held": held}
         return out
 
