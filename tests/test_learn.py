@@ -141,3 +141,27 @@ def test_dedupe(spark):
     df = spark.createDataFrame([(1.0, "x"), (1.0, "x"), (float("nan"), "x"), (float("inf"), "y"), (None, "z"), (2.0, None)],
                                "v double, label string")
     assert [tuple(r) for r in learn.dedupe_flows(df).collect()] == [(1.0, "x")]
+
+
+def test_a_null_label_has_a_weight_whatever_the_number_of_classes(spark):
+    for classes in (3, 1500):
+        rows = [(f"c{i}", i) for i in range(classes)] + [(None, -1), (None, -2)]
+        out = learn.with_weights(spark.createDataFrame(rows, "label string, x int"))
+        n, k = classes + 2, classes + 1
+        assert {r.weight for r in out.filter("label is null").collect()} == {n / (k * 2)}
+        assert out.filter("weight is null").count() == 0
+
+
+def test_only_fitting_rows_are_sampled(spark):
+    rows = [(float(i % 7), "BENIGN" if i % 2 else "Syn", f"f{i % 2}") for i in range(400)]
+    df = spark.createDataFrame(rows, "`Flow Duration` double, label string, source_file string")
+    cfg = TrainingConfig(num_trees=2, max_depth=2, samples_per_file=10)
+    _, _, out = learn.train_job(spark, df, cfg)
+    assert sum(r["rows"] for r in out["test_confusion"].collect()) == 80
+    with pytest.raises(ValueError):
+        learn.train_job(spark, df.drop("source_file"), cfg)
+
+
+def test_edges_of_ratios(spark):
+    with pytest.raises(ValueError):
+        learn.balance(spark.createDataFrame([("Syn",)], "label string"), 1.0)

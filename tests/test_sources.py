@@ -20,6 +20,27 @@ def test_profile_round_trip(spark, tmp_path):
     assert (row.link_id, row.avg_pps, row.is_learned, row.tcp_ratio) == ("a", 3.0, True, 0.85)
 
 
+def test_a_learned_profile_survives(spark, tmp_path):
+    """Every column of a real profile, and a record that cannot be read beside it."""
+    from tidegauge.operators import ordered
+    from tidegauge.schemas import PROFILE
+    rates = spark.createDataFrame([("a", at(i), float(i), 2.0 * i, 10, 0.5, 0.3, 0.2) for i in range(20)],
+                                  "link_id string, tick_start timestamp, pps double, bps double, proto_packets long, "
+                                  "tcp_ratio double, udp_ratio double, icmp_ratio double")
+    learned = ordered.learn_profile(rates, 10.0)
+    tables.write_profile(learned, str(tmp_path / "p"))
+    (tmp_path / "p" / "part-bad.json").write_text("{not json\n")
+    want, got = learned.first(), tables.read_profile(spark, str(tmp_path / "p")).collect()
+    assert len(got) == 1 and set(learned.columns) <= {"link_id", *PROFILE.fieldNames()}
+    assert all(got[0][c] == want[c] for c in learned.columns) and got[0].unique_ips_per_minute == 0.0
+
+
+def test_all_blocked_sources_are_counted(spark):
+    rows = spark.range(12_000).selectExpr("'a' AS link_id", "id AS src_ip", "timestamp '2024-01-01' AS added_at",
+                                          "cast(null AS timestamp) AS removed_at")
+    assert status.active_blocks(rows).count() == 12_000
+
+
 def test_alerts_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(at(i), "ddos_attack", "high", f"m{i}", (["r"], {"pps": 1.5}, 2.0, 1.0)) for i in range(12)],
                                tables.ALERTS)

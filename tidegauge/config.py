@@ -45,9 +45,6 @@ class DetectionConfig:
 
     # per-packet drop
     syn_limit: int = 1000
-    rate_limit_pps: int = 1_000_000
-    blacklist_rows: int = 10_000
-    signature_rows: int = 1_000
 
     # long-term profile
     learning_seconds: float = 3600.0
@@ -102,7 +99,6 @@ class TrainingConfig:
     max_depth: int = 15
     min_leaf: int = 2
     seed: int = 42
-    max_files: int | None = 5
     samples_per_file: int | None = 50_000
     balance: bool = False
     benign_ratio: float = 0.3

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidegauge.config import TrainingConfig
 from tidegauge.functions import columns as C
 from tidegauge.operators import evaluate
-from tidegauge.plans.spread import hash_bucket, running, salted_join
+from tidegauge.plans.spread import hash_bucket, running, small_join
 from tidegauge.schemas import FEATURES
 
 SPLITS = ("train", "val", "test")
@@ -68,6 +68,8 @@ def _hash_numbered(df, keys, seed, total=None):
 
 def balance(df: DataFrame, ratio: float = 0.3, seed: int = 42, label: str = "label") -> DataFrame:
     """All attacks and as many benign rows as make up ``ratio`` of the result, if there are that many."""
+    if not 0 <= ratio < 1:
+        raise ValueError(f"ratio must be at least 0 and below 1, not {ratio}")
     attacks = df.filter(~C.is_benign(label))
     n = attacks.count()
     target = int(n * ratio / (1 - ratio))
@@ -102,20 +104,9 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return counts.withColumn("weight", F.lit(float(everything.n or 0)) / (max(everything.k, 1) * F.col("rows")))
 
 
-MAX_CLASSES = 1000
-
-
 def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Adds ``weight``. The weights of up to ``MAX_CLASSES`` classes become one expression, so nothing is joined."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("rows")).limit(MAX_CLASSES + 1).collect()
-    if len(counts) > MAX_CLASSES:
-        spread = [C.feature(c) for c in df.columns if c != label] or [F.col(label)]
-        return salted_join(df, class_weights(df, label).select(label, "weight"), [label], spread)
-    n = sum(r.rows for r in counts)
-    weight = F.lit(None).cast("double")
-    for r in counts:
-        weight = F.when(F.col(label).eqNullSafe(F.lit(r[label])), n / (len(counts) * r.rows)).otherwise(weight)
-    return df.withColumn("weight", weight)
+    """Adds ``weight``; a null label is a class of its own. One row per class is joined, by broadcast if few enough."""
+    return small_join(df, class_weights(df, label).select(label, "weight"), [label], "left")
 
 
 def scale_pop(df: DataFrame, columns, fit_on: DataFrame | None = None) -> DataFrame:
@@ -226,7 +217,10 @@ def model_info(spark, model: PipelineModel | None, metadata: dict | None = None)
 
 
 def train_job(spark, flows: DataFrame, cfg: TrainingConfig = TrainingConfig()):
-    """Prepare, optionally sample and balance, split, train, and report on the test part.
+    """Prepare, optionally balance, split, train, and report on the test part.
+
+    ``samples_per_file`` bounds the rows of each source file that the model is fitted on; validation and test always use
+    all of theirs. It needs a ``source_file`` column.
 
     Gives the model, a metadata dict and a dict of result tables.
     """
@@ -234,13 +228,16 @@ def train_job(spark, flows: DataFrame, cfg: TrainingConfig = TrainingConfig()):
     from tidegauge.sources.flows import sample_per_group
 
     df = prepare_flows(flows)
-    if cfg.samples_per_file and "source_file" in df.columns:
-        df = sample_per_group(df, "source_file", cfg.samples_per_file, cfg.seed)
+    if cfg.samples_per_file and "source_file" not in df.columns:
+        raise ValueError("samples_per_file needs a source_file column")
     if cfg.balance:
         df = balance(df, cfg.benign_ratio, cfg.seed)
     # Every later step (weights, fit iterations, three evaluations) reads the prepared rows again.
-    parts = settle(split(_binary(df.drop("source_file")), cfg.fractions, cfg.seed, "code"))
+    parts = settle(split(_binary(df), cfg.fractions, cfg.seed, "code"))
     train_rows, val_rows, test_rows = (parts.filter(F.col("split") == s) for s in SPLITS)
+    if cfg.samples_per_file:
+        train_rows = settle(sample_per_group(train_rows, "source_file", cfg.samples_per_file, cfg.seed))
+    train_rows, val_rows, test_rows = (p.drop("source_file") for p in (train_rows, val_rows, test_rows))
     model, metrics = train(train_rows, cfg, val_rows)
     scored = model.transform(test_rows).select(F.col("code").alias("label"), "prediction")
     tables = {"validation": metrics, "test_confusion": evaluate.confusion(scored),

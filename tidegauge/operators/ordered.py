@@ -159,6 +159,10 @@ def ema(ticks: DataFrame, columns, seeds: DataFrame, alpha: float = 0.05, chunk:
     double precision, so a chunk needs only that many ticks before it. Inside a chunk the average is a running sum of
     x * (1-alpha)^-i times (1-alpha)^i; chunks are short enough for that factor to stay within range.
     """
+    if not 0 < alpha <= 1:
+        raise ValueError(f"alpha must be above 0 and at most 1, not {alpha}")
+    if alpha == 1:
+        return ticks.withColumns({f"ema_{c}": F.col(c).cast("double") for c in columns})
     keep = 1.0 - alpha
     halo = math.ceil(-22 / math.log10(keep))
     longest = int(-200 / math.log10(keep)) - halo
@@ -210,11 +214,11 @@ def current_profile(rates: DataFrame, profile: DataFrame, seconds: float = 3600.
 
 # -- host metrics ----------------------------------------------------------------------------------
 
-def host_summary(metrics: DataFrame, last: int = 60, history: int = 1000) -> DataFrame:
-    """Means of CPU and memory over the last samples, the latest memory use, and the number of samples kept."""
+def host_summary(metrics: DataFrame, last: int = 60) -> DataFrame:
+    """Means of CPU and memory over the last samples, the latest memory use, and the number of samples."""
     recent = Window.partitionBy(*LINK).orderBy(F.desc("ts"), F.desc("seq"))
     rows = metrics.withColumn("__i", F.row_number().over(recent)).filter(F.col("__i") <= last)
-    counts = metrics.groupBy(*LINK).agg(F.least(F.count(F.lit(1)), F.lit(history)).alias("samples"))
+    counts = metrics.groupBy(*LINK).agg(F.count(F.lit(1)).alias("samples"))
     out = rows.groupBy(*LINK).agg(
         F.avg("cpu_percent").alias("avg_cpu_percent"), F.avg("memory_percent").alias("avg_memory_percent"),
         F.max(F.when(F.col("__i") == 1, F.col("memory_mb"))).alias("current_memory_mb"))

@@ -1,6 +1,6 @@
 """Top lists, recent rows and block candidates."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.plans.spread import small_join
 
@@ -48,5 +48,11 @@ def alert_rollup(alerts: DataFrame, seconds: int = 3600) -> DataFrame:
 
 def shuffle_rows(df: DataFrame, seed: int = 42, key=None) -> DataFrame:
     """rows in a random order that depends only on their content and the seed (range-partitioned sort)."""
-    key = [F.col(f"`{c}`") for c in (key or df.columns)]
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key)
+    key = key or df.columns
+    return df.orderBy(shuffle_key(key, seed), *[F.col(f"`{c}`") for c in key])
+
+
+def shuffle_key(key, seed: int = 42) -> Column:
+    """MD5 of the values as text and the seed; a null has no text but keeps its place."""
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in key]
+    return F.md5(F.concat_ws("|", *texts, F.lit(str(seed))))

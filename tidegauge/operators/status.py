@@ -70,12 +70,19 @@ def attack_episodes(scores: DataFrame, gap_seconds: float) -> DataFrame:
         F.count(F.lit(1)).alias("ticks"), F.max("score").alias("max_score"))
 
 
+def active_blocks(blacklist: DataFrame, at=None) -> DataFrame:
+    """The block list as it stands at a time, or now: every entry, newest first per link."""
+    active = blacklist.filter(F.col("removed_at").isNull()) if at is None else lists.blacklist_active(blacklist, at)
+    return active.select(*LINK, "src_ip", "added_at").orderBy(*LINK, F.desc("added_at"), "src_ip")
+
+
 def status_snapshot(scores: DataFrame, sources: DataFrame, blacklist: DataFrame, alerts: DataFrame,
                     profile: DataFrame, at=None, importance: DataFrame | None = None,
                     cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
     """L1: one row per link: totals, rates, baseline, profile, active block list, recent alerts, top sources, ML tally.
 
-    Every list is bounded: ten alerts, ten sources, ten importances, and the block list by its own size limit.
+    ``blocked`` counts the active block list, which has no bound; ``active_blocks`` gives it as a table. The other lists
+    are top lists: ten alerts, ten sources, ten importances.
     """
     from tidegauge.schemas import COUNTERS
     totals = scores.groupBy(*LINK).agg(
@@ -87,17 +94,14 @@ def status_snapshot(scores: DataFrame, sources: DataFrame, blacklist: DataFrame,
     now = _latest(scores, [F.col("pps").alias("current_pps"), F.col("bps").alias("current_bps")], "__now")
     base = _latest(scores, [*[c for c in BASELINE if c in scores.columns], "samples"], "baseline")
     prof = profile.select(*LINK, F.struct(*[c for c in profile.columns if c not in LINK]).alias("profile"))
-    if at is None:
-        active = blacklist.filter(F.col("removed_at").isNull())
-    else:
-        active = lists.blacklist_active(blacklist, at)
-    blocked = _bounded_list(active, ["src_ip", "added_at"], [F.desc("added_at"), "src_ip"], cfg.blacklist_rows, "blacklist")
+    blocked = active_blocks(blacklist, at).groupBy(*LINK).agg(F.count(F.lit(1)).alias("blocked"))
     recent = _bounded_list(alerts, ["timestamp", "severity", "message"], [F.desc("timestamp")], 10, "recent_alerts")
     top = _bounded_list(sources, ["src_ip", "packets", "bytes"], [F.desc("packets"), "src_ip"], 10, "top_sources")
     out = totals
     for part in (now, base, prof, blocked, recent, top):
         out = key_join(out, part, LINK, "left")
-    for name in ("blacklist", "recent_alerts", "top_sources"):
+    out = out.withColumn("blocked", F.coalesce("blocked", F.lit(0).cast("long")))
+    for name in ("recent_alerts", "top_sources"):
         out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
     out = out.select(*[c for c in out.columns if c != "__now"], "__now.*")
     if importance is not None:

@@ -198,9 +198,11 @@ def position_of_rank(df: DataFrame, keys, order, bucket, k) -> DataFrame:
                 .filter((F.col("__before") < F.col("__want")) & (F.col("__want") <= F.col("__before") + F.col("__n")))
                 .select(*keys, "__b", (F.col("__want") - F.col("__before")).alias("__left")))
     inside = Window.partitionBy(*keys, "__b").orderBy(*order)
-    return (work.join(crossing, [*keys, "__b"])
-            .withColumn("__i", F.row_number().over(inside))
-            .filter(F.col("__i") == F.col("__left"))
+    ranked = work.join(crossing, [*keys, "__b"]).withColumn("__i", F.row_number().over(inside))
+    if isinstance(k, int):
+        # No bucket needs more than its first k rows; with a number, tasks cut theirs before the shuffle.
+        ranked = ranked.filter(F.col("__i") <= k)
+    return (ranked.filter(F.col("__i") == F.col("__left"))
             .select(*keys, *order))
 
 

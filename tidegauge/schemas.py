@@ -34,12 +34,12 @@ BLACKLIST = _struct(
 PROFILE = _struct(
     avg_pps=DoubleType(), peak_pps=DoubleType(), avg_bps=DoubleType(), peak_bps=DoubleType(),
     tcp_ratio=DoubleType(), udp_ratio=DoubleType(), icmp_ratio=DoubleType(),
-    unique_ips_per_minute=DoubleType(), learning_samples=LongType(), last_updated=DoubleType(),
-    is_learned=BooleanType(),
+    unique_ips_per_minute=DoubleType(), learning_samples=LongType(), learn_start=TimestampType(),
+    last_updated=TimestampType(), is_learned=BooleanType(),
 )
 
 # The profile used before anything is learned.
-DEFAULT_PROFILE = (0.0, 0.0, 0.0, 0.0, 0.85, 0.10, 0.05, 0.0, 0, 0.0, False)
+DEFAULT_PROFILE = (0.0, 0.0, 0.0, 0.0, 0.85, 0.10, 0.05, 0.0, 0, None, None, False)
 
 ALERT_DETAILS = _struct(
     reasons=ArrayType(StringType()), metrics=MapType(StringType(), DoubleType()),

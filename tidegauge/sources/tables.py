@@ -31,36 +31,45 @@ def read_counters(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return df.withColumns({c: F.coalesce(c, F.lit(0)) for c in COUNTERS})
 
 
+_TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def write_profile(profile: DataFrame, path: str) -> None:
     """One JSON record per link."""
-    profile.write.mode("overwrite").json(path)
+    profile.write.mode("overwrite").option("timestampFormat", _TIMES).json(path)
 
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
-    """A stored profile; the default one if there is none or it cannot be read."""
+    """A stored profile; the default one if there is none or no record of it can be read.
+
+    A missing or unreadable value is that of the default profile.
+    """
     from pyspark.errors import AnalysisException
     from pyspark.sql.types import StringType, StructField, StructType
     schema = StructType([StructField("link_id", StringType()), *PROFILE.fields])
     try:
-        df = spark.read.schema(schema).option("multiLine", False).option("mode", "DROPMALFORMED").json(path)
-        found = not df.filter(F.col("is_learned").isNotNull()).limit(1).isEmpty()
+        df = spark.read.schema(schema).option("mode", "PERMISSIVE").option("timestampFormat", _TIMES).json(path)
+        df = df.filter(F.col("is_learned").isNotNull())
+        found = not df.limit(1).isEmpty()
     except AnalysisException:
         found = False
     if not found:
         return spark.createDataFrame([(None, *DEFAULT_PROFILE)], schema)
-    for f, default in zip(PROFILE.fields, DEFAULT_PROFILE):
-        df = df.withColumn(f.name, F.coalesce(f.name, F.lit(default)))
-    return df
+    return df.withColumns({f.name: F.coalesce(f.name, F.lit(default)) for f, default in zip(PROFILE.fields, DEFAULT_PROFILE)
+                           if default is not None})
 
 
 def write_alerts(alerts: DataFrame, path: str) -> None:
-    """A10: appended as JSON lines."""
-    alerts.select(*[f.name for f in ALERTS.fields]).write.mode("append").json(path)
+    """A10: appended as JSON lines, with the link if there is one."""
+    names = [c for c in ("link_id", *[f.name for f in ALERTS.fields]) if c in alerts.columns]
+    alerts.select(*names).write.mode("append").option("timestampFormat", _TIMES).json(path)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """A11"""
-    return spark.read.schema(ALERTS).json(path)
+    """The alerts and their links; null where none was written."""
+    from pyspark.sql.types import StringType, StructField, StructType
+    schema = StructType([StructField("link_id", StringType()), *ALERTS.fields])
+    return spark.read.schema(schema).option("timestampFormat", _TIMES).json(path)
 
 
 # Metric name, kind, help text and the column it is taken from.
@@ -104,11 +113,12 @@ def save_model(spark: SparkSession, model: PipelineModel, metadata: dict, path:
 
 
 def load_model(spark: SparkSession, path: str):
-    """(model, metadata), or (None, {}) if there is nothing to load."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import PySparkException
+    """(model, metadata), or (None, {}) if there is nothing at the path. A damaged model is an error."""
+    from pyspark.errors import AnalysisException
     try:
         meta = json.loads(spark.read.text(f"{path}/metadata").first().value)
-        return PipelineModel.load(f"{path}/model"), meta
-    except (PySparkException, Py4JJavaError):
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None, {}
+    return PipelineModel.load(f"{path}/model"), meta

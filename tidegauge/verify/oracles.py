@@ -379,7 +379,7 @@ query("e13_cumulate", """SELECT link_id, epoch_us(tick) AS tick_start_us, CAST(S
 FROM @counts WINDOW w AS (PARTITION BY link_id ORDER BY tick)""")
 query("e14_host_summary", """SELECT link_id, round(AVG(cpu_percent) FILTER (i <= 60), 6) AS avg_cpu_percent,
        round(AVG(memory_percent) FILTER (i <= 60), 6) AS avg_memory_percent,
-       round(MAX(memory_mb) FILTER (i = 1), 6) AS current_memory_mb, LEAST(COUNT(*), 1000) AS samples
+       round(MAX(memory_mb) FILTER (i = 1), 6) AS current_memory_mb, COUNT(*) AS samples
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY link_id ORDER BY ts DESC, seq DESC) AS i FROM @host_metrics) GROUP BY 1""")
 query("e15_cooldown", """SELECT k.link_id, k.type, p.seq, epoch_us(k.ts) AS ts_us FROM @kept k
 JOIN @points p ON p.link_id = k.link_id AND p.type = k.type AND p.ts = k.ts""")
@@ -398,8 +398,10 @@ _SCORE = """SELECT link_id, epoch_us(tick) AS tick_start_us, score, is_anomaly,
        round(icmp_ratio, 6) AS icmp_ratio, round(ip_entropy, 6) AS ip_entropy, round(top_ratio, 6) AS top_ratio, syn_heavy, reasons FROM """
 query("score_ticks", _SCORE + "@vscores")
 query("score_ticks_cumulative", _SCORE + "@vcumscores")
-query("i13_alerts", """SELECT link_id, epoch_us(ts) AS timestamp_us, type, severity, message, reasons, CAST(metrics AS BIGINT) AS metrics,
-       round(current_pps, 6) AS current_pps, round(baseline_pps, 6) AS baseline_pps FROM @alerts""")
+_ALERTS = """SELECT link_id, epoch_us(ts) AS timestamp_us, type, severity, message, reasons, CAST(metrics AS BIGINT) AS metrics,
+       round(current_pps, 6) AS current_pps, round(baseline_pps, 6) AS baseline_pps FROM @alerts"""
+query("i13_alerts", _ALERTS)
+query("a10_a11_alerts", _ALERTS)
 query("e15_kept_alerts", """SELECT a.link_id, epoch_us(a.ts) AS timestamp_us, a.severity FROM @kept_alerts k
 JOIN @alerts a ON a.link_id = k.link_id AND a.ts = k.ts""")
 query("f3_block_candidates", """SELECT link_id, epoch_us(tick) AS tick_start_us, src_ip, packets, CAST(r AS INTEGER) AS rank FROM (
@@ -452,6 +454,7 @@ _PROFILE = """SELECT link_id, round(avg_pps, 6) AS avg_pps, round(peak_pps, 6) A
        round(peak_bps, 6) AS peak_bps, round(tcp_ratio, 6) AS tcp_ratio, round(udp_ratio, 6) AS udp_ratio,
        round(icmp_ratio, 6) AS icmp_ratio, learning_samples"""
 query("d11_learn_profile", _PROFILE + " FROM @learned")
+query("a8_a9_profile", _PROFILE + ", epoch_us(learn_start) AS learn_start_us FROM @learned")
 query("d21_relearn_profile", _PROFILE + ", epoch_us(learn_start) AS learn_start_us FROM @relearned")
 view("later", """
 SELECT link_id, tick, pps, bps, i, p0, b0, pk, bk
@@ -612,7 +615,8 @@ FROM (SELECT label, COUNT(*) AS rows FROM @flows GROUP BY 1)""")
 query("b17_attack_type", f"""SELECT CASE WHEN {_BINARY} = 0 THEN 'BENIGN' WHEN "SYN Flag Count" > 100 AND "ACK Flag Count" < 10 THEN 'SYN_Flood'
        WHEN "Total Fwd Packets" * 300 > 10000 AND "Flow Bytes/s" * 100 > 1000000 THEN 'UDP_Flood'
        WHEN "Total Fwd Packets" * 300 > 5000 THEN 'DrDoS_UDP' ELSE 'DDoS_Generic' END AS attack_type, COUNT(*) AS flows FROM @flows GROUP BY 1""")
-query("f6_shuffle", "SELECT label, source_file, COUNT(*) AS rows FROM @flows GROUP BY 1, 2")
+query("f6_shuffle", """SELECT *, ROW_NUMBER() OVER (ORDER BY md5(concat_ws('|', label, source_file, syns, acks, 42)), label, source_file, syns, acks) AS position
+FROM (SELECT label, source_file, CAST("SYN Flag Count" AS BIGINT) AS syns, CAST("ACK Flag Count" AS BIGINT) AS acks FROM @flows)""")
 query("g1_union_flows", "SELECT source_file, 2 * COUNT(*) AS rows, COUNT(*) AS acks FROM @flows GROUP BY 1")
 query("g6_dedupe_flows", 'SELECT DISTINCT "Flow Duration", "SYN Flag Count", label FROM @flows')
 _FLOW_COLUMNS = ["Flow Duration", "Total Fwd Packets", "Total Backward Packets", "Total Length of Fwd Packets",

@@ -9,10 +9,10 @@ from tidegauge.config import TICK, DetectionConfig, FeatureConfig, TrainingConfi
 from tidegauge.functions import columns as C
 from tidegauge.operators import evaluate, features, learn, lists, ordered, ranking, rules, status, traffic
 from tidegauge.plans import detection
-from tidegauge.plans.spread import settle, shared_folder
+from tidegauge.plans.spread import numbered, settle, shared_folder
 from tidegauge.schemas import ALERTS, COUNTERS, FEATURES, FLAG_COUNTERS
 from tidegauge.sources.flows import sample_per_group, union_flows
-from tidegauge.sources.tables import to_metric_rows
+from tidegauge.sources.tables import read_alerts, read_profile, to_metric_rows, write_alerts, write_profile
 from tidegauge.streaming import jobs, processors
 
 TICK_SECONDS = 21_600.0
@@ -365,7 +365,10 @@ def _scored(spark, sf):
 
 
 def i13_alerts(spark, sf):
-    df = rules.to_alerts(_scored(spark, sf), CFG)
+    return _alerts_out(rules.to_alerts(_scored(spark, sf), CFG))
+
+
+def _alerts_out(df):
     return _out(df, "link_id", "timestamp", "type", "severity", "message",
                 reasons=F.size("details.reasons").cast("long"), metrics=F.size("details.metrics").cast("long"),
                 current_pps=F.col("details.current_pps"), baseline_pps=F.col("details.baseline_pps"))
@@ -431,6 +434,23 @@ def d11_learn_profile(spark, sf):
     return _out(ordered.learn_profile(_rates(spark, sf), CFG.learning_seconds), "link_id", *_PROFILE)
 
 
+def a8_a9_profile(spark, sf):
+    """A learned profile that was written and read again."""
+    path = f"{shared_folder(spark)}/profile-{uuid.uuid4().hex}"
+    write_profile(ordered.learn_profile(_rates(spark, sf), CFG.learning_seconds), path)
+    return _out(read_profile(spark, path), "link_id", *_PROFILE, "learn_start")
+
+
+def a10_a11_alerts(spark, sf):
+    """Alerts appended in two writes and read again."""
+    path = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    alerts = settle(rules.to_alerts(_scored(spark, sf), CFG))
+    early = F.col("timestamp") < F.lit("2024-01-15").cast("timestamp")
+    write_alerts(alerts.filter(early), path)
+    write_alerts(alerts.filter(~early), path)
+    return _alerts_out(read_alerts(spark, path))
+
+
 def d21_relearn_profile(spark, sf):
     df = ordered.learn_profile(_rates(spark, sf), CFG.learning_seconds, "2024-01-15 03:00:00")
     return _out(df, "link_id", *_PROFILE, "learn_start")
@@ -588,8 +608,12 @@ def b17_attack_type(spark, sf):
 
 
 def f6_shuffle(spark, sf):
-    df = ranking.shuffle_rows(A.labelled_flows(spark, sf))
-    return df.groupBy("label", "source_file").agg(F.count(F.lit(1)).alias("rows"))
+    """The rows in their shuffled order. Positions are found in buckets of the same hash that the order goes by."""
+    key = ["label", "source_file", "syns", "acks"]
+    flows = A.labelled_flows(spark, sf).select("label", "source_file", F.col("SYN Flag Count").cast("long").alias("syns"),
+                                               F.col("ACK Flag Count").cast("long").alias("acks"))
+    df = ranking.shuffle_rows(flows.withColumn("one", F.lit(1)), 42, key).withColumn("h", ranking.shuffle_key(key, 42))
+    return numbered(df, ["one"], ["h", *key], F.substring("h", 1, 3), "position").drop("one", "h")
 
 
 def g1_union_flows(spark, sf):
@@ -753,7 +777,7 @@ def l1_status_snapshot(spark, sf):
         return F.concat_ws(",", F.transform(c, lambda x: x[field].cast("string")))
     return _out(df, "link_id", "as_of", "current_pps", "current_bps", packets=F.col("statistics.packets"),
                 mean_pps=F.col("baseline.mean_pps"), avg_pps=F.col("profile.avg_pps"),
-                blocked=F.size("blacklist").cast("long"), alerts=F.size("recent_alerts").cast("long"),
+                blocked=F.col("blocked"), alerts=F.size("recent_alerts").cast("long"),
                 top=joined("top_sources", "src_ip"), severities=joined("recent_alerts", "severity"))
 
 
