@@ -39,16 +39,12 @@ def with_row_ids(df: DataFrame, id_col: str) -> tuple[DataFrame, bool]:
     return settle(df.orderBy(F.col(f"`{id_col}`")).withColumn(ROW, F.monotonically_increasing_id())), False
 
 
-BROADCAST_BYTES = 32 << 20
+def join_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Left join of ``docs`` with at most one row per ``__row`` that holds arrays: both sides are shuffled, at every size.
 
-
-def join_lists(docs: DataFrame, lists: DataFrame, of: str) -> DataFrame:
-    """Left join of ``docs`` with one row per ``__row`` that holds an array ``of`` longs: broadcast if its bytes allow it.
-
-    Otherwise both sides are shuffled by row; rows are unique, so nothing is skewed.
+    Lists have no size bound, so they are not broadcast; rows are unique, so nothing is skewed.
     """
-    size = lists.agg(F.sum(F.size(of) * 16 + 64).alias("bytes")).first()["bytes"] or 0
-    return docs.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, ROW, "left")
+    return docs.join(lists.hint("merge"), ROW, "left")
 
 
 def fields(ddl: str) -> list[StructField]:

@@ -279,7 +279,7 @@ def repeated_spans(rows: DataFrame, length=50) -> DataFrame:
     large = settle(opened.groupBy("trigger").count().filter(F.col("count") > LARGE).select("trigger", F.lit(True).alias("large")))
     opened = sized_join(opened, large, ["trigger"], [ROW], "left").withColumn("large", F.coalesce("large", F.lit(False)))
     lists = settle(opened.groupBy(ROW).agg(F.collect_list(F.struct("span", "trigger", "large")).alias("open")))
-    texts = join_lists(single.withColumnRenamed("row", ROW), lists, "open").filter("open is not null")
+    texts = join_lists(single.withColumnRenamed("row", ROW), lists).filter("open is not null")
     dictionary = texts.mapInArrow(_texts_of_phrases(length), f"key long, {ROW} long, start long, bytes binary")
     ordered = (dictionary.repartition("key").sortWithinPartitions("key")
                .mapInArrow(_order(length), f"{ROW} long, span long"))
@@ -303,7 +303,7 @@ def remove_repeats(docs: DataFrame, length=50, text_col="text", id_col="doc_id")
     spans = repeated_spans(numbered.select(F.col(ROW).alias("row"), text.alias("text")), length)
     made = ["n_bytes", "n_removed", "kept", "spans"]
     own = numbered.select(*[F.col(f"`{c}`") for c in numbered.columns if c not in made])
-    joined = join_lists(own, spans.withColumnRenamed("spans", "__spans"), "__spans")
+    joined = join_lists(own, spans.withColumnRenamed("spans", "__spans"))
 
     def run(batches):
         for batch in batches:
