@@ -29,8 +29,8 @@ KINDS = {
     "woman": _EDGE + rf"(?:{FEMALE})\.? {_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(KINDS.values())
-#: What every match contains: texts without it are left alone.
-QUICK = rf"@|\d{{3}}|\d\.\d|[0-9a-fA-F]{{32}}|AKIA|gh[pousr]_|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
+#: What every match contains, so that most texts need no more than one look: a digit, an at sign, or a known beginning.
+QUICK = (r"[@0-9]|AKIA|gh[pousr]_|[MHSFг](?:r|rs|s|iss|me|onsieur|adame|err|ra|eñora?|rau|-н|-жа|осподин|оспожа)\.? \p{Lu}")
 _ATTEMPTS = 64
 _CYRILLIC = ("abcdefghijklmnoprstuvz", "абцдефгхийклмнопрстувз")
 _SOUNDS = ("b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "z", "br", "dr")
@@ -88,27 +88,38 @@ def _name(pool: Column, gender: Column, script: Column, attempt: Column) -> Colu
     return F.when(script == "cyrillic", F.translate(name, *_CYRILLIC)).otherwise(name)
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with the value written and computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The surrogate of a normal form, as a normal form."""
-    pool = _pool(key, kind, norm, attempt, F.length(norm))
+    return _let(_pool(key, kind, norm, attempt, F.length(norm)), lambda pool: _from_pool(key, kind, norm, attempt, pool))
+
+
+def _from_pool(key, kind, norm, attempt, pool):
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     host = F.substring(F.sha2(F.concat(F.lit(key), F.lit("\u0001host\u0001"), domain), 256), 1, 8)
     octet = [(_value(pool, F.lit(i)) % 254 + 1).cast("string") for i in range(4)]
     first2 = (F.when(norm.startswith("10."), F.concat(F.lit("10."), octet[1])).when(norm.startswith("192.168."), F.lit("192.168"))
               .otherwise(F.concat_ws(".", (_value(pool, F.lit(0)) % 190 + 20).cast("string"), octet[1])))
-    body = F.substring(_shaped(norm, pool), F.lit(1), F.length(norm) - 1)
-    check = ((F.lit(10) - _luhn(body, True)) % 10).cast("string")
-    card = F.when(_luhn(norm, False) == 0, F.concat(body, check)).otherwise(_shaped(norm, pool))
-    country = F.regexp_extract(norm, r"^\+\d{1,3} ", 0)
-    phone = F.concat(country, _shaped(F.regexp_replace(norm, r"^\+\d{1,3} ", ""), pool))
-    prefix = F.regexp_extract(norm, "^(?:AKIA|gh[pousr]_)?", 0)
-    secret = F.concat(prefix, _shaped(F.substring(norm, F.length(prefix) + 1, F.length(norm)), pool))
+    # What is kept of a phone number is its country code, and of a secret its known beginning; an e-mail keeps its form only.
+    kept = F.regexp_extract(norm, r"^(?:\+\d{1,3} |AKIA|gh[pousr]_)?", 0)
+    rest = F.when(kind == "email", local).otherwise(F.substring(norm, F.length(kept) + 1, F.length(norm)))
+    shaped = F.concat(kept, _shaped(rest, pool))
+
+    def card(digits):
+        body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+        valid = F.concat(body, ((F.lit(10) - _luhn(body, True)) % 10).cast("string"))
+        return F.when(_luhn(norm, False) == 0, valid).otherwise(digits)
+
     script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    return (F.when(kind == "email", F.concat(_shaped(local, pool), F.lit("@h"), host, F.lit(".example.net")))
-            .when(kind == "ip", F.concat_ws(".", first2, octet[2], octet[3])).when(kind == "card", card)
-            .when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "given_m", _name(pool, F.lit("m"), script, attempt))
-            .when(kind == "given_f", _name(pool, F.lit("f"), script, attempt))
-            .when(kind == "surname", _name(pool, F.lit(""), script, attempt)).otherwise(_shaped(norm, pool)))
+    gender = F.when(kind == "given_m", "m").when(kind == "given_f", "f").otherwise("")
+    return (F.when(kind == "ip", F.concat_ws(".", first2, octet[2], octet[3]))
+            .when(kind.isin("given_m", "given_f", "surname"), _name(pool, gender, script, attempt))
+            .otherwise(_let(shaped, lambda new: F.when(kind == "email", F.concat(new, F.lit("@h"), host, F.lit(".example.net")))
+                            .when(kind == "card", card(new)).otherwise(new))))
 
 
 def _kind_of(match: Column) -> Column:
@@ -155,21 +166,31 @@ def _cased(core: Column, like: Column) -> Column:
 def _rendered(m: Column, core) -> Column:
     """The surrogate in the form of the match. ``core(part)`` gives the normal form of a part's surrogate."""
     match, kind = m["match"], m["kind"]
-    new = core(m["parts"][0])
-    skip = F.length(F.regexp_extract(match, r"^\+\d{1,3}(?=[ .(-])", 0))
-    fresh = _digits(F.regexp_replace(new, r"^\+\d{1,3} ", ""))
-    tail = F.substring(match, skip + 1, F.length(match))
-    place = lambda i: F.length(_digits(F.substring(tail, F.lit(1), i + 1)))
-    number = F.concat(F.substring(match, F.lit(1), skip), F.array_join(F.transform(
-        _chars(tail), lambda c, i: F.when(c.rlike(r"\d"), F.substring(fresh, place(i), F.lit(1))).otherwise(c)), ""))
-    title, names = F.regexp_extract(match, r"^[^ ]+ ", 0), F.split(F.regexp_replace(match, r"^[^ ]+ ", ""), " ")
-    last = names[F.size(names) - 1]
-    ending = F.when((kind == "woman") & last.rlike(r"(?<=[овинОВИН])[аА]$"), F.lit("а")).otherwise(F.lit(""))
-    person = F.when(F.size(names) > 1, F.concat(title, _cased(core(m["parts"][0]), names[0]), F.lit(" "),
-                                               _cased(F.concat(core(m["parts"][1]), ending), last))
-                    ).otherwise(F.concat(title, _cased(F.concat(new, ending), last)))
-    return (F.when(kind.isin("phone", "card", "ssn"), number).when(kind.isin("man", "woman"), person)
-            .when(kind == "email", F.when(F.upper(match) == match, F.upper(new)).otherwise(new)).otherwise(new))
+    # A person's title, and a phone number's country code, stand as they are.
+    fixed = F.when(kind.isin("man", "woman"), F.regexp_extract(match, r"^[^ ]+ ", 0)).when(
+        kind == "phone", F.regexp_extract(match, r"^\+\d{1,3}(?=[ .(-])", 0)).otherwise("")
+
+    def number(new, tail):
+        place = lambda i: F.length(_digits(F.substring(tail, F.lit(1), i + 1)))
+        fresh = _digits(F.regexp_replace(new, r"^\+\d{1,3} ", ""))
+        return _let(fresh, lambda digits: F.array_join(F.transform(_chars(tail), lambda c, i: F.when(
+            c.rlike(r"\d"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), ""))
+
+    def person(new, tail):
+        names = F.split(tail, " ")
+        last = names[F.size(names) - 1]
+        ending = F.when((kind == "woman") & last.rlike(r"(?<=[овинОВИН])[аА]$"), F.lit("а")).otherwise(F.lit(""))
+        return F.when(F.size(names) > 1, F.concat(_cased(new, names[0]), F.lit(" "),
+                                                  _cased(F.concat(core(m["parts"][1]), ending), last))
+                      ).otherwise(_cased(F.concat(new, ending), last))
+
+    def whole(new):
+        tail = F.substring(match, F.length(fixed) + 1, F.length(match))
+        return (F.when(kind.isin("phone", "card", "ssn"), F.concat(fixed, number(new, tail)))
+                .when(kind.isin("man", "woman"), F.concat(fixed, person(new, tail)))
+                .when((kind == "email") & (F.upper(match) == match), F.upper(new)).otherwise(new))
+
+    return _let(core(m["parts"][0]), whole)
 
 
 def later_attempts(entities: DataFrame, key: str) -> DataFrame:
