@@ -22,7 +22,7 @@ from tidegauge.llm.frames import extend, fields, with_columns_of
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Words per generation; two generations of about 200 bytes a word stay in memory.
-HELD_WORDS = 250_000
+HELD_WORDS = 200_000
 _AT = 40
 _PLACE = (1 << _AT) - 1
 
@@ -168,10 +168,7 @@ def encode(docs: DataFrame, vocabulary_path, text_col="text", decoded=False) ->
     tables = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
 
     def run(batches):
-        kept = tables.value  # this worker process's own copy, which outlives the task: so do the words met so far
-        if "encoder" not in kept:
-            kept["encoder"] = Encoder(kept)
-        encoder, strings = kept["encoder"], kept["strings"]
+        encoder, strings = Encoder(tables.value), tables.value["strings"]
         for batch in batches:
             ids = [encoder.encode(t) if t else b"" for t in batch.column(text_col).to_pylist()]
             made = {"n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}

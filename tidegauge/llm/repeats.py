@@ -18,7 +18,7 @@ from tidegauge.llm.textbytes import Powers, buffers, byte_values, mix
 from tidegauge.plans.spread import settle, sized_join
 
 TRIGGER = 20
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 BLOCK_ROWS = 200_000
 #: A trigger with more phrases than this is compared window by window, spread by the windows' hashes.
 LARGE = 20_000
