@@ -30,6 +30,8 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
     queries, seconds = all_queries(), {}
+    # The first query would carry the time to load and compile what all of them need.
+    queries[HEADLINE[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()
     for name in HEADLINE:
         start = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
