@@ -326,8 +326,8 @@ TOKEN_RATES = {"benign": 50_000, "anomaly": 5_000, "attack": 1_000}
 
 def token_bucket(packets: DataFrame, verdict: str = "state", rates=None) -> DataFrame:
     """Adds ``shaped``: beyond the source's tokens of that second. Tokens are not carried over."""
-    from pyspark.sql import Window
+    from tidegauge.operators.traffic import numbered_in_second
     rates = rates or TOKEN_RATES
     tokens = F.try_element_at(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv]), F.col(verdict))
-    w = Window.partitionBy("link_id", "src_ip", F.date_trunc("second", "ts")).orderBy("ts", "seq")
-    return packets.withColumn("shaped", F.coalesce(F.row_number().over(w) > tokens, F.lit(False)))
+    shaped = F.coalesce(F.col("__i") > tokens, F.lit(False))
+    return numbered_in_second(packets).withColumn("shaped", shaped).drop("__i")

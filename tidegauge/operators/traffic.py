@@ -6,7 +6,7 @@ from tidegauge.config import CUMULATIVE, DetectionConfig
 from tidegauge.functions import columns as C
 from tidegauge.operators.lists import listed_at
 from tidegauge.plans.spread import (
-    day_bucket, key_join, position_of_rank, running, runs, settle, sized_join, time_bucket,
+    day_bucket, key_join, numbered, position_of_rank, running, runs, settle, sized_join, time_bucket,
     with_salt,
 )
 from tidegauge.schemas import COUNTERS, FLOW_KEY
@@ -68,10 +68,15 @@ def packet_verdict(packets: DataFrame, blacklist: DataFrame | None = None,
 def rate_limit(packets: DataFrame, per_second: int) -> DataFrame:
     """Adds ``over_limit`` for a source's packets beyond ``per_second`` within a second of the clock.
 
-    The second is part of the window key, so a busy source is spread over its seconds.
+    A busy source is spread over its seconds, and a second over its hundredths.
     """
-    w = (Window.partitionBy("link_id", "src_ip", F.date_trunc("second", "ts")).orderBy("ts", "seq"))
-    return packets.withColumn("over_limit", F.row_number().over(w) > per_second)
+    return numbered_in_second(packets).withColumn("over_limit", F.col("__i") > per_second).drop("__i")
+
+
+def numbered_in_second(packets: DataFrame) -> DataFrame:
+    """Adds ``__i``, the 1-based position of a packet among its source's of that second."""
+    keyed = packets.withColumn("__second", F.date_trunc("second", "ts"))
+    return numbered(keyed, ["link_id", "src_ip", "__second"], ["ts", "seq"], time_bucket("ts", 0.01), "__i").drop("__second")
 
 
 # -- counters --------------------------------------------------------------------------------------
