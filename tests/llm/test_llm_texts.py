@@ -1,11 +1,13 @@
 """Operators that look at one text at a time, against plain versions: encoding, quality, lines, passages, licences."""
 
+import functools
 import random
 import re
 
 import numpy as np
 import pytest
 
+import corpus_pipeline
 import llm_brute as brute
 from tidegauge.llm import bpe, decontaminate, host_quality, licenses, line_dedup
 from tidegauge.llm.queries import vocabulary
@@ -163,6 +165,21 @@ def test_passages_are_cut_out(spark):
     assert sorted(map(str, out)) == sorted(map(str, ["é before  after", "É !", "nothing here", None]))
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WINDOWS, 3])
+def test_only_whole_windows_drop_a_document(spark, tmp_path, monkeypatch, block):
+    """Short items repeated until ten words are hit are cut out; a window of ten words ends the document."""
+    monkeypatch.setattr(decontaminate, "scan", functools.partial(decontaminate.scan, block_windows=block))
+    ten, long = " ".join(f"t{i}" for i in range(10)), " ".join(f"w{i}" for i in range(12))
+    items = [(1, "one two three four five"), (2, "b"), (3, ten), (4, long)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {"x one two three four five y One, two three four five z": "x  y  z", "b " * 12 + "end": " end", "clean": "clean",
+            " ".join(long.split()[:9]): " ".join(long.split()[:9])}
+    gone = [f"a {ten}", f"b b {' '.join(long.split()[2:])} b"]
+    docs = spark.createDataFrame(list(enumerate([*kept, *gone])), "doc_id long, text string").selectExpr("*", "bigint(length(text)) AS n_chars")
+    out = corpus_pipeline.drop_benchmark_passages(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in out} == dict(enumerate(kept.values())) and all(r.n_chars == len(r.text) for r in out)
+
+
 # -- licences --------------------------------------------------------------------------------------
 
 def base_of(text):

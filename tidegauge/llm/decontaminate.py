@@ -100,11 +100,11 @@ class HashSet:
 
 def scan(docs: DataFrame, benchmark: DataFrame, n=10, text_col="text", item_col="item_id", item_text_col="text",
          block_windows=BLOCK_WINDOWS) -> DataFrame:
-    """Adds n_words, n_hit (longs), items (sorted array of item ids as strings) and spans to ``docs``.
+    """Adds n_words, n_hit (longs), whole_window (boolean), items (sorted array of item ids as strings) and spans to ``docs``.
 
     A-Z is lower-cased and words are runs of digits, letters and all characters beyond ASCII. A window is n consecutive
     words of an item; an item of fewer words, but not none, is one window. A word inside any occurrence of a window is
-    hit; ``spans`` has the byte ranges [start, end) of maximal runs of hit words in the UTF-8 text, from the first hit
+    hit; ``whole_window`` tells whether any of them has all n words. ``spans`` has the byte ranges [start, end) of maximal runs of hit words in the UTF-8 text, from the first hit
     word to the last. Null texts have no words. Items without an id count under the empty id; items that share an id are
     one item. Columns of the added names give way.
 
@@ -116,20 +116,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, n=10, text_col="text", item_col=
                              F.col(f"`{item_text_col}`").alias("text"))
     windows = settle(items.mapInArrow(item_windows(n), "item string, k int, hash long, window binary").distinct())
     blocks = max(1, -(-windows.count() // block_windows))
-    made = fields("n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
-    state = fields("__hit binary, __items array<string>")
+    made = fields("n_words long, n_hit long, whole_window boolean, items array<string>, spans array<struct<start:long,end:long>>")
+    state = fields("__hit binary, __whole boolean, __items array<string>")
     out = docs
     for b in range(blocks):
         block = windows.filter(F.pmod("hash", F.lit(blocks)) == b)
         shared = spark.sparkContext.broadcast(HashSet.build([r.asDict() for r in block.collect()]))
         last = b == blocks - 1
-        out = out.mapInArrow(_scan(text_col, shared, b == 0, last), with_columns_of(out, made if last else state))
+        out = out.mapInArrow(_scan(text_col, n, shared, b == 0, last), with_columns_of(out, made if last else state))
         out = out if last else settle(out)
-    return out.drop("__hit", "__items")
+    return out.drop("__hit", "__whole", "__items")
 
 
-def _scan(text_col, shared, first, last):
-    """A pass over the documents; between passes ``__hit`` has a byte per word and ``__items`` the items so far."""
+def _scan(text_col, n, shared, first, last):
+    """A pass over the documents; between passes ``__hit`` has a byte per word, ``__whole`` and ``__items`` what is found so far."""
 
     def run(batches):
         known, powers, values = HashSet(shared.value), Powers(), byte_values()
@@ -142,25 +142,29 @@ def _scan(text_col, shared, first, last):
                 norm, ns, ne = normalised(data, words)
                 texts = words.text_of_word()
                 found = [set() for _ in range(end - at)] if first else [set(x) for x in batch.column("__items")[at:end].to_pylist()]
+                whole = [False] * (end - at) if first else batch.column("__whole")[at:end].to_pylist()
                 step = np.zeros(len(words) + 1, dtype=np.int64)
                 for w, k, items in known.hits(words, hashes, norm, ns, ne):
                     step[w] += 1
                     step[w + k] -= 1
                     found[texts[w]] |= items
+                    whole[texts[w]] |= k == n
                 hit = np.cumsum(step[:-1]) > 0
                 if not first:
                     hit |= np.frombuffer(b"".join(batch.column("__hit")[at:end].to_pylist()), bool)
                 for i in range(end - at):
                     a, b = words.first[i], words.first[i + 1]
-                    made.append((hit[a:b], sorted(found[i]), _runs(hit[a:b], words.starts[a:b], words.ends[a:b], offsets[i])))
+                    made.append((hit[a:b], sorted(found[i]), _runs(hit[a:b], words.starts[a:b], words.ends[a:b], offsets[i]), whole[i]))
             if last:
                 yield extend(batch, {
                     "n_words": pa.array([len(m[0]) for m in made], pa.int64()),
                     "n_hit": pa.array([int(m[0].sum()) for m in made], pa.int64()),
+                    "whole_window": pa.array([m[3] for m in made], pa.bool_()),
                     "items": pa.array([m[1] for m in made], pa.list_(pa.string())),
                     "spans": pa.array([m[2] for m in made], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
             else:
                 yield extend(batch, {"__hit": pa.array([m[0].tobytes() for m in made], pa.binary()),
+                                     "__whole": pa.array([m[3] for m in made], pa.bool_()),
                                      "__items": pa.array([m[1] for m in made], pa.list_(pa.string()))})
 
     return run
