@@ -3,9 +3,12 @@
 A surrogate is a keyed hash of what it replaces, written in the same form: digits for digits, the same country code and
 Luhn validity, names of the same gender and script. It depends on nothing else, so an entity has one surrogate wherever it
 stands. Over all rows it is checked that no two entities get the same surrogate and that none is another entity of the
-corpus; the few that fail take the next surrogate in their row of attempts, and only these are looked up.
+corpus; the few that fail take the next surrogate in their row of attempts, and only these are looked up. Where a form has
+too few values for its entities, later attempts are longer or from another block of addresses, so there is always a free one.
 """
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.llm.frames import ROW, with_row_ids
@@ -31,7 +34,8 @@ KINDS = {
 ANY = "|".join(KINDS.values())
 #: What every match contains, so that most texts need no more than one look: a digit, an at sign, or a known beginning.
 QUICK = (r"[@0-9]|AKIA|gh[pousr]_|[MHSFг](?:r|rs|s|iss|me|onsieur|adame|err|ra|eñora?|rau|-н|-жа|осподин|оспожа)\.? \p{Lu}")
-_ATTEMPTS = 64
+#: Attempts in the form of the entity itself; each one after them is a digit longer, or in a wider block of addresses.
+SAME_FORM = 4
 _CYRILLIC = ("abcdefghijklmnoprstuvz", "абцдефгхийклмнопрстувз")
 _SOUNDS = ("b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "z", "br", "dr")
 _VOWELS = ("a", "e", "i", "o")
@@ -93,21 +97,32 @@ def _let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def _growth(attempt: Column) -> Column:
+    return F.greatest(attempt - (SAME_FORM - 1), F.lit(0))
+
+
 def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The surrogate of a normal form, as a normal form."""
-    return _let(_pool(key, kind, norm, attempt, F.length(norm)), lambda pool: _from_pool(key, kind, norm, attempt, pool))
+    return _let(_pool(key, kind, norm, attempt, F.length(norm) + _growth(attempt)), lambda pool: _from_pool(key, kind, norm, attempt, pool))
 
 
 def _from_pool(key, kind, norm, attempt, pool):
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     host = F.substring(F.sha2(F.concat(F.lit(key), F.lit("\u0001host\u0001"), domain), 256), 1, 8)
     octet = [(_value(pool, F.lit(i)) % 254 + 1).cast("string") for i in range(4)]
-    first2 = (F.when(norm.startswith("10."), F.concat(F.lit("10."), octet[1])).when(norm.startswith("192.168."), F.lit("192.168"))
+    small, private = norm.startswith("192.168."), norm.rlike(r"^(?:10|192\.168)\.")
+    first2 = (F.when(small & (attempt < SAME_FORM), F.lit("192.168"))
+              .when(private & (attempt < 3 * SAME_FORM), F.concat(F.lit("10."), octet[1]))
               .otherwise(F.concat_ws(".", (_value(pool, F.lit(0)) % 190 + 20).cast("string"), octet[1])))
+    # The addresses of the fourth version may all be in use; those set apart for documentation in the sixth are not.
+    sixth = F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(pool, 4 * i + 1, 4)) for i in range(6)])
+    address = F.when(attempt < 6 * SAME_FORM, F.concat_ws(".", first2, octet[2], octet[3])).otherwise(sixth)
     # What is kept of a phone number is its country code, and of a secret its known beginning; an e-mail keeps its form only.
     kept = F.regexp_extract(norm, r"^(?:\+\d{1,3} |AKIA|gh[pousr]_)?", 0)
     rest = F.when(kind == "email", local).otherwise(F.substring(norm, F.length(kept) + 1, F.length(norm)))
-    shaped = F.concat(kept, _shaped(rest, pool))
+    longer = F.when(attempt < SAME_FORM, "").otherwise(F.array_join(F.transform(
+        F.sequence(F.lit(1), F.greatest(_growth(attempt), F.lit(1))), lambda i: (_value(pool, F.length(norm) + i - 1) % 10).cast("string")), ""))
+    shaped = F.concat(kept, _shaped(rest, pool), longer)
 
     def card(digits):
         body = F.substring(digits, F.lit(1), F.length(digits) - 1)
@@ -116,7 +131,7 @@ def _from_pool(key, kind, norm, attempt, pool):
 
     script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     gender = F.when(kind == "given_m", "m").when(kind == "given_f", "f").otherwise("")
-    return (F.when(kind == "ip", F.concat_ws(".", first2, octet[2], octet[3]))
+    return (F.when(kind == "ip", address)
             .when(kind.isin("given_m", "given_f", "surname"), _name(pool, gender, script, attempt))
             .otherwise(_let(shaped, lambda new: F.when(kind == "email", F.concat(new, F.lit("@h"), host, F.lit(".example.net")))
                             .when(kind == "card", card(new)).otherwise(new))))
@@ -173,8 +188,10 @@ def _rendered(m: Column, core) -> Column:
     def number(new, tail):
         place = lambda i: F.length(_digits(F.substring(tail, F.lit(1), i + 1)))
         fresh = _digits(F.regexp_replace(new, r"^\+\d{1,3} ", ""))
-        return _let(fresh, lambda digits: F.array_join(F.transform(_chars(tail), lambda c, i: F.when(
-            c.rlike(r"\d"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), ""))
+        # Digits of a longer surrogate follow the last place.
+        return _let(fresh, lambda digits: F.concat(F.array_join(F.transform(_chars(tail), lambda c, i: F.when(
+            c.rlike(r"\d"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), ""),
+            F.substring(digits, F.length(_digits(tail)) + 1, F.length(digits))))
 
     def person(new, tail):
         names = F.split(tail, " ")
@@ -197,14 +214,14 @@ def later_attempts(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, attempt) of the entities whose first surrogate is taken: by another entity or by one of the corpus.
 
     ``entities`` has distinct (kind, norm). Of those that claim one surrogate the least hash gets it. Rounds go on until
-    none is left; each handles a small part of the one before.
+    none is left; each handles a small part of the one before. They end, as the room of a form grows with the attempts.
     """
     def claim(df, attempt):
         return df.select("kind", "norm", surrogate(key, F.col("kind"), F.col("norm"), F.lit(attempt)).alias("new"))
 
     own = entities.select("kind", F.col("norm").alias("new"))
     taken, settled, pending = None, None, entities
-    for attempt in range(_ATTEMPTS):
+    for attempt in itertools.count():
         claims = settle(claim(pending, attempt))
         free = claims.join(own, ["kind", "new"], "left_anti")
         if taken is not None:
@@ -217,7 +234,6 @@ def later_attempts(entities: DataFrame, key: str) -> DataFrame:
         if not pending.limit(1).count():
             return settled if settled is not None else entities.select("kind", "norm", F.lit(0).alias("attempt")).limit(0)
         taken = won.select("kind", "new") if taken is None else taken.unionByName(won.select("kind", "new"))
-    raise ValueError(f"no free surrogates after {_ATTEMPTS} attempts: a kind has more entities than its format allows")
 
 
 def replace(docs: DataFrame, key: str, text_col="text", id_col="doc_id") -> DataFrame:
