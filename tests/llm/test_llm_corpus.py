@@ -231,12 +231,33 @@ def test_later_attempts_are_longer(spark):
                 assert ("2001:db8:" in r.new) == (attempt == 40)
             else:
                 assert len(r.new.split("@")[0]) == len(r.norm.split("@")[0]) + max(0, attempt - 3)
-    match = lambda m, kind: F.struct(F.lit(m).alias("match"), F.lit(kind).alias("kind"), F.array(F.lit("x")).alias("parts"))
+    part = F.struct(*[F.lit("x").alias(c) for c in ("kind", "norm", "word")])
+    match = lambda m, kind: F.struct(F.lit(m).alias("match"), F.lit(kind).alias("kind"), F.array(part).alias("parts"))
     row = spark.range(1).select(pii._rendered(match("+1 (017) 555-7713", "phone"), lambda _: F.lit("+1 234567890123")),
                                 pii._rendered(match("4111 1111", "card"), lambda _: F.lit("12345678"))).first()
     assert tuple(row) == ("+1 (234) 567-890123", "1234 5678")
 
 
+def test_whole_persons_and_their_later_mentions(spark):
+    texts = ["Mr John Michael Smith met Mr Smith. Smith said that John Smith's dog and SMITH left; Smithers and john stay.",
+             "Frau Anna van Berg, Sr. Juan Garcia Lopez y Sra. Perez. Berg kam, Anna van Berg auch.",
+             "Mr J. F. O'Hara's car, O'Hara and O'Hara@mail.example.com", "Mr de Souza, Souza", "г-жа Анна Иванова. Иванова и Анна", "Smith John Berg"]
+    out = replaced(spark, texts)
+    m = re.fullmatch(r"Mr (\w+) (\w+) (\w+) met Mr (\w+)\. (\w+) said that (\w+) (\w+)'s dog and (\w+) left; Smithers and john stay\.", out[0])
+    assert m and m[3] == m[4] == m[5] == m[7] == m[8].capitalize() and m[1] == m[6] and len({m[1], m[2], m[3]}) == 3
+    n = re.fullmatch(r"Frau (\w+) van (\w+), Sr\. (\w+) (\w+) (\w+) y Sra\. (\w+)\. (\w+) kam, (\w+) van (\w+) auch\.", out[1])
+    assert n and n[2] == n[7] == n[9] and n[1] == n[8]
+    o = re.fullmatch(r"Mr \w\. \w\. (\w+)'s car, (\w+) and (\S+)@h\w{8}\.example\.net", out[2])
+    assert o and o[1] == o[2]
+    p = re.fullmatch(r"Mr de (\w+), (\w+)", out[3])
+    assert p and p[1] == p[2]
+    q = re.fullmatch(r"г-жа (\w+) (\w+)\. (\w+) и (\w+)", out[4])
+    assert q and q[2] == q[3] and q[1] == q[4] and q[2].endswith("а")
+    assert out[5] == texts[5]
+    for name in ("John ", "Michael", "Smith ", "SMITH", "Anna", "Berg", "Juan", "Garcia", "Lopez", "Perez", "Hara", "Souza", "Иванов", "Анна"):
+        assert not any(name in t for t in out[:5]), name
+
+
 def test_personal_odd_rows(odd):
     out = pii.replace(odd, "k")
     assert out.count() == odd.count() and "score" in out.columns

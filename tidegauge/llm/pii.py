@@ -17,7 +17,14 @@ from tidegauge.plans.spread import settle, sized_join
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 MALE = r"Mr|Herr|Sr|Señor|Monsieur|г-н|господин"
 FEMALE = r"Mrs|Ms|Miss|Frau|Sra|Señora|Mme|Madame|г-жа|госпожа"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+_TITLE = rf"(?:{MALE}|{FEMALE})\.? "
+_PARTICLE = (r"(?:v[ao]n|vom|zu[mr]?|de[lnrs]?|della|di|d[aou]s?|l[aeo]s?|te[nr]|af|av|bin|ibn|ben|al|el|y|e|i)")
+_INITIAL = r"\p{Lu}\."
+#: A word of a name, without the 's of a possessive.
+_NAME = (rf"(?!(?:{MALE}|{FEMALE})(?!\p{{L}}))(?:(?:d|l|dell|al|el)['’-])?\p{{Lu}}"
+         r"(?:\p{L}|(?!['’]s(?!\p{L}))['’-](?=\p{L}))++")
+#: Given names and initials, particles, and the surname: all name words that follow a title.
+_PERSON = rf"(?:(?:{_PARTICLE}|{_INITIAL}) )*+{_NAME}(?:(?: (?:{_PARTICLE}|{_INITIAL}))*+ {_NAME})*+"
 
 #: Kinds in order of preference, and how each is written.
 KINDS = {
@@ -28,12 +35,12 @@ KINDS = {
              r"|(?<![\p{L}\p{N}-])\d{3}[.-]\d{3}[.-]\d{4})" + _END,
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "card": _EDGE + r"\d(?:[ -]?\d){12,18}" + _END,
-    "man": _EDGE + rf"(?:{MALE})\.? {_NAME}(?: {_NAME})?",
-    "woman": _EDGE + rf"(?:{FEMALE})\.? {_NAME}(?: {_NAME})?",
+    "man": _EDGE + rf"(?:{MALE})\.? {_PERSON}",
+    "woman": _EDGE + rf"(?:{FEMALE})\.? {_PERSON}",
 }
 ANY = "|".join(KINDS.values())
 #: What every match contains, so that most texts need no more than one look: a digit, an at sign, or a known beginning.
-QUICK = (r"[@0-9]|AKIA|gh[pousr]_|[MHSFг](?:r|rs|s|iss|me|onsieur|adame|err|ra|eñora?|rau|-н|-жа|осподин|оспожа)\.? \p{Lu}")
+QUICK = (r"[@0-9]|AKIA|gh[pousr]_|[MHSFг](?:r|rs|s|iss|me|onsieur|adame|err|ra|eñora?|rau|-н|-жа|осподин|оспожа)\.? \p{L}")
 #: Attempts in the form of the entity itself; each one after them is a digit longer, or in a wider block of addresses.
 SAME_FORM = 4
 _CYRILLIC = ("abcdefghijklmnoprstuvz", "абцдефгхийклмнопрстувз")
@@ -148,29 +155,86 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
+def _words(match: Column) -> Column:
+    """The words of a person behind the title, if there is one."""
+    return F.split(F.regexp_replace(match, f"^{_TITLE}", ""), " ")
+
+
+def _part(kind: Column | str, norm: Column, word: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), norm.alias("norm"), word.alias("word"))
+
+
 def _parts(kind: Column, match: Column) -> Column:
-    """The entities of a match as (kind, norm): itself, or the given name and the surname of a person."""
+    """The entities of a match as (kind, norm, word): itself, or the words of a person, of which particles are no entities."""
     country = F.regexp_extract(match, r"^\+(\d{1,3})(?=[ .(-])", 1)
     numbers = F.when(country != "", F.concat(F.lit("+"), country, F.lit(" "), _digits(F.regexp_replace(match, r"^\+\d{1,3}", "")))
                      ).otherwise(_digits(match))
     norm = (F.when(kind == "email", F.lower(match)).when(kind == "phone", numbers).when(kind.isin("card", "ssn"), _digits(match))
             .otherwise(match))
-    names = F.split(F.lower(F.regexp_replace(match, r"^[^ ]+ ", "")), " ")
-    female = kind == "woman"
-    # A Russian woman's surname is a man's with an ending, and so is its surrogate.
-    last = F.regexp_replace(names[F.size(names) - 1], r"(?<=[овин])а$", "")
-    surname = F.struct(F.lit("surname").alias("kind"), last.alias("norm"))
-    given = F.struct(F.when(female, "given_f").otherwise("given_m").alias("kind"), names[0].alias("norm"))
-    person = F.when(F.size(names) > 1, F.array(given, surname)).otherwise(F.array(surname))
-    return F.when(kind.isin("man", "woman"), person).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
+
+    def person(words):
+        def part(w, i):
+            # A Russian woman's surname is a man's with an ending, and so is its surrogate.
+            last = F.regexp_replace(F.lower(w), r"(?<=[овин])а$", "")
+            given = F.when(kind == "woman", "given_f").otherwise("given_m")
+            return (F.when(w.rlike(f"^{_PARTICLE}$"), _part("particle", w, w))
+                    .when(i == F.size(words) - 1, _part("surname", last, w)).otherwise(_part(given, F.lower(w), w)))
+        return F.transform(words, part)
+
+    return F.when(kind.isin("man", "woman"), _let(_words(match), person)).otherwise(F.array(_part(kind, norm, match)))
+
+
+def _names(matches: Column) -> Column:
+    """(kind, norm, word, of) of the name words of a text's titled persons; ``of`` is man or woman."""
+    persons = F.filter(matches, lambda m: m["kind"].isin("man", "woman"))
+    return F.flatten(F.transform(persons, lambda m: F.transform(
+        F.filter(m["parts"], lambda p: p["kind"] != "particle"),
+        lambda p: F.struct(p["kind"].alias("kind"), p["norm"].alias("norm"), p["word"].alias("word"), m["kind"].alias("of")))))
+
+
+def _any_or(names: Column) -> Column:
+    """ANY, or some of the names, as they are written or all or only the first letter in upper case. Null without names."""
+    full = F.filter(names, lambda n: ~n["word"].rlike(f"^{_INITIAL}$"))
+    forms = F.array_distinct(F.flatten(F.transform(full, lambda n: F.array(n["word"], F.upper(n["word"]), F.concat(
+        F.upper(F.substring(n["word"], 1, 1)), F.lower(F.substring(n["word"], F.lit(2), F.length(n["word"]))))))))
+    name = F.concat(F.lit("(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}]|[\p{L}\p{N}._%+-]*+@)"))
+    return F.when(F.size(forms) > 0, F.concat(
+        F.lit(f"{ANY}|{_EDGE}"), name, F.lit(f"(?:(?: (?:{_PARTICLE}|{_INITIAL}))*+ "), name, F.lit(")*+")))
+
+
+def _untitled(match: Column, names: Column) -> Column:
+    """A mention without a title: each word is what it is in the text's titled persons, the last one a surname if it can be."""
+    def part(w, i, words):
+        same = F.filter(names, lambda n: F.upper(n["word"]) == F.upper(w))
+        best = F.filter(same, lambda n: (n["kind"] == "surname") == (i == F.size(words) - 1))
+        return _let(F.coalesce(F.get(best, F.lit(0)), F.get(same, F.lit(0))), lambda n: F.when(
+            n.isNull(), _part("particle", w, w)).otherwise(_part(n["kind"], n["norm"], w)))
+
+    def whole(words):
+        of = F.get(F.filter(names, lambda n: F.upper(n["word"]) == F.upper(F.element_at(words, -1))), F.lit(0))["of"]
+        return F.struct(match.alias("match"), F.coalesce(of, F.lit("man")).alias("kind"),
+                        F.transform(words, lambda w, i: part(w, i, words)).alias("parts"))
+
+    return _let(F.split(match, " "), whole)
 
 
 def _matches(text: Column) -> Column:
-    """(match, kind, parts) in order of their places."""
+    """``found``, (match, kind, parts) in order of their places, and ``own``, the pattern of texts that name persons.
+
+    Persons are found behind their titles first. A text that has some is looked through again, for their names alone too.
+    """
+    def titled(m):
+        return _let(_kind_of(m), lambda k: F.struct(m.alias("match"), k.alias("kind"), _parts(k, m).alias("parts")))
+
+    def again(first, names, own):
+        every = F.transform(F.regexp_extract_all(text, F.concat(F.lit("("), own, F.lit(")")), F.lit(1)), lambda m: _let(
+            _kind_of(m), lambda k: F.when(k.isNull(), _untitled(m, names)).otherwise(
+                F.struct(m.alias("match"), k.alias("kind"), _parts(k, m).alias("parts")))))
+        return F.struct(F.when(own.isNull(), first).otherwise(every).alias("found"), own.alias("own"))
+
     found = F.when(text.rlike(QUICK), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
-    def one(m):
-        return F.transform(F.array(_kind_of(m)), lambda k: F.struct(m.alias("match"), k.alias("kind"), _parts(k, m).alias("parts")))[0]
-    return F.transform(F.coalesce(found, F.array().cast("array<string>")), one)
+    found = F.transform(F.coalesce(found, F.array().cast("array<string>")), titled)
+    return _let(found, lambda first: _let(_names(first), lambda names: _let(_any_or(names), lambda own: again(first, names, own))))
 
 
 def _cased(core: Column, like: Column) -> Column:
@@ -182,7 +246,7 @@ def _rendered(m: Column, core) -> Column:
     """The surrogate in the form of the match. ``core(part)`` gives the normal form of a part's surrogate."""
     match, kind = m["match"], m["kind"]
     # A person's title, and a phone number's country code, stand as they are.
-    fixed = F.when(kind.isin("man", "woman"), F.regexp_extract(match, r"^[^ ]+ ", 0)).when(
+    fixed = F.when(kind.isin("man", "woman"), F.regexp_extract(match, f"^{_TITLE}", 0)).when(
         kind == "phone", F.regexp_extract(match, r"^\+\d{1,3}(?=[ .(-])", 0)).otherwise("")
 
     def number(new, tail):
@@ -193,21 +257,21 @@ def _rendered(m: Column, core) -> Column:
             c.rlike(r"\d"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), ""),
             F.substring(digits, F.length(_digits(tail)) + 1, F.length(digits))))
 
-    def person(new, tail):
-        names = F.split(tail, " ")
-        last = names[F.size(names) - 1]
-        ending = F.when((kind == "woman") & last.rlike(r"(?<=[овинОВИН])[аА]$"), F.lit("а")).otherwise(F.lit(""))
-        return F.when(F.size(names) > 1, F.concat(_cased(new, names[0]), F.lit(" "),
-                                                  _cased(F.concat(core(m["parts"][1]), ending), last))
-                      ).otherwise(_cased(F.concat(new, ending), last))
+    def word(p):
+        female = (kind == "woman") & (p["kind"] == "surname") & p["word"].rlike(r"(?<=[овинОВИН])[аА]$")
+        ending = F.when(female, F.lit("а")).otherwise(F.lit(""))
+        return _let(core(p), lambda new: F.when(p["word"].rlike(f"^{_INITIAL}$"), F.concat(F.upper(F.substring(new, 1, 1)), F.lit("."))
+                                                ).otherwise(_cased(F.concat(new, ending), p["word"])))
+
+    def person():
+        return F.array_join(F.transform(m["parts"], lambda p: F.when(p["kind"] == "particle", p["word"]).otherwise(word(p))), " ")
 
     def whole(new):
         tail = F.substring(match, F.length(fixed) + 1, F.length(match))
         return (F.when(kind.isin("phone", "card", "ssn"), F.concat(fixed, number(new, tail)))
-                .when(kind.isin("man", "woman"), F.concat(fixed, person(new, tail)))
                 .when((kind == "email") & (F.upper(match) == match), F.upper(new)).otherwise(new))
 
-    return _let(core(m["parts"][0]), whole)
+    return F.when(kind.isin("man", "woman"), F.concat(fixed, person())).otherwise(_let(core(m["parts"][0]), whole))
 
 
 def later_attempts(entities: DataFrame, key: str) -> DataFrame:
@@ -240,17 +304,19 @@ def replace(docs: DataFrame, key: str, text_col="text", id_col="doc_id") -> Data
     """``docs`` with the text rewritten, and n_entities (long) and kinds (sorted array of the kinds found) added.
 
     Kinds: e-mail addresses, secrets (long hex strings, known key forms), IPv4 addresses, phone numbers, social security
-    numbers, card numbers, and persons behind a title that shows their gender. The given name and the surname of a person
-    are entities of their own, so "Mr John Smith" and "Mr Smith" stay one person. Upper and lower case and the separators
+    numbers, card numbers, and persons behind a title that shows their gender. Such a person has all the capitalised words
+    and initials that follow, across particles, which stay: the last is the surname, the others are given names. Each is an
+    entity of its own, so "Mr John Smith" and "Mr Smith" stay one person. Where a text names a person behind a title, the same
+    names without one, alone or in a row, are replaced in that text too; persons that never have a title are not found. Upper and lower case and the separators
     of numbers do not tell entities apart, and are kept where they stand. The same key gives the same surrogates.
 
     Null texts stay null and have no entities; rows may repeat. Columns of the added names give way. Distinct entities are
     counted up before they are shuffled, so one that stands everywhere is one row per task.
     """
     docs, _ = with_row_ids(docs, id_col)
-    found = docs.select(F.col(ROW), _matches(F.col(f"`{text_col}`")).alias("m"))
+    found = docs.select(F.col(ROW), _matches(F.col(f"`{text_col}`"))["found"].alias("m"))
     mentions = found.filter(F.size("m") > 0).select(F.col(ROW), F.explode(F.flatten(F.transform("m", lambda m: m["parts"]))).alias("e"))
-    mentions = mentions.select(ROW, "e.kind", "e.norm")
+    mentions = mentions.select(ROW, "e.kind", "e.norm").filter("kind <> 'particle'")
     later = settle(later_attempts(settle(mentions.select("kind", "norm").distinct()), key))
     own = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     out = docs.select(*[F.col(f"`{c}`") for c in own])
@@ -266,8 +332,8 @@ def replace(docs: DataFrame, key: str, text_col="text", id_col="doc_id") -> Data
         return surrogate(key, part["kind"], part["norm"], attempt)
 
     text = F.col(f"`{text_col}`")
-    out = out.withColumn("__m", _matches(text))
-    between = F.split(text, ANY, -1)
+    out = out.withColumn("__f", _matches(text)).withColumns({"__m": F.col("__f.found"), "__own": F.col("__f.own")})
+    between = F.when(F.col("__own").isNull(), F.split(text, ANY, -1)).otherwise(F.split(text, F.col("__own"), -1))
     fresh = F.concat(F.transform("__m", lambda m: _rendered(m, core)), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(between, fresh, lambda a, b: F.concat(a, b)), "")
     kinds = F.array_sort(F.array_distinct(F.transform("__m", lambda m: m["kind"])))
