@@ -300,6 +300,14 @@ def test_pipeline_stages(spark, odd, tmp_path):
     assert {i: brute.sha(t) for i, t in got} == {i: r.decoded_sha256 for i, r in out.items()}
 
 
+def test_documents_stay_where_no_language_can_be_learnt(spark):
+    texts = ["some words", "Слово", "12 34", "", None]
+    docs = as_docs(spark, texts).selectExpr("*", "string(null) AS lang")
+    held = spark.createDataFrame([(None, "some words", "en")], "doc_id long, text string, lang string")
+    assert sorted(r.text for r in corpus_pipeline.identify_language(spark, docs, SF).collect()) == ["some words", "Слово"]
+    assert corpus_pipeline.identify_language(spark, held, SF).count() == 1
+
+
 def test_pipeline_takes_odd_rows(spark, odd):
     docs = odd.withColumn("n_chars", F.length("text").cast("long")).select("doc_id", "text", "lang", "source", "n_chars")
     for rows in (docs, docs.limit(0)):
