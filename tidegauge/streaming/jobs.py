@@ -75,7 +75,10 @@ def stream_episodes(scores: DataFrame, gap: str, delay: str = "0 seconds") -> Da
 
 
 def late_count(query) -> int:
-    """Rows a query has dropped because they came after the watermark."""
+    """Rows a query has dropped because they came after the watermark, in the reports that Spark still has.
+
+    A lower bound: Spark keeps the last 100 reports, and behind a partial aggregation a row is a group of packets.
+    """
     return sum(op.get("numRowsDroppedByWatermark", 0)
                for p in query.recentProgress for op in p["stateOperators"])
 
