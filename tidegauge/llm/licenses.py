@@ -1,8 +1,10 @@
 """Licences named or quoted in texts: a positional index of rare licence words over short licence templates.
 
-Every template has key phrases without which it is not accepted. The index holds, per key phrase, the word that the fewest
-documents have (the highest IDF, counted over all documents). A text is only looked at where such a word stands; from
-there the key phrases are verified word by word, and the template's other words are looked for at their relative positions.
+Every template has key phrases without which it is not accepted. The index has one posting per template: of its first key
+phrase, the word that the fewest documents have (the highest IDF, counted over all documents). A text is only looked at where
+such a word stands; from there the key phrases are verified word by word, later ones within SLACK words of their relative
+positions, and the template's other words are looked for in the same way. Postings are not intersected, and a notice with a
+clause put in that moves a later key phrase further is not found.
 """
 
 import numpy as np
