@@ -187,9 +187,9 @@ def _parts(kind: Column, match: Column) -> Column:
 def _names(matches: Column) -> Column:
     """(kind, norm, word, of) of the name words of a text's titled persons; ``of`` is man or woman."""
     persons = F.filter(matches, lambda m: m["kind"].isin("man", "woman"))
-    return F.flatten(F.transform(persons, lambda m: F.transform(
+    return F.array_distinct(F.flatten(F.transform(persons, lambda m: F.transform(
         F.filter(m["parts"], lambda p: p["kind"] != "particle"),
-        lambda p: F.struct(p["kind"].alias("kind"), p["norm"].alias("norm"), p["word"].alias("word"), m["kind"].alias("of")))))
+        lambda p: F.struct(p["kind"].alias("kind"), p["norm"].alias("norm"), p["word"].alias("word"), m["kind"].alias("of"))))))
 
 
 def _any_or(names: Column) -> Column:
