@@ -19,6 +19,13 @@ def extend(batch: pa.RecordBatch, made: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + list(made.values()), names=kept + list(made))
 
 
+def pick(df: DataFrame, **wanted) -> DataFrame:
+    """The columns ``wanted`` names (new name = old name), found by place: other columns may differ from them in case only."""
+    at = {new: df.columns.index(old) for new, old in wanted.items()}
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return numbered.select(*[F.col(f"c{i}").alias(new) for new, i in at.items()])
+
+
 def has_unique_ids(df: DataFrame, id_col: str) -> bool:
     """Whether the column identifies the rows: no null and no repetition."""
     ids = df.select(F.col(f"`{id_col}`").alias("id"))

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, chat_format, decontaminate, host_quality, jaccard, language, licenses, line_dedup, pii, repeats
+from tidegauge.llm import (
+    bpe, chat_format, decontaminate, host_quality, jaccard, language, licenses, line_dedup, packing, pii, repeats,
+)
 from tidegauge.plans.spread import settle
 
 
@@ -10,9 +12,9 @@ def _table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def vocabulary():
+def vocabulary(name="byte_bpe_50k.json"):
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_pii_surrogates(spark, sf):
@@ -81,5 +83,10 @@ def op10_chat_format(spark, sf):
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op13_packing(spark, sf):
+    out = packing.pack(_table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def all_queries():
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
