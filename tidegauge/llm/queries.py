@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tidegauge.llm import (
-    bpe, chat_format, decontaminate, host_quality, jaccard, language, licenses, line_dedup, packing, pii, repeats,
+    alignment, bpe, chat_format, decontaminate, host_quality, jaccard, language, licenses, line_dedup, packing, pii, repeats,
+    whitening,
 )
 from tidegauge.plans.spread import settle
 
@@ -83,6 +84,21 @@ def op10_chat_format(spark, sf):
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_alignment(spark, sf):
+    out, _ = alignment.align(_table(spark, sf, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                      F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
+def op12_whitening(spark, sf):
+    rows, model = whitening.whiten(_table(spark, sf, "embeddings"))
+    explained = F.array(*map(F.lit, model.explained if model else [])).cast("array<double>")
+    n, error = (model.n, model.identity_error) if model else (0, 0.0)
+    return rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
 def op13_packing(spark, sf):
     out = packing.pack(_table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
     return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
