@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tidegauge.llm.bpe import byte_letters, pack as pack_ids
 from tidegauge.llm.frames import fields, pick
 from tidegauge.plans.spread import settle, sized_join
 
@@ -23,7 +24,8 @@ CAPACITY = 4096
 ITEMS, HELD_BYTES = 32_768, 32 << 20
 #: Bins with at most this share of free space are nearly full.
 SLACK = 1 / 1024
-HELD_WORDS = 400_000
+#: Words per generation; two generations of about 200 bytes a word stay in memory.
+HELD_WORDS = 200_000
 _PIECES = "piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 
@@ -73,21 +75,23 @@ class Encoder:
         outside = r"[^\x00-\u012f\u0131-\u01ff]" + "".join("|" + re.escape(n) for n in names)
         self.special = re.compile(outside).search
         self.cut = re.compile(_cut_pattern()).findall
-        self.letters = _byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.merge = self.library.model.tokenize
         self.words, self.pieces = _Held(self._word), _Held(self._piece)
 
     def _word(self, word):
-        tokens = self.merge(word.encode().decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        plain = word.isascii() and word.isprintable()
+        return pack_ids([t.id for t in self.merge(word if plain else word.encode().decode("latin-1").translate(self.letters))])
 
     def _piece(self, piece):
         if self.special(piece):
             return self._by_library(piece)
+        if piece.isalpha():
+            return self.words[piece.lower()]
         return b"".join(map(self.words.__getitem__, self.cut(piece.lower())))
 
     def _by_library(self, text):
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return pack_ids(self.library.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text):
         if not self.local:
@@ -96,15 +100,18 @@ class Encoder:
 
 
 class _Held(dict):
-    """Results by key. A full table is emptied, so its size is bounded; long keys are not held."""
+    """Results by key in two generations: when the young one is full it becomes the old one. Long keys are not held."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        made = self.make(key)
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
         if len(self) >= HELD_WORDS:
+            self.old = dict(self)
             self.clear()
         if len(key) <= 48:
             self[key] = made
@@ -132,11 +139,6 @@ def _cut_pattern():
     return f"'s|'t|'re|'ve|'m|'ll|'d|[{of['L']}]+|[{of['N']}]|[^{space}{of['L']}{of['N']}]+"
 
 
-def _byte_letters():
-    from tidegauge.llm.bpe import byte_letters
-    return dict(enumerate(byte_letters()))
-
-
 def pack(docs: DataFrame, vocabulary_path, id_col="doc_id", text_col="text", capacity=CAPACITY, end_id=1) -> DataFrame:
     """Cuts documents into pieces of at most ``capacity`` tokens and packs these into as few sequences as it can.
 
