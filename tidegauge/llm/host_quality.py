@@ -11,6 +11,8 @@ from tidegauge.plans.spread import settle
 
 SPACE = r"[ \t-\r]+"
 WINDOW = 8
+#: One-sided 95 % of a normal distribution, in deviations.
+SURE = 1.645
 RULES = ("base_failed", "symbols_failed", "lines_failed")
 
 
@@ -76,37 +78,41 @@ def host_rates(measured: DataFrame, host_col="source") -> DataFrame:
     """Per host: documents, failures per rule, and each rule's rate shrunk by an empirical beta prior.
 
     The prior of a rule has the mean of all documents; its strength comes from the variance of the hosts' rates (weighted
-    by documents) beyond what binomial sampling alone gives. Hosts that do not differ get their common rate. A null host
-    is a host of its own; a table without rows has no hosts.
+    by documents) beyond what binomial sampling alone gives. Hosts that do not differ get their common rate. ``_low`` lies
+    ``SURE`` deviations of the host's posterior below its rate: one bad host makes the prior weak, and a host of one
+    document must not be judged by that. A null host is a host of its own; a table without rows has no hosts.
     """
     hosts = settle(measured.groupBy(F.col(f"`{host_col}`").alias("host")).agg(
         F.count(F.lit(1)).alias("docs"), *[F.sum(F.col(r).cast("long")).alias(r) for r in RULES]))
     total = hosts.agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("hosts"), *[F.sum(r).alias(r) for r in RULES],
                       *[F.sum(F.col(r) * F.col(r) / F.col("docs")).alias(f"{r}_sq") for r in RULES]).first()
     for r in RULES:
-        hosts = hosts.withColumn(f"{r}_rate", _shrunk(F.col(r), F.col("docs"), total, r))
+        rate, spread = _shrunk(F.col(r), F.col("docs"), total, r)
+        hosts = hosts.withColumn(f"{r}_rate", rate).withColumn(f"{r}_low", F.col(f"{r}_rate") - F.lit(SURE) * spread(F.col(f"{r}_rate")))
     return hosts
 
 
-def _shrunk(failed, docs, total, rule) -> Column:
+def _shrunk(failed, docs, total, rule):
+    """The mean of a host's posterior, and its deviation given the mean."""
     if not total["docs"]:
-        return F.lit(0.0)
+        return F.lit(0.0), lambda rate: F.lit(0.0)
     mean = total[rule] / total["docs"]
     noise = mean * (1 - mean)
     between = total[f"{rule}_sq"] / total["docs"] - mean * mean - noise * total["hosts"] / total["docs"]
     if noise <= 0 or between <= 1e-9 * noise:
-        return F.lit(float(mean))
+        return F.lit(float(mean)), lambda rate: F.lit(0.0)
     strength = max(noise / between - 1, 0.0)
-    return (failed + F.lit(mean * strength)) / (docs + F.lit(strength))
+    rate = (failed + F.lit(mean * strength)) / (docs + F.lit(strength))
+    return rate, lambda rate: F.sqrt(rate * (F.lit(1.0) - rate) / (docs + F.lit(strength + 1)))
 
 
 def judge(measured: DataFrame, host_col="source", max_rate=0.5) -> DataFrame:
-    """Adds host_kept and kept: a host goes when the shrunk rate of any rule exceeds ``max_rate``.
+    """Adds host_kept and kept: a host goes when it is sure (``_low``) that the rate of a rule exceeds ``max_rate``.
 
     ``measured`` is read twice; have it written. A document is kept unless it fails the base rule or its host goes. Only
     hosts that go are joined back: Spark broadcasts them if their written size allows it, and else splits skewed hosts.
     """
-    gone = settle(host_rates(measured, host_col).filter(" or ".join(f"{r}_rate > {max_rate}" for r in RULES))
+    gone = settle(host_rates(measured, host_col).filter(" or ".join(f"{r}_low > {max_rate}" for r in RULES))
                   .select(F.col("host").alias("__host"), F.lit(False).alias("__kept")))
     df = measured.join(gone, F.col(f"`{host_col}`").eqNullSafe(F.col("__host")), "left")
     kept = F.coalesce("__kept", F.lit(True))

@@ -68,8 +68,10 @@ h AS (SELECT source, rule, count(*) AS n, sum(failed) AS x FROM long GROUP BY AL
 t AS (SELECT rule, sum(n) AS n, count(*) AS hosts, sum(x) / sum(n) AS mean, sum(x * x / n) / sum(n) AS sq FROM h GROUP BY rule),
 p AS (SELECT rule, mean, mean * (1 - mean) AS noise,
     sq - mean * mean - mean * (1 - mean) * hosts / n AS between_hosts FROM t),
-gone AS (SELECT DISTINCT coalesce(source, '(null)') AS source FROM h JOIN p USING (rule)
-  WHERE CASE WHEN noise <= 0 OR between_hosts <= 1e-9 * noise THEN mean
-    ELSE (x + mean * greatest(noise / between_hosts - 1, 0)) / (n + greatest(noise / between_hosts - 1, 0)) END > 0.5)
+q AS (SELECT source, n, noise <= 0 OR between_hosts <= 1e-9 * noise AS alike, mean, x, greatest(noise / between_hosts - 1, 0) AS strength
+  FROM h JOIN p USING (rule)),
+post AS (SELECT source, n, alike, strength, CASE WHEN alike THEN mean ELSE (x + mean * strength) / (n + strength) END AS rate FROM q),
+gone AS (SELECT DISTINCT coalesce(source, '(null)') AS source FROM post
+  WHERE CASE WHEN alike THEN rate ELSE rate - 1.645 * sqrt(rate * (1 - rate) / (n + strength + 1)) END > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(source, '(null)') NOT IN (SELECT source FROM gone) AS kept FROM f"""
