@@ -132,4 +132,4 @@ def test_host_summary(spark):
     df = spark.createDataFrame([("a", at(i), i, float(i), 1.0, float(i)) for i in range(1200)],
                                "link_id string, ts timestamp, seq long, cpu_percent double, memory_percent double, memory_mb double")
     row = ordered.host_summary(df).first()
-    assert (row.avg_cpu_percent, row.current_memory_mb, row.samples) == (1169.5, 1199, 1000)
+    assert (row.avg_cpu_percent, row.current_memory_mb, row.samples) == (1169.5, 1199, 1200)

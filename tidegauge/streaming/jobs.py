@@ -83,6 +83,24 @@ def late_count(query) -> int:
                for p in query.recentProgress for op in p["stateOperators"])
 
 
+def replay(df: DataFrame, folder: str, slices, files: int = 1) -> DataFrame:
+    """A stream that takes a table in as many micro-batches as ``slices`` (Columns that pick rows) has members, in order.
+
+    Every slice is written as ``files`` files, one slice after the other, since a file source reads old files first; a
+    slice with fewer rows than files would share its batch with the next one.
+    """
+    for rows in slices:
+        df.filter(rows).repartition(files).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def time_slices(ts: str, start: str, seconds: int, count: int):
+    """Conditions of ``count`` spans of equal length from ``start`` on; the first takes all before, the last all after."""
+    at = F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.to_timestamp(F.lit(start)))) / (seconds * 1_000_000))
+    place = F.least(F.greatest(at, F.lit(0)), F.lit(count - 1))
+    return [place == k for k in range(count)]
+
+
 # -- micro-batch jobs ------------------------------------------------------------------------------
 
 class BatchState:

@@ -696,7 +696,43 @@ query("k3_stream_baseline", f"""SELECT link_id, epoch_us(tick) AS tick_start_us,
        round(pps_sigma, 6) AS pps_sigma, round(change_rate, 6) AS change_rate FROM @prior WHERE {_CLOSED}""")
 query("k4_stream_scores", _SCORE + f"@scores WHERE {_CLOSED}")
 query("k5_stream_cooldown", SQL["e15_cooldown"].replace("AS ts_us", "AS timestamp_us"))
-query("k6_closed_loop", """SELECT epoch_us(ts) AS timestamp_us, type, severity, message FROM @alerts WHERE """ + _CLOSED.replace("tick +", "ts +", 1))
+# The loop takes five slices of six days. A tick is judged in the batch after the first slice whose last packet closes it.
+view("slices", """
+SELECT *, MAX(m) OVER (ORDER BY k) AS reached FROM (
+  SELECT LEAST(GREATEST((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // (6 * 86400 * 1000000::BIGINT), 0), 4) AS k,
+         MAX(date_trunc('millisecond', ts)) AS m FROM @adm GROUP BY 1)""")
+view("judged", "SELECT c.*, (SELECT MIN(k) FROM @slices s WHERE s.reached >= c.tick + INTERVAL 6 HOUR) AS batch FROM @counts c")
+view("loop0_list", "SELECT NULL::VARCHAR AS link_id, NULL::BIGINT AS src_ip, NULL::TIMESTAMP AS added_at WHERE FALSE")
+for _k in range(5):
+    _l = f"loop{_k}"
+    view(f"{_l}_sources", f"""
+SELECT s.*, l.src_ip IS NOT NULL AS listed, CASE WHEN l.src_ip IS NULL THEN s.packets ELSE 0 END AS seen
+FROM @sources s JOIN @judged j ON j.link_id = s.link_id AND j.tick = s.tick AND j.batch = {_k}
+LEFT JOIN @{_l}_list l ON l.link_id = s.link_id AND l.src_ip = s.src_ip""")
+    view(f"{_l}_left", f"SELECT link_id, tick, src_ip, packets, syn_count FROM @{_l}_sources WHERE NOT listed")
+    view(f"{_l}_conc", _concentration(f"{_l}_left", 2))
+    view(f"{_l}_ticks", f"""
+SELECT p.* EXCLUDE (sources, ip_entropy, top_ratio, syn_heavy), COALESCE(k.sources, 0) AS sources,
+       COALESCE(k.ip_entropy, 0) AS ip_entropy, COALESCE(k.top_ratio, 0) AS top_ratio, COALESCE(k.syn_heavy, 0) AS syn_heavy,
+       (SELECT COALESCE(SUM(packets), 0) FROM @{_l}_sources s WHERE s.listed AND s.link_id = p.link_id AND s.tick = p.tick) AS dropped_packets,
+       (SELECT COALESCE(SUM(bytes), 0) FROM @{_l}_sources s WHERE s.listed AND s.link_id = p.link_id AND s.tick = p.tick) AS dropped_bytes
+FROM @prior p JOIN @judged j ON j.link_id = p.link_id AND j.tick = p.tick AND j.batch = {_k}
+LEFT JOIN @{_l}_conc k ON k.link_id = p.link_id AND k.tick = p.tick""")
+    view(f"{_l}_scores", _scores(f"{_l}_ticks"))
+    view(f"loop{_k + 1}_list", f"""
+SELECT * FROM @{_l}_list UNION ALL
+SELECT link_id, src_ip, MAX(tick + INTERVAL 6 HOUR) FROM (
+  SELECT s.*, ROW_NUMBER() OVER (PARTITION BY s.link_id, s.tick ORDER BY s.packets DESC, s.src_ip) AS place
+  FROM @{_l}_left s JOIN @{_l}_scores a ON a.link_id = s.link_id AND a.tick = s.tick WHERE a.is_anomaly AND s.packets > 3)
+WHERE place <= 5 GROUP BY 1, 2""")
+    MATERIALIZED.update({f"{_l}_list", f"{_l}_sources", f"{_l}_scores"})
+MATERIALIZED.add("judged")
+view("loop", " UNION ALL ".join(f"SELECT * FROM @loop{_k}_scores" for _k in range(5)))
+query("k6_closed_loop", """SELECT epoch_us(tick) AS timestamp_us, 'ddos_attack' AS type, CASE WHEN score >= 75 THEN 'high' ELSE 'medium' END AS severity,
+       'DDoS attack detected (score: ' || printf('%.1f', score) || ')' AS message FROM @loop WHERE is_anomaly""")
+query("k6_loop_ticks", """SELECT link_id, epoch_us(tick) AS tick_start_us, packets, CAST(dropped_packets AS BIGINT) AS dropped_packets,
+       CAST(dropped_bytes AS BIGINT) AS dropped_bytes, CAST(packets - dropped_packets AS BIGINT) AS passed_packets, sources,
+       round(ip_entropy, 6) AS ip_entropy, round(top_ratio, 6) AS top_ratio, syn_heavy, score, is_anomaly, reasons FROM @loop""")
 query("k7_stream_profile", f"""SELECT e.link_id, epoch_us(tick) AS tick_start_us, {_EMA}, learning_samples
 FROM @ema e JOIN @learned l ON l.link_id = e.link_id WHERE {_CLOSED}""")
 query("k8_stream_features", f"SELECT link_id, epoch_us(tick) AS tick_start_us, {_ALL} FROM @frame40 WHERE {_CLOSED}")

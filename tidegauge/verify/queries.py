@@ -837,14 +837,38 @@ def k5_stream_cooldown(spark, sf):
     return _out(_run(spark, df), "link_id", "type", "seq", "timestamp")
 
 
-def k6_closed_loop(spark, sf):
+#: Replayed streams take the month in five batches of six days.
+SLICES = ("2024-01-01 00:00:00", 6 * 86_400, 5)
+
+
+def _replayed_packets(spark, sf, folder):
+    """The packets in several micro-batches, in time order."""
+    processors.use_rocksdb(spark)
+    events = A.read(spark, sf, "events")
+    return traffic.admit(A.packets_of(jobs.replay(events, f"{folder}/in", jobs.time_slices("ts", *SLICES))))
+
+
+def _closed_loop(spark, sf):
     folder = _work(spark)
-    q = jobs.run_closed_loop(_streamed_packets(spark, sf), f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint",
-                             CFG)
+    q = jobs.run_closed_loop(_replayed_packets(spark, sf, folder), f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint", CFG)
     q.awaitTermination()
+    return folder
+
+
+def k6_closed_loop(spark, sf):
+    """The alerts of a loop over five batches: what one batch's alerts block is dropped from the next batch on."""
+    folder = _closed_loop(spark, sf)
     return _out(spark.read.schema(ALERTS).json(f"{folder}/out/alerts"), "timestamp", "type", "severity", "message")
 
 
+def k6_loop_ticks(spark, sf):
+    """The ticks of the loop as it saw them: what was dropped, and the score of what was left."""
+    folder = _closed_loop(spark, sf)
+    df = spark.read.option("mergeSchema", False).parquet(f"{folder}/out/scores")
+    return _out(df, "link_id", "tick_start", "packets", "dropped_packets", "dropped_bytes", "passed_packets", "sources",
+                "ip_entropy", "top_ratio", "syn_heavy", "score", "is_anomaly", reasons=F.array_join("reasons", "|"))
+
+
 def k7_stream_profile(spark, sf):
     rates = jobs.stream_rates(_streamed_packets(spark, sf), TICK_SECONDS)
     df = _run(spark, processors.stream_profile(rates, CFG.learning_seconds))
