@@ -87,7 +87,8 @@ def test_rare_pairs_are_joined(spark, libraries, monkeypatch, bound):
 
 
 def test_small_chunks(spark, libraries, monkeypatch):
-    monkeypatch.setattr(alignment, "CHUNK_BYTES", 50)
+    monkeypatch.setattr(alignment, "CHUNK_CHARS", 50)
+    monkeypatch.setattr(alignment, "CHUNK_TOKENS", 9)
     monkeypatch.setattr(alignment, "HELD_PAIRS", 30)
     assert aligned(spark, ROWS) == brute(libraries, ROWS)
 

@@ -20,9 +20,8 @@ from tidegauge.llm.bpe import load_vocabulary
 from tidegauge.llm.frames import fields, pick
 from tidegauge.plans.spread import shared_folder
 
-#: Bytes and texts that a task takes at a time, links whose counts it looks up at a time, and pairs it adds up before it
-#: hands them on.
-CHUNK_BYTES, CHUNK_TEXTS, HELD_PAIRS = 1 << 20, 4096, 1 << 20
+#: Characters, texts and tokens that a task takes at a time, and pairs it adds up before it hands them on.
+CHUNK_CHARS, CHUNK_TEXTS, CHUNK_TOKENS, HELD_PAIRS = 1 << 19, 2048, 1 << 17, 1 << 19
 BROADCAST_PAIRS = 1 << 21
 _B = 20
 _TOKENS = "a array<int>, b array<int>, a_cut binary, b_cut binary"
@@ -151,7 +150,7 @@ def _chunks(batches):
             ids.append(i)
             texts.append(t or "")
             size += len(texts[-1])
-            if size >= CHUNK_BYTES or len(ids) >= CHUNK_TEXTS:
+            if size >= CHUNK_CHARS or len(ids) >= CHUNK_TEXTS:
                 yield ids, texts
                 ids, texts, size = [], [], 0
     if ids:
@@ -197,6 +196,7 @@ def _tokenize(batches, a_path, b_path, arrow):
         yield _rows(arrow, {"id": ids, "row": np.arange(row, row + len(ids)), "a": made[0], "b": made[1],
                             "a_cut": _packed(in_a, a.offsets), "b_cut": _packed(in_b, b.offsets)})
         row += len(ids)
+        pa.default_memory_pool().release_unused()
         if len(a):
             i, j = links(a, b)
             held.append(_document_counts(a.text.to_numpy()[i], _keys(a, b, i, j)))
@@ -257,11 +257,13 @@ def align(docs: DataFrame, a_path, b_path, id_col="doc_id", text_col="text") ->
     counts = counts.join(F.broadcast(highest), "a").withColumn("best", F.col("n") == F.col("most")).drop("most")
     least = _frequent(counts)
     often = counts.filter(F.col("n") >= least).select("pair", "n", "best").toArrow()
-    seen = docs.sparkSession.sparkContext.broadcast([often.column(c).to_numpy() for c in ("pair", "n", "best")])
+    # Bounded by BROADCAST_PAIRS and by the vocabularies.
+    sizes = [np.array([len(s) for s in side.bytes]) for side in (ByteTokens(a_path), PieceTokens(b_path))]
+    seen = docs.sparkSession.sparkContext.broadcast(([often.column(c).to_numpy() for c in ("pair", "n", "best")], sizes))
     texts = stored.filter("row is not null").select("id", "row", "a", "b", "a_cut", "b_cut")
     out_schema = StructType([StructField("id", id_field.dataType)] + fields(f"row long, {_COUNTS}, rest array<long>"))
     out_arrow = to_arrow_schema(out_schema)
-    found = texts.mapInArrow(lambda batches: _count(batches, a_path, b_path, seen, out_arrow), out_schema)
+    found = texts.mapInArrow(lambda batches: _count(batches, seen, out_arrow), out_schema)
     columns = [c.split()[0] for c in _COUNTS.split(", ")]
     if least > 1:  # rarer pairs are joined: a pair has fewer than ``least`` texts, so no key is frequent
         found = _stored(found)
@@ -276,11 +278,47 @@ def align(docs: DataFrame, a_path, b_path, id_col="doc_id", text_col="text") ->
     return found.select(F.col("id").alias(id_field.name), *columns), pairs
 
 
-def _count(batches, a_path, b_path, seen, arrow):
-    a_sizes, b_sizes = (pa.array([len(s) for s in side.bytes], pa.int64()) for side in (ByteTokens(a_path), PieceTokens(b_path)))
-    names = [pa.array([str(i) for i in range(len(s))]) for s in (a_sizes, b_sizes)]
-    pairs, counts, best = seen.value
-    value_set = pa.array(pairs)
+class _Places:
+    """Places of many keys at once: a hash table with open addressing, at most half full."""
+
+    def __init__(self, keys):
+        self.bits = max(int(len(keys) * 2).bit_length(), 4)
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.place = np.zeros(1 << self.bits, np.int32)
+        left, shift = np.arange(len(keys)), 0
+        while len(left):
+            slot = self._slots(keys[left], shift)
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = keys[left[free]]
+            mine = self.keys[slot] == keys[left]
+            self.place[slot[mine]] = left[mine]
+            left, shift = left[~mine], shift + 1
+        self.longest = shift
+
+    def _slots(self, keys, shift):
+        hashed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)
+        return (hashed.astype(np.int64) + shift) & ((1 << self.bits) - 1)
+
+    def find(self, keys):
+        """Place of every key, -1 for unknown ones."""
+        out = np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
+        for shift in range(self.longest):
+            slot = self._slots(keys[left], shift)
+            held = self.keys[slot]
+            mine = held == keys[left]
+            out[left[mine]] = self.place[slot[mine]]
+            left = left[~mine & (held != -1)]
+            if not len(left):
+                break
+        return out
+
+
+def _count(batches, seen, arrow):
+    (pairs, counts, best), sizes = seen.value
+    a_sizes, b_sizes = (pa.array(s, pa.int64()) for s in sizes)
+    names = [pa.array([str(i) for i in range(len(s))]) for s in sizes]
+    places = _Places(pairs)
     for batch in batches:
         for part in _bounded(batch):
             a, b = Tokens(part.column("a"), a_sizes), Tokens(part.column("b"), b_sizes)
@@ -288,8 +326,9 @@ def _count(batches, a_path, b_path, seen, arrow):
             in_a, in_b = (_unpacked(part.column(c), t.offsets) for c, t in (("a_cut", a), ("b_cut", b)))
             i, j = links(a, b)
             text, key = a.text.to_numpy()[i], _keys(a, b, i, j)
-            place = pc.index_in(pa.array(key), value_set=value_set).fill_null(-1).to_numpy()
+            place = places.find(key)
             known = place >= 0
+            # Counts add up exactly: links of one text to their known pairs.
             sums, bests = np.zeros(n, np.int64), np.zeros(n, np.int64)
             np.add.at(sums, text[known], counts[place[known]])
             np.add.at(bests, text[known], best[place[known]])
@@ -299,6 +338,7 @@ def _count(batches, a_path, b_path, seen, arrow):
             made = [n_a, n_b, n_groups, n_a + n_b - n_groups, bests, sums]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), *[pa.array(m, pa.int64()) for m in made],
                                               groups, rest], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
 
 def _bounded(batch):
@@ -307,7 +347,7 @@ def _bounded(batch):
     at = 0
     while at < batch.num_rows:
         before = size[at - 1] if at else 0
-        end = min(max(at + 1, int(np.searchsorted(size, before + (1 << 19), side="right"))), batch.num_rows)
+        end = min(max(at + 1, int(np.searchsorted(size, before + CHUNK_TOKENS, side="right"))), batch.num_rows)
         yield batch.slice(at, end - at)
         at = end
 
