@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidegauge.llm.frames import extend, fields, with_columns_of
+from tidegauge.llm.frames import extend, fields, parts, with_columns_of
 
 #: How byte-level vocabularies cut text before merging (fixed value; white space is Unicode's White_Space).
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -169,7 +169,7 @@ def encode(docs: DataFrame, vocabulary_path, text_col="text", decoded=False) ->
 
     def run(batches):
         encoder, strings = Encoder(tables.value), tables.value["strings"]
-        for batch in batches:
+        for batch in parts(batches, text_col):
             ids = [encoder.encode(t) if t else b"" for t in batch.column(text_col).to_pylist()]
             made = {"n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
             if decoded:

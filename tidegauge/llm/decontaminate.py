@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.frames import extend, fields, with_columns_of
+from tidegauge.llm.frames import extend, fields, parts, with_columns_of
 from tidegauge.llm.textbytes import (
     ALNUM, LOWER, Powers, Words, byte_values, chunks, span_hashes, window_hashes, windows_inside,
 )
@@ -133,7 +133,7 @@ def _scan(text_col, n, shared, first, last):
 
     def run(batches):
         known, powers, values = HashSet(shared.value), Powers(), byte_values()
-        for batch in batches:
+        for batch in parts(batches, text_col):
             made = []
             for at, end, data, offsets in chunks(batch.column(text_col)):
                 data = LOWER[data]
@@ -182,7 +182,7 @@ def remove_spans(scanned: DataFrame, text_col="text") -> DataFrame:
     """The scanned documents with the bytes of ``spans`` taken out of the text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, text_col):
             texts = batch.column(text_col).to_pylist()
             for i, spans in enumerate(batch.column("spans").to_pylist()):
                 if spans:

@@ -1,6 +1,8 @@
 """Columns and identity: what every operator here needs before its own work."""
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegralType, StructField, StructType
 
@@ -26,6 +28,23 @@ def pick(df: DataFrame, **wanted) -> DataFrame:
     return numbered.select(*[F.col(f"c{i}").alias(new) for new, i in at.items()])
 
 
+#: What a task works on at a time, in bytes of text and rows; a longer text stands alone.
+PART_BYTES, PART_ROWS = 1 << 20, 2048
+
+
+def parts(batches, text_col):
+    """The batches in slices of bounded size, whatever the length of the texts; memory goes back to the system in between."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
+        until, at = np.cumsum(sizes.astype(np.int64)), 0
+        while at < batch.num_rows:
+            before = until[at - 1] if at else 0
+            end = min(max(at + 1, int(np.searchsorted(until, before + PART_BYTES, side="right"))), at + PART_ROWS, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+        pa.default_memory_pool().release_unused()
+
+
 def has_unique_ids(df: DataFrame, id_col: str) -> bool:
     """Whether the column identifies the rows: no null and no repetition."""
     ids = df.select(F.col(f"`{id_col}`").alias("id"))

@@ -11,12 +11,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegauge.llm.frames import extend, fields, with_columns_of
+from tidegauge.llm.frames import extend, fields, parts, with_columns_of
 from tidegauge.llm.textbytes import chunks
 
 ORDERS = (1, 2, 3, 4)
 BINS = 1 << 14
 PIECE = 1 << 20
+#: Rows of the matrices that a task holds: 80 KB a row.
+ROWS = 256
 UNKNOWN = "und"
 #: Digits, punctuation and control bytes count as white space.
 _PLAIN = np.arange(256, dtype=np.uint32)
@@ -78,7 +80,7 @@ def training_rows(docs: DataFrame, text_col, lang_col, id_col, per_language) ->
             rows = [i for i, key in enumerate(keys) if key in wanted and not (key in seen or seen.add(key))]
             if rows:
                 part = batch.take(pa.array(rows))
-                made = [presence(d, o) for _, _, d, o in chunks(lowered(part.column("text")))]
+                made = [presence(d, o) for _, _, d, o in chunks(lowered(part.column("text")), rows=ROWS)]
                 packed = [p.tobytes() for m in made for p in np.packbits(m, axis=1)]
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("hash"), pa.array(packed, pa.binary())],
                                                  names=["lang", "hash", "bits"])
@@ -124,12 +126,12 @@ def identify(docs: DataFrame, text_col="text", lang_col="lang", id_col="doc_id",
     def predict(batches):
         langs, weights = shared.value
         names = np.array([*langs, UNKNOWN], dtype=object)
-        for batch in batches:
+        for batch in parts(batches, text_col):
             column = batch.column(text_col)
             letters = np.asarray(pc.fill_null(pc.match_substring_regex(column, r"\pL"), False).to_numpy(zero_copy_only=False), bool)
             best = np.full(len(column), len(langs))
             score = np.zeros(len(column))
-            for at, end, data, offsets in chunks(lowered(column)):
+            for at, end, data, offsets in chunks(lowered(column), rows=ROWS):
                 if langs:
                     value = normalised(presence(data, offsets)) @ weights
                     best[at:end], score[at:end] = value.argmax(axis=1), np.clip((value.max(axis=1) + 1) / 2, 0, 1)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.frames import ROW, extend, fields, with_columns_of, with_row_ids
+from tidegauge.llm.frames import ROW, extend, fields, parts, with_columns_of, with_row_ids
 from tidegauge.llm.textbytes import mix
 from tidegauge.plans.spread import settle
 
@@ -41,7 +41,7 @@ def count_lines(batches):
             [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.fromiter(docs.values(), np.int64, len(docs))),
              pa.array(np.fromiter(first.values(), np.int64, len(first)))], names=["h1", "h2", "docs", "first"])
 
-    for batch in batches:
+    for batch in parts(batches, "text"):
         for text, row in zip(batch.column("text"), batch.column("row").to_pylist()):
             for d in set(_digests(text.as_py())):
                 if d is not None:
@@ -188,7 +188,7 @@ def _probe(text_col, shared, keep_first, first, last):
 
     def probe(batches):
         arrays = Arrays(shared.value) if shared.value else None
-        for batch in batches:
+        for batch in parts(batches, text_col):
             texts = [(t or "").encode().split(b"\n") for t in batch.column(text_col).to_pylist()]
             keys = [line_key(line) for lines in texts for line in lines]
             has = np.array([bool(k) for k in keys], dtype=bool)

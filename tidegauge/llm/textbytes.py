@@ -68,12 +68,16 @@ def buffers(column):
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column, limit=CHUNK_BYTES):
-    """(first row, end row, bytes, offsets) of consecutive rows with about ``limit`` bytes; a longer text stands alone."""
+def chunks(column, limit=CHUNK_BYTES, rows=None):
+    """(first row, end row, bytes, offsets) of consecutive rows with about ``limit`` bytes, and at most ``rows`` rows.
+
+    A longer text stands alone.
+    """
     data, offsets = buffers(column)
     n, at = len(offsets) - 1, 0
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        end = min(end, at + rows) if rows else end
         yield at, end, data[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at]
         at = end
 
