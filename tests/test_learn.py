@@ -94,7 +94,8 @@ def test_other_models_and_selection(spark):
     for cfg in (TrainingConfig("gradient_boosting", num_trees=3, max_depth=3), TrainingConfig("tree", max_depth=3)):
         assert learn.train(df, cfg, features=few)[1].first().accuracy > 0.95
     assert set(learn.select_by_anova(df, 2, few)) == set(few[:2])
-    assert learn.cross_validate(df, TrainingConfig("tree", max_depth=3), 3, few)[1] > 0.95
+    models, folds = learn.cross_validate(df, TrainingConfig("tree", max_depth=3), 3, few)
+    assert len(models) == 3 and all(r.accuracy > 0.95 for r in folds.collect()) and sum(r.rows for r in folds.collect()) == df.count()
     with pytest.raises(ValueError):
         learn.train(df, TrainingConfig("svm"), features=few)
 
@@ -107,7 +108,7 @@ def test_untrained(spark):
 
 def test_rules_from_flows(spark):
     df = separable(spark, 300).withColumn("attack_type", F.when(C.is_benign("label"), "BENIGN").otherwise("Syn"))
-    out = learn.mine_signatures(df.withColumn("confidence", F.lit(99.0)), ["Flow Packets/s"], exact=True).collect()
+    out = learn.mine_signatures(df.withColumn("confidence", F.lit(99.0)), ["Flow Packets/s"], extremes=True).collect()
     assert [(r.attack_type, r.matched, r.false_rate, r.keep) for r in out] == [("Syn", 1, 0, True)]
     approx = learn.mine_signatures(df.withColumn("confidence", F.lit(99.0)), ["Flow Packets/s"], 0.01, 0.99).first()
     assert approx.keep

@@ -78,3 +78,20 @@ def test_episodes(spark):
                                "link_id string, tick_start timestamp, is_anomaly boolean, score double")
     got = status.attack_episodes(df, 30).orderBy("episode").collect()
     assert [(r.ticks, r.max_score) for r in got] == [(3, 70), (2, 155)]
+
+
+def test_flow_files_say_what_was_left_out(spark, tmp_path):
+    from tidegauge.sources.flows import flow_files, read_labelled_flows
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.csv").write_text(' Flow Duration, Label\n1,BENIGN\n"2",Syn\n Flow Duration, Label\n\n')
+    (tmp_path / "deep" / "b.csv").write_text("Label,SYN Flag Count\nSyn,9\n")
+    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "d.csv").write_text("\n1,2\n")
+    (tmp_path / "e e.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "note.txt").write_text("no flow file\n")
+    reasons = {r.file.rsplit("/", 1)[1]: r.reason for r in flow_files(spark, str(tmp_path)).collect()}
+    assert reasons == {"a.csv": None, "b.csv": None, "c.csv": "empty", "d.csv": "no header", "e%20e.csv": "no label"}
+    rows = read_labelled_flows(spark, str(tmp_path))
+    assert rows.columns == ["Flow Duration", "Label", "SYN Flag Count", "source_file"]
+    assert sorted((r[0] or "", r[1], r[2] or "") for r in rows.collect()) == [("", "Syn", "9"), ("1", "BENIGN", ""), ("2", "Syn", "")]
+    assert read_labelled_flows(spark, str(tmp_path), max_files=1).count() == 2

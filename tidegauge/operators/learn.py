@@ -5,17 +5,14 @@ import time
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import (
-    IndexToString, StandardScaler, StringIndexer, UnivariateFeatureSelector, VectorAssembler,
-)
+from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegauge.config import TrainingConfig
 from tidegauge.functions import columns as C
 from tidegauge.operators import evaluate
-from tidegauge.plans.spread import hash_bucket, running, small_join
+from tidegauge.plans.spread import hash_bucket, key_join, running, small_join
 from tidegauge.schemas import FEATURES
 
 SPLITS = ("train", "val", "test")
@@ -249,62 +246,129 @@ def train_job(spark, flows: DataFrame, cfg: TrainingConfig = TrainingConfig()):
     return model, meta, tables
 
 
+def with_folds(df: DataFrame, folds: int = 5, seed: int = 42, label: str = "code") -> DataFrame:
+    """Adds ``fold`` (0 to folds - 1), dealt in turn to the rows of every label by rank of a content hash."""
+    ranked = _hash_numbered(df, [label], seed)
+    return ranked.withColumn("fold", F.pmod(F.col("__i") - 1, F.lit(folds)).cast("int")).drop("__i", "__h")
+
+
 def cross_validate(df: DataFrame, cfg: TrainingConfig = TrainingConfig(), folds: int = 5, features=None):
-    """Mean accuracy over k folds."""
+    """One model per fold, fitted on the others; gives the models and their metrics as one table (a row per fold).
+
+    Every row is in one test fold, and every label is spread evenly over the folds. Class weights are those of the rows
+    that a model is fitted on.
+    """
+    from tidegauge.plans.spread import settle
     features = features or [f for f in FEATURES if f in df.columns]
-    weighted = with_weights(_binary(df).select(*[C.feature(f) for f in features], "code"), "code")
-    cv = CrossValidator(estimator=Pipeline(stages=_stages(features, cfg)), estimatorParamMaps=ParamGridBuilder().build(),
-                        evaluator=MulticlassClassificationEvaluator(labelCol="code", metricName="accuracy"),
-                        numFolds=folds, seed=cfg.seed)
-    model = cv.fit(weighted)
-    return model.bestModel, model.avgMetrics[0]
+    dealt = settle(with_folds(_binary(df).select(*[C.feature(f) for f in features], "code"), folds, cfg.seed))
+    models, table = [], None
+    for k in range(folds):
+        test = dealt.filter(F.col("fold") == k)
+        model, metrics = train(dealt.filter(F.col("fold") != k), cfg, test, features)
+        row = metrics.select(F.lit(k).alias("fold"), F.lit(test.count()).alias("rows"), "*")
+        models.append(model)
+        table = row if table is None else table.unionByName(row)
+    return models, table
+
+
+def anova(df: DataFrame, features=None, label: str = "label") -> DataFrame:
+    """ANOVA of every feature over the classes, as (feature, f, between, within), from one aggregation of the rows.
+
+    Sums are those of squared differences from the means. ``f`` is infinite where a feature varies between classes only,
+    and null where it does not vary at all or there are fewer than two classes.
+    """
+    features = features or [f for f in FEATURES if f in df.columns]
+    per = df.groupBy(F.col(label).alias("class")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.struct(F.avg(C.feature(f)).alias("m"), F.var_pop(C.feature(f)).alias("v")).alias(f"s{i}")
+                                        for i, f in enumerate(features)])
+    stats = per.select("n", F.posexplode(F.array(*[f"s{i}" for i in range(len(features))])).alias("i", "s"))
+    n, m = F.sum("n"), F.sum(F.col("n") * F.col("s.m")) / F.sum("n")
+    # One row per class and feature; sums between classes are taken around the mean of all rows.
+    mean = stats.groupBy("i").agg(m.alias("mean"))
+    sums = stats.join(F.broadcast(mean), "i").groupBy("i").agg(
+        n.alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("s.v")).alias("within"),
+        F.sum(F.col("n") * (F.col("s.m") - F.col("mean")) * (F.col("s.m") - F.col("mean"))).alias("between"))
+    above, below = F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k"))
+    f = F.when((F.col("k") > 1) & (F.col("within") > 0), above / F.when(F.col("n") > F.col("k"), below)).when(
+        (F.col("k") > 1) & (F.col("between") > 0), F.lit(float("inf")))
+    names = F.array(*[F.lit(x) for x in features])
+    return sums.select(F.get(names, F.col("i")).alias("feature"), f.alias("f"), "between", "within")
 
 
 def select_by_anova(df: DataFrame, n: int = 20, features=None):
-    """Names of the n features with the highest ANOVA F value."""
-    features = features or [f for f in FEATURES if f in df.columns]
-    vector = VectorAssembler(inputCols=features, outputCol="raw_vector").transform(_binary(df))
-    selector = UnivariateFeatureSelector(featuresCol="raw_vector", labelCol="code", outputCol="chosen",
-                                         selectionMode="numTopFeatures")
-    selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(min(n, len(features)))
-    return [features[i] for i in selector.fit(vector).selectedFeatures]
+    """Names of the n features with the highest ANOVA F value; of equal values in the order of the names."""
+    top = anova(_binary(df), features, "code").filter("f is not null").orderBy(F.desc("f"), "feature").limit(n)
+    return [r.feature for r in top.collect()]
 
 
 # -- rules -----------------------------------------------------------------------------------------
 
+def exact_quantiles(df: DataFrame, key: str, columns, shares, bins: int = 256) -> DataFrame:
+    """Of every key and column the least value at or below which each share of the key's rows lies.
+
+    Gives (key, column, share, value). An approximate histogram over all rows cuts every column into ``bins``; the values
+    are counted per bin, and only the bins in which a share is reached are put in order. Nulls do not count.
+    """
+    edges = df.agg(*[F.percentile_approx(C.feature(c), [i / bins for i in range(1, bins)], 10_000).alias(f"e{i}")
+                     for i, c in enumerate(columns)]).first()
+    out = None
+    for i, c in enumerate(columns):
+        cuts = sorted(set(edges[f"e{i}"] or []))
+        rows = df.select(F.col(key).alias(key), C.feature(c).cast("double").alias("value")).filter("value is not null")
+        place = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda e: e <= F.col("value")))
+        rows = rows.withColumn("__bin", place)
+        counts = rows.groupBy(key, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+        along = Window.partitionBy(key)
+        before = along.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select(key, "__bin", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+                               F.sum("__n").over(along).alias("__all"))
+        want = counts.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+        want = want.withColumn("__rank", F.greatest(F.ceil(F.col("__all") * F.col("share") - F.lit(1e-9)), F.lit(1)))
+        want = want.filter((F.col("__rank") > F.col("__before")) & (F.col("__rank") <= F.col("__before") + F.col("__n")))
+        inside = Window.partitionBy(key, "__bin").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # Equal values are one row with a count, so a frequent value is no hot key.
+        met = key_join(rows, want.select(key, "__bin").distinct(), [key, "__bin"], "left_semi")
+        ranked = met.groupBy(key, "__bin", "value").agg(F.count(F.lit(1)).alias("__m")).withColumn("__upto", F.sum("__m").over(inside))
+        found = key_join(ranked, want, [key, "__bin"], extra=(F.col("__before") + F.col("__upto") >= F.col("__rank"))
+                         & (F.col("__before") + F.col("__upto") - F.col("__m") < F.col("__rank")))
+        one = found.select(key, F.lit(c).alias("column"), "share", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def mine_signatures(flows: DataFrame, features, low: float = 0.05, high: float = 0.95, sure: float = 90.0,
-                    min_match: float = 0.9, max_false: float = 0.001, exact: bool = False) -> DataFrame:
+                    min_match: float = 0.9, max_false: float = 0.001, extremes: bool = False) -> DataFrame:
     """Per attack type a box of feature bounds from flows predicted with high confidence.
 
-    ``flows`` has ``attack_type``, ``confidence`` and ``label``. Bounds are approximate quantiles (``exact`` takes the
-    extremes). ``matched`` is the share of the type's flows inside its box, ``false_rate`` the share of benign flows;
-    ``keep`` tells whether both limits hold. The boxes (a few rows) become expressions, so validation is one scan.
+    ``flows`` has ``attack_type``, ``confidence`` and ``label``. Bounds are exact quantiles (``extremes`` takes the least and
+    the greatest value instead). ``matched`` is the share of the type's flows inside its box, ``false_rate`` the share of
+    benign flows; ``keep`` tells whether both limits hold. The boxes, one per attack type, are held against all flows in
+    one scan.
     """
     attack = flows.filter((F.col("attack_type") != "BENIGN") & (F.col("confidence") > sure))
-
-    def bound(c, q, extreme):
-        return extreme(C.feature(c)) if exact else F.percentile_approx(C.feature(c), q, 10_000)
-
-    boxes = attack.groupBy("attack_type").agg(
-        *[bound(c, low, F.min).alias(f"lo_{i}") for i, c in enumerate(features)],
-        *[bound(c, high, F.max).alias(f"hi_{i}") for i, c in enumerate(features)]).orderBy("attack_type").collect()
-    parts = []
-    benign = C.is_benign("label")
-    for b in boxes:
-        inside = F.lit(True)
-        for i, c in enumerate(features):
-            inside = inside & C.feature(c).between(b[f"lo_{i}"], b[f"hi_{i}"])
-        mine = F.col("attack_type") == b.attack_type
-        parts.append(F.struct(
-            F.lit(b.attack_type).alias("attack_type"),
-            F.array(*[F.lit(float(b[f"lo_{i}"])) for i in range(len(features))]).alias("low"),
-            F.array(*[F.lit(float(b[f"hi_{i}"])) for i in range(len(features))]).alias("high"),
-            C.ratio(F.count_if(mine & inside), F.count_if(mine)).alias("matched"),
-            C.ratio(F.count_if(benign & inside), F.count_if(benign)).alias("false_rate")).alias(f"b{len(parts)}"))
-    if not parts:
-        return flows.sparkSession.createDataFrame(
-            [], "attack_type string, low array<double>, high array<double>, matched double, false_rate double, keep boolean")
-    out = flows.agg(*parts).select(F.explode(F.array(*[f"b{i}" for i in range(len(parts))])).alias("b")).select("b.*")
+    if extremes:
+        boxes = attack.groupBy("attack_type").agg(
+            F.array(*[F.min(C.feature(c)).cast("double") for c in features]).alias("low"),
+            F.array(*[F.max(C.feature(c)).cast("double") for c in features]).alias("high"))
+    else:
+        bounds = exact_quantiles(attack, "attack_type", features, [low, high])
+        boxes = bounds.groupBy("attack_type").agg(*[F.array(*[
+            F.max(F.when((F.col("column") == c) & (F.col("share") == F.lit(float(q))), F.col("value"))) for c in features]).alias(n)
+            for n, q in (("low", low), ("high", high))])
+    rows = boxes.orderBy("attack_type").collect()
+    schema = "attack_type string, low array<double>, high array<double>, matched double, false_rate double, keep boolean"
+    if not rows:
+        return flows.sparkSession.createDataFrame([], schema)
+    box = F.array(*[F.struct(F.lit(r.attack_type).alias("t"), F.lit(list(r.low)).cast("array<double>").alias("low"),
+                             F.lit(list(r.high)).cast("array<double>").alias("high")) for r in rows])
+    value = F.array(*[C.feature(c).cast("double") for c in features])
+    seen = flows.select("attack_type", C.is_benign("label").alias("__benign"), value.alias("__v"), F.explode(box).alias("b"))
+    inside = F.coalesce(F.forall(F.arrays_zip("__v", F.col("b.low").alias("l"), F.col("b.high").alias("h")),
+                                 lambda z: z["__v"].between(z["l"], z["h"])), F.lit(False))
+    mine = F.col("attack_type") == F.col("b.t")
+    out = seen.groupBy(F.col("b.t").alias("attack_type"), F.col("b.low").alias("low"), F.col("b.high").alias("high")).agg(
+        C.ratio(F.count_if(mine & inside), F.count_if(mine)).alias("matched"),
+        C.ratio(F.count_if(F.col("__benign") & inside), F.count_if("__benign")).alias("false_rate"))
     return out.withColumn("keep", (F.col("matched") >= min_match) & (F.col("false_rate") < max_false))
 
 

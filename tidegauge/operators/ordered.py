@@ -155,8 +155,9 @@ def after_learning(rates: DataFrame, seconds: float = 3600.0, since=None, keep_b
 def ema(ticks: DataFrame, columns, seeds: DataFrame, alpha: float = 0.05, chunk: int | None = None) -> DataFrame:
     """Exponential averages y = (1-alpha)*y + alpha*x, started from the link's seed; adds ``ema_<column>``.
 
-    ``seeds`` has one row per link with ``seed_<column>``. Ticks further back than ``halo`` weigh less than 1e-22, below
-    double precision, so a chunk needs only that many ticks before it. Inside a chunk the average is a running sum of
+    ``seeds`` has one row per link with ``seed_<column>``; without a row the seed is 0. What a chunk of ticks does to the
+    average is a factor and a sum, y -> factor*y + sum. These are found per chunk and composed along the link, so every
+    chunk starts from the exact average before it, at any length. Inside a chunk the average is a running sum of
     x * (1-alpha)^-i times (1-alpha)^i; chunks are short enough for that factor to stay within range.
     """
     if not 0 < alpha <= 1:
@@ -164,22 +165,28 @@ def ema(ticks: DataFrame, columns, seeds: DataFrame, alpha: float = 0.05, chunk:
     if alpha == 1:
         return ticks.withColumns({f"ema_{c}": F.col(c).cast("double") for c in columns})
     keep = 1.0 - alpha
-    halo = math.ceil(-22 / math.log10(keep))
-    longest = int(-200 / math.log10(keep)) - halo
-    chunk = min(chunk or CHUNK, longest)
-    work = with_halo(numbered(ticks, LINK, ["tick_start"], day_bucket("tick_start")), "n", chunk, halo)
-    work = small_join(work, seeds.select(*LINK, *[f"seed_{c}" for c in columns]), LINK, "left")
-    order = Window.partitionBy(*LINK, "__chunk").orderBy("n")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    i = F.row_number().over(order)
-    work = work.withColumn("__i", i.cast("double"))
+    size = max(min(chunk or CHUNK, int(-200 / math.log10(keep))), 1)
+    power = F.pow(F.lit(keep), F.col("__i"))
+    work = numbered(ticks, LINK, ["tick_start"], day_bucket("tick_start"), "__n")
+    work = work.withColumn("__chunk", F.floor((F.col("__n") - 1) / F.lit(size)).cast("long"))
+    work = work.withColumn("__i", (F.col("__n") - F.col("__chunk") * size).cast("double")).withColumns(
+        {f"__x_{c}": F.col(c) * alpha / power for c in columns})
+    steps = work.groupBy(*LINK, "__chunk").agg(F.min(power).alias("__factor"),
+                                               *[F.sum(f"__x_{c}").alias(f"__x_{c}") for c in columns])
+    step = F.struct("__chunk", "__factor", *[(F.col(f"__x_{c}") * F.col("__factor")).alias(c) for c in columns])
+    along = steps.groupBy(*LINK).agg(F.array_sort(F.collect_list(step)).alias("__steps"))
+    along = small_join(along, seeds.select(*LINK, *[F.coalesce(f"seed_{c}", F.lit(0.0)).alias(f"seed_{c}") for c in columns]), LINK, "left")
+    first = F.struct(*[F.coalesce(f"seed_{c}", F.lit(0.0)).cast("double").alias(c) for c in columns])
+    # The averages before each chunk: one more than there are chunks, the last is not needed.
+    starts = F.aggregate("__steps", F.array(first), lambda done, s: F.concat(done, F.array(F.struct(*[
+        (s["__factor"] * F.element_at(done, -1)[c] + s[c]).alias(c) for c in columns]))))
+    starts = along.select(*LINK, F.posexplode(starts).alias("__at", "__start"))
+    starts = starts.select(*LINK, F.col("__at").cast("long").alias("__chunk"), "__start")
+    so_far = Window.partitionBy(*LINK, "__chunk").orderBy("__n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    work = key_join(work, starts, [*LINK, "__chunk"], "left")
     for c in columns:
-        # The seed enters as the value before the very first tick.
-        first = F.when(F.col("n") == 1, F.coalesce(F.col(f"seed_{c}"), F.lit(0.0)) * keep).otherwise(0.0)
-        x = F.col(c) * alpha + first
-        work = work.withColumn(f"ema_{c}", F.sum(x * F.pow(F.lit(keep), -F.col("__i"))).over(so_far)
-                               * F.pow(F.lit(keep), F.col("__i")))
-    return owned(work).drop("__i", *[f"seed_{c}" for c in columns])
+        work = work.withColumn(f"ema_{c}", (F.col(f"__start.{c}") + F.sum(f"__x_{c}").over(so_far)) * power)
+    return work.drop("__n", "__chunk", "__i", "__start", *[f"__x_{c}" for c in columns])
 
 
 def adapt_profile(rates: DataFrame, profile: DataFrame, seconds: float = 3600.0, alpha: float = 0.05, since=None,

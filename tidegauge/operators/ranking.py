@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegauge.plans.spread import small_join
+from tidegauge.plans.spread import day_bucket, running, small_join
 
 
 def top_sources(sources: DataFrame, k: int = 10, per_link: bool = True) -> DataFrame:
@@ -34,6 +34,23 @@ def block_candidates(sources: DataFrame, alerts: DataFrame, top: int = 5, more_t
     return busy.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
+def block_candidates_since(sources: DataFrame, alerts: DataFrame, top: int = 5, more_than: int = 10_000) -> DataFrame:
+    """F3 on totals since the start: of the top sources so far at every tick with a kept alert, those above the threshold.
+
+    ``sources`` are per-tick rows. A tick that adds no source has the top of the tick before it.
+    """
+    from tidegauge.operators.traffic import cumulative_members
+    members = cumulative_members(sources.filter("packets > 0"), top).select(
+        "link_id", "tick_start", F.lit(0).alias("kind"), F.struct("tick_start", "top_sources", "top_totals").alias("m"))
+    alerted = alerts.select("link_id", F.col("timestamp").alias("tick_start"), F.lit(1).alias("kind")).distinct()
+    along = running(members.unionByName(alerted, allowMissingColumns=True), ["link_id"], ["tick_start", "kind"],
+                    day_bucket("tick_start"), maxs={"last": "m"})
+    found = along.filter("kind = 1").select(
+        "link_id", "tick_start", F.posexplode(F.arrays_zip("last.top_sources", "last.top_totals")).alias("at", "s"))
+    return found.select("link_id", "tick_start", F.col("s.top_sources").alias("src_ip"), F.col("s.top_totals").alias("packets"),
+                        (F.col("at") + 1).alias("rank")).filter(F.col("packets") > more_than)
+
+
 def recent_alerts(alerts: DataFrame, n: int = 10) -> DataFrame:
     """F4"""
     return alerts.orderBy(F.desc("timestamp"), *[c for c in ("link_id", "type") if c in alerts.columns]).limit(n)

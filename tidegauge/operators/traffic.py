@@ -233,18 +233,30 @@ def syn_heavy(sources: DataFrame, limit: int = DEFAULT.syn_heavy, keys=("link_id
 
 
 def _top_after(known, k):
-    """Streaming top k of counts that only grow: whoever is outside can only get in by changing itself."""
+    """Streaming top k of counts that only grow: whoever is outside can only get in by changing itself.
+
+    Of equal counts the smaller address is ahead.
+    """
     def update(src, n):
         if src in known or len(known) < k:
             known[src] = n
         else:
-            least = min(known, key=known.get)
-            if n > known[least]:
+            least = min(known, key=lambda s: (known[s], -s))
+            if (n, -src) > (known[least], -least):
                 del known[least]
                 known[src] = n
     return update
 
 
+def _packets_of(known):
+    return [sum(known.values())]
+
+
+def _members_of(known):
+    ranked = sorted(known.items(), key=lambda e: (-e[1], e[0]))
+    return [[s for s, _ in ranked], [n for _, n in ranked]]
+
+
 def _states_before(k):
     def fold(batches):
         import pandas as pd
@@ -261,7 +273,10 @@ def _states_before(k):
     return fold
 
 
-def _sums_inside(k):
+def _inside(k, told, columns):
+    """Per tick what ``told`` says about the top k; ``columns`` names it."""
+    columns = ["link_id", "tick_us", *columns]
+
     def fold(batches):
         import pandas as pd
         known, tick, out = {}, None, []
@@ -269,33 +284,49 @@ def _sums_inside(k):
         for (link, chunk), piece, new in runs(batches, ["link_id", "chunk"]):
             if new:
                 if current is not None:
-                    out.append((current, tick, sum(known.values())))
+                    out.append((current, tick, *told(known)))
                 first = piece.iloc[0]
                 known = dict(zip(first["start_src"], first["start_n"]))
                 current, tick = link, None
             update = _top_after(known, k)
             for t, src, n in zip(piece["tick_us"], piece["src_ip"], piece["n"]):
                 if tick is not None and t != tick:
-                    out.append((link, tick, sum(known.values())))
+                    out.append((link, tick, *told(known)))
                 tick = t
                 update(src, n)
             if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=["link_id", "tick_us", "top_packets"])
+                yield pd.DataFrame(out, columns=columns)
                 out = []
         if tick is not None:
-            out.append((current, tick, sum(known.values())))
-        yield pd.DataFrame(out, columns=["link_id", "tick_us", "top_packets"])
+            out.append((current, tick, *told(known)))
+        yield pd.DataFrame(out, columns=columns)
     return fold
 
 
 def cumulative_top(cumulated: DataFrame, k: int = DEFAULT.top_k) -> DataFrame:
-    """D8 in cumulative scope: sum of the k largest source totals at every tick.
+    """D8 in cumulative scope: sum of the k largest source totals at every tick."""
+    return _fold_top(cumulated, k, _packets_of, "top_packets long")
+
+
+def cumulative_members(per_tick: DataFrame, k: int) -> DataFrame:
+    """F3 in cumulative scope: the k sources with the most packets since the start, at every tick that adds any.
+
+    Per (link_id, tick_start) ``top_sources`` and ``top_totals`` in falling order; sources silent in the tick are included.
+    """
+    cum = running(per_tick, ["link_id", "src_ip"], ["tick_start"], day_bucket("tick_start"), sums={"__n": "packets"})
+    return _fold_top(cum.select("link_id", "tick_start", "src_ip", F.col("__n").alias("packets")), k, _members_of,
+                     "top_sources array<long>, top_totals array<long>")
+
+
+def _fold_top(cumulated, k, told, made):
+    """What ``told`` says about the k largest totals after every tick.
 
     Totals only grow, so at a tick only its k largest *changed* sources can matter (k others are ahead of the rest, and
     stay ahead). That leaves at most k rows per tick. Days are then folded independently, each from the top k at its
     start, which follows from the k largest changed sources of the days before. The fold is greedy in time, which no
     built-in operator expresses; it streams over sorted Arrow batches and holds k sources.
     """
+    names = [c.split()[0] for c in made.split(", ")]
     at_tick = Window.partitionBy("link_id", "tick_start").orderBy(F.desc("packets"), "src_ip")
     changes = (cumulated.withColumn("__i", F.row_number().over(at_tick)).filter(F.col("__i") <= k)
                .select("link_id", day_bucket("tick_start").alias("chunk"),
@@ -308,8 +339,8 @@ def cumulative_top(cumulated: DataFrame, k: int = DEFAULT.top_k) -> DataFrame:
                            "link_id string, chunk long, start_src array<long>, start_n array<long>"))
     work = key_join(changes, starts, ["link_id", "chunk"])
     return (work.repartition("link_id", "chunk").sortWithinPartitions("link_id", "chunk", "tick_us")
-            .mapInPandas(_sums_inside(k), "link_id string, tick_us long, top_packets long")
-            .select("link_id", F.timestamp_micros("tick_us").alias("tick_start"), "top_packets"))
+            .mapInPandas(_inside(k, told, names), f"link_id string, tick_us long, {made}")
+            .select("link_id", F.timestamp_micros("tick_us").alias("tick_start"), *names))
 
 
 def cumulative_concentration(per_tick: DataFrame, k: int = DEFAULT.top_k,

@@ -1,9 +1,10 @@
 """Labelled flow files."""
 
-from pyspark.errors import AnalysisException
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.plans.spread import hash_bucket, numbered
+from tidegauge.plans.spread import hash_bucket, key_join, numbered, settle, sized_join
 
 
 def trim_columns(df: DataFrame) -> DataFrame:
@@ -11,47 +12,71 @@ def trim_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def list_flow_files(spark: SparkSession, folder: str, max_files: int | None = None) -> list[str]:
-    """A5: the ``*.csv`` files below a folder in name order, at most ``max_files``; only names reach the driver."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.csv").load(folder).select("path", "length"))
-    names = files.filter("length > 0").select("path").orderBy("path")
-    if max_files is not None:
-        names = names.limit(max_files)
-    return [r.path for r in names.toLocalIterator()]
+#: Why a file is left out.
+EMPTY, UNREADABLE, BLANK, NO_LABEL = "empty", "unreadable", "no header", "no label"
 
 
-def read_labelled_flows(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """All flow files of a folder as text columns, aligned by header name, with ``source_file``.
+def _lines(spark, folder):
+    """All lines of the ``*.csv`` files below a folder, with the file and whether they lie in its first block."""
+    text = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("ignoreCorruptFiles", True)
+            .text(folder))
+    return text.select("value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("first"))
+
 
-    Files may differ in their columns. They are read in groups of equal headers, so that a folder of like files is one
-    scan. Files that cannot be read and empty files are left out.
+def flow_files(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """One row per ``*.csv`` file below a folder: file, bytes, header, names and reason.
+
+    ``header`` is its first line, ``names`` the trimmed column names. ``reason`` is null for files that are read; otherwise
+    it says why a file is left out: it is empty, cannot be read, begins with a blank line, or has no label column. One
+    scan finds all first lines. ``max_files`` takes the first files in the order of their names.
     """
-    groups: dict[tuple, list[str]] = {}
-    for path in list_flow_files(spark, folder, max_files):
-        header = _header(spark, path)
-        if header:
-            groups.setdefault(header, []).append(path)
-    if not groups:
-        raise FileNotFoundError(f"no readable flow files below {folder}")
-    parts = []
-    for header in sorted(groups):
-        df = _csv(spark).csv(groups[header])
-        parts.append(trim_columns(df.withColumn("source_file", F.col("_metadata.file_path"))))
-    return union_flows(parts)
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder)
+               .select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("bytes")))
+    # Scans pass over files without bytes; Spark's own list of the folder, which the driver holds anyway, has them.
+    every = spark.createDataFrame([(re.sub("^([a-z0-9]+):///", r"\1:/", f),) for f in listing.inputFiles()], "file string")
+    listed = key_join(every, listing, ["file"], "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
+    if max_files is not None:
+        listed = listed.filter("bytes > 0").orderBy("file").limit(max_files)
+    # A block is read in order by one task, so the first line has the least number there.
+    first = (_lines(spark, folder).filter("first").withColumn("at", F.monotonically_increasing_id())
+             .groupBy("file").agg(F.min_by("value", "at").alias("header")))
+    files = key_join(listed, first, ["file"], "left")
+    files = files.withColumn("names", F.transform(F.filter(_cells("header", _WIDEST), lambda c: c.isNotNull()), lambda c: F.btrim(c)))
+    blank = F.coalesce(F.btrim("header"), F.lit("")) == ""
+    label = F.exists("names", lambda n: F.lower(n) == "label")
+    return files.withColumn("reason", F.when(F.col("bytes") == 0, EMPTY).when(F.col("header").isNull(), UNREADABLE)
+                            .when(blank, BLANK).when(~label, NO_LABEL))
 
 
-def _csv(spark):
-    return (spark.read.option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True)
-            .option("encoding", "UTF-8"))
+#: Columns that a header can have.
+_WIDEST = 256
 
 
-def _header(spark, path):
-    """Column names of one file; reads its first line only. None if that fails."""
-    try:
-        return tuple(c.strip() for c in _csv(spark).csv(path).columns)
-    except AnalysisException:
-        return None
+def _cells(line: str, width: int):
+    """The first ``width`` cells of a line, null beyond its last; the line is parsed once."""
+    parsed = F.from_csv(line, F.lit(", ".join(f"c{i} string" for i in range(width))))
+    return F.transform(F.array(parsed), lambda c: F.array(*[c[f"c{i}"] for i in range(width)]))[0]
+
+
+def read_labelled_flows(spark: SparkSession, folder: str, max_files: int | None = None, files: DataFrame | None = None) -> DataFrame:
+    """All flow files of a folder as text columns, aligned by header name, with ``source_file``.
+
+    Files may differ in their columns; one scan reads them all. Which files are left out, and why, says ``flow_files``
+    (give its written result as ``files`` to look at it, too). A line that repeats its file's header is no row. Values do
+    not span lines. Of equal column names of a file the first counts.
+    """
+    files = files if files is not None else settle(flow_files(spark, folder, max_files))
+    good = files.filter("reason is null")
+    names = sorted(r.n for r in good.select(F.explode("names").alias("n")).distinct().collect() if r.n)
+    width = good.agg(F.max(F.size("names"))).first()[0]
+    if not names:
+        raise FileNotFoundError(f"no readable flow files below {folder}")
+    places = F.array(*[F.array_position("names", n).cast("int") for n in names])
+    good = good.select("file", "header", places.alias("places"))
+    rows = sized_join(_lines(spark, folder), good, ["file"], ["value"], "inner").filter("value <> header and trim(value) <> ''")
+    values = F.transform(F.array(_cells("value", width)), lambda v: F.transform("places", lambda p: F.when(p > 0, F.get(v, p - 1))))[0]
+    rows = rows.select("file", values.alias("v"))
+    return rows.select(*[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)], F.col("file").alias("source_file"))
 
 
 def union_flows(parts) -> DataFrame:

@@ -78,6 +78,7 @@ def late_count(query) -> int:
     """Rows a query has dropped because they came after the watermark, in the reports that Spark still has.
 
     A lower bound: Spark keeps the last 100 reports, and behind a partial aggregation a row is a group of packets.
+    ``late_packets`` gives them all.
     """
     return sum(op.get("numRowsDroppedByWatermark", 0)
                for p in query.recentProgress for op in p["stateOperators"])
@@ -267,6 +268,28 @@ def stream_features(packets: DataFrame, out: str, state_path: str, checkpoint: s
     return _start(stream_source_ticks(packets, tick_seconds, delay), work, checkpoint, trigger)
 
 
+def late_packets(packets: DataFrame, out: str, state_path: str, checkpoint: str, tick_seconds: float, delay_seconds: float,
+                 trigger=None):
+    """The packets that come when their tick is already closed, which ticks with this ``delay`` leave out.
+
+    They are found before any aggregation, by the watermark that the batches before them have reached (to the millisecond,
+    as Spark's), and written to one folder per batch below ``out``; a batch that runs again writes the same rows. So the
+    table is whole over any number of batches. Returns the running query.
+    """
+    state = BatchState(packets.sparkSession, state_path, {"seen": "at_us long"})
+    tick, delay = int(round(tick_seconds * 1_000_000)), int(round(delay_seconds * 1_000_000))
+
+    def work(rows, batch):
+        before = state.before("seen", batch)
+        mark = before.agg(F.max("at_us")).first()[0]
+        end = (F.floor(F.unix_micros("ts") / tick) + 1) * tick
+        late = rows.filter(end <= F.lit(mark)) if mark is not None else rows.limit(0)
+        late.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        reached = F.floor(F.max(F.unix_micros("ts")) / 1000) * 1000 - delay
+        state.write("seen", batch, rows.agg(reached.alias("at_us")).unionByName(before).agg(F.max("at_us").alias("at_us")))
+    return _start(packets, work, checkpoint, trigger)
+
+
 # -- sinks -----------------------------------------------------------------------------------------
 
 def profile_sink(profiles: DataFrame, path: str, checkpoint: str, trigger=None):
@@ -278,6 +301,29 @@ def profile_sink(profiles: DataFrame, path: str, checkpoint: str, trigger=None):
     return _start(profiles, work, checkpoint, trigger)
 
 
+def read_profiles(spark, path: str) -> DataFrame:
+    """The latest profile of each link that any run and batch below ``path`` has written; the start of the next run."""
+    from tidegauge.streaming.processors import PROFILE_OUT
+    rows = spark.read.schema(PROFILE_OUT).option("recursiveFileLookup", True).json(path)
+    cols = [c for c in rows.columns if c != "link_id"]
+    return rows.groupBy("link_id").agg(F.max_by(F.struct(*cols), "tick_start").alias("p")).select("link_id", "p.*")
+
+
+def totals_sink(totals: DataFrame, path: str, checkpoint: str, trigger=None):
+    """K2: the totals that a batch has changed, one folder per batch; a batch that runs again writes the same rows."""
+    def work(batch_df, batch):
+        batch_df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    writer = totals.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(work)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_totals(spark, path: str) -> DataFrame:
+    """K2: the last totals of every source that ``totals_sink`` has written."""
+    rows = spark.read.parquet(path)
+    cols = [c for c in rows.columns if c not in ("link_id", "src_ip", "batch")]
+    return rows.groupBy("link_id", "src_ip").agg(F.max_by(F.struct(*cols), "batch").alias("t")).select("link_id", "src_ip", "t.*")
+
+
 def alert_sink(alerts: DataFrame, path: str, checkpoint: str, trigger=None):
     """Alerts appended as JSON lines, exactly once with the checkpoint."""
     return (alerts.writeStream.format("json").outputMode("append").option("path", path)

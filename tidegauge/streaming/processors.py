@@ -119,21 +119,31 @@ PROFILE_OUT = StructType(
     [StructField("link_id", StringType()), StructField("tick_start", TimestampType())]
     + [StructField(n, DoubleType()) for n in ("avg_pps", "peak_pps", "avg_bps", "peak_bps", "tcp_ratio", "udp_ratio",
                                               "icmp_ratio")]
-    + [StructField("learning_samples", LongType()), StructField("is_learned", BooleanType())])
+    + [StructField("learning_samples", LongType()), StructField("is_learned", BooleanType()), StructField("start_us", LongType()),
+       StructField("sum_pps", DoubleType()), StructField("sum_bps", DoubleType())])
 
 
 class Profile(StatefulProcessor):
     """K7: learns over the first ``seconds`` of event time, then follows with an exponential average.
 
     While learning the state holds sums; the tick that ends the period turns them into means and is not used itself.
+    With ``every_tick`` there is a row while learning, too, from which a later run can go on.
     """
 
-    def __init__(self, seconds=3600.0, alpha=0.05, ttl_ms=None):
-        self.period, self.alpha, self.ttl_ms = int(seconds * 1_000_000), alpha, ttl_ms
+    def __init__(self, seconds=3600.0, alpha=0.05, ttl_ms=None, every_tick=False):
+        self.period, self.alpha, self.ttl_ms, self.every_tick = int(seconds * 1_000_000), alpha, ttl_ms, every_tick
 
     def init(self, handle):
         self.state = handle.getValueState("profile", _PROFILE_STATE, self.ttl_ms)
 
+    def handleInitialState(self, key, initialState, timerValues):
+        """Goes on from the row that an earlier run wrote last."""
+        r = initialState.iloc[0]
+        learned = bool(r.is_learned)
+        sums = (r.avg_pps, r.avg_bps) if learned else (r.sum_pps, r.sum_bps)
+        self.state.update((float(sums[0]), float(r.peak_pps), float(sums[1]), float(r.peak_bps), float(r.tcp_ratio),
+                           float(r.udp_ratio), float(r.icmp_ratio), int(r.start_us), int(r.learning_samples), learned))
+
     def handleInputRows(self, key, rows, timerValues):
         ticks = _sorted(rows, "tick_start")
         if ticks is None:
@@ -159,7 +169,9 @@ class Profile(StatefulProcessor):
                 s[0], s[2] = (1 - a) * s[0] + a * r.pps, (1 - a) * s[2] + a * r.bps
                 s[1], s[3] = max(s[1], r.pps), max(s[3], r.bps)
             if s[9]:
-                out.append((key[0], r.tick_start, *s[:7], s[8], True))
+                out.append((key[0], r.tick_start, *s[:7], s[8], True, s[7], None, None))
+            elif self.every_tick:
+                out.append((key[0], r.tick_start, s[0] / s[8], s[1], s[2] / s[8], *s[3:7], s[8], False, s[7], s[0], s[2]))
         self.state.update(tuple(s))
         yield pd.DataFrame(out, columns=[f.name for f in PROFILE_OUT])
 
@@ -167,8 +179,13 @@ class Profile(StatefulProcessor):
         pass
 
 
-def stream_profile(rates: DataFrame, seconds: float = 3600.0, alpha: float = 0.05, ttl_ms: int | None = None) -> DataFrame:
-    """K7: the profile after each tick from the end of the learning period on."""
+def stream_profile(rates: DataFrame, seconds: float = 3600.0, alpha: float = 0.05, ttl_ms: int | None = None,
+                   initial: DataFrame | None = None, every_tick: bool = False) -> DataFrame:
+    """K7: the profile after each tick from the end of the learning period on, or after every tick.
+
+    ``initial`` has the last row of each link from an earlier run (``read_profiles``), which was made with ``every_tick``.
+    """
     return (rates.withColumn("t", F.unix_micros("tick_start"))
             .groupBy("link_id").transformWithStateInPandas(
-                Profile(seconds, alpha, ttl_ms), PROFILE_OUT, "append", "ProcessingTime" if ttl_ms else "None"))
+                Profile(seconds, alpha, ttl_ms, every_tick), PROFILE_OUT, "append", "ProcessingTime" if ttl_ms else "None",
+                initialState=initial.groupBy("link_id") if initial is not None else None))

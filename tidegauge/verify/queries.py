@@ -2,18 +2,21 @@
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidegauge import adapters as A
 from tidegauge.config import TICK, DetectionConfig, FeatureConfig, TrainingConfig
 from tidegauge.functions import columns as C
-from tidegauge.operators import evaluate, features, learn, lists, ordered, ranking, rules, status, traffic
+from tidegauge.operators import evaluate, features, learn, lists, models, ordered, ranking, rules, status, traffic
 from tidegauge.plans import detection
 from tidegauge.plans.spread import numbered, settle, shared_folder
 from tidegauge.schemas import ALERTS, COUNTERS, FEATURES, FLAG_COUNTERS
-from tidegauge.sources.flows import sample_per_group, union_flows
-from tidegauge.sources.tables import read_alerts, read_profile, to_metric_rows, write_alerts, write_profile
-from tidegauge.streaming import jobs, processors
+from tidegauge.sources.flows import flow_files, read_labelled_flows, sample_per_group, union_flows
+from tidegauge.sources.tables import (
+    load_model, read_alerts, read_profile, save_model, to_metric_rows, write_alerts, write_profile,
+)
+from tidegauge.streaming import bounded, jobs, processors
 
 TICK_SECONDS = 21_600.0
 PER_TICK = {"tick_seconds": TICK_SECONDS, "attack_pps": 52 / TICK_SECONDS, "alert_pps": 45 / TICK_SECONDS,
@@ -385,6 +388,12 @@ def f3_block_candidates(spark, sf):
     return _out(found, "link_id", "tick_start", "src_ip", "packets", "rank")
 
 
+def f3_block_candidates_since(spark, sf):
+    kept = settle(ordered.cooldown(rules.to_alerts(settle(_scored(spark, sf)), CFG), CFG.cooldown_seconds))
+    found = ranking.block_candidates_since(_sources(spark, sf), kept, CFG.block_top, 40)
+    return _out(found, "link_id", "tick_start", "src_ip", "packets", "rank")
+
+
 def f4_recent_alerts(spark, sf):
     df = ranking.recent_alerts(rules.to_alerts(_scored(spark, sf), CFG), 10)
     return _out(df, "link_id", "timestamp", "severity")
@@ -589,6 +598,43 @@ def _flow_columns():
             "Total Length of Bwd Packets", "Flow Bytes/s", "SYN Flag Count", "ACK Flag Count"]
 
 
+def _flow_folder(spark, sf):
+    """The labelled flows as files: four with all columns, three without one, and three that cannot be used."""
+    folder, df = _work(spark), A.labelled_flows(spark, sf)
+    padded = df.select(*[F.col(f"`{c}`").alias(f" {c}" if c != "source_file" else c) for c in df.columns])
+    some = F.col("source_file") < "file5"
+    for name, rows in (("a", padded.filter(some)), ("b", padded.filter(~some).drop(" ACK Flag Count"))):
+        rows.repartition(1, "source_file").write.option("header", True).partitionBy("source_file").csv(f"{folder}/flows/{name}")
+    spark.createDataFrame([], "label string").coalesce(1).write.csv(f"{folder}/flows/empty")
+    spark.createDataFrame([("1", "2")], "x string, y string").coalesce(1).write.option("header", True).csv(f"{folder}/flows/unlabelled")
+    return f"{folder}/flows"
+
+
+def a3_labelled_flows(spark, sf):
+    """Flow files with different headers read in one scan: rows, and sums of two columns, one of which not all have."""
+    df = read_labelled_flows(spark, _flow_folder(spark, sf))
+    number = {c: F.col(f"`{c}`").cast("double") for c in ("SYN Flag Count", "ACK Flag Count")}
+    return (df.groupBy(F.btrim("label").alias("label"), F.regexp_extract("source_file", "source_file=(\\w+)", 1).alias("file"))
+            .agg(F.count(F.lit(1)).alias("rows"), F.sum(number["SYN Flag Count"]).alias("syns"), F.sum(number["ACK Flag Count"]).alias("acks")))
+
+
+def a5_capped_files(spark, sf):
+    """The first three files in the order of their names, of those that are not empty."""
+    df = read_labelled_flows(spark, _flow_folder(spark, sf), max_files=3)
+    return df.groupBy(F.regexp_extract("source_file", "source_file=(\\w+)", 1).alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def a7_left_out_files(spark, sf):
+    """Why files were left out, and how many were read."""
+    files = flow_files(spark, _flow_folder(spark, sf))
+    return files.groupBy(F.coalesce("reason", F.lit("read")).alias("reason")).agg(F.count(F.lit(1)).alias("files"))
+
+
+def a4_trimmed_columns(spark, sf):
+    files = flow_files(spark, _flow_folder(spark, sf)).filter("reason is null")
+    return files.select(F.explode("names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("files"))
+
+
 def a6_sample_per_group(spark, sf):
     df = sample_per_group(A.labelled_flows(spark, sf), "source_file", 500)
     return df.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
@@ -656,48 +702,135 @@ def j8_class_weights(spark, sf):
     return _out(learn.class_weights(df, "code"), "code", "rows", "weight")
 
 
-SMALL = TrainingConfig(num_trees=10, max_depth=5)
+FOREST = TrainingConfig(samples_per_file=None)
+BOOSTED = TrainingConfig("gradient_boosting", max_depth=5, samples_per_file=None)
+TREE = TrainingConfig("tree", max_depth=10, samples_per_file=None)
+_models = {}
+
 
+def _model(spark, sf, cfg=FOREST):
+    """A model that was saved and loaded again, its folder, the metrics of its training, and the split rows.
 
-def _trained(spark, sf, cfg=SMALL):
-    parts = settle(learn.split(_prepared(spark, sf)))
-    rows = {s: parts.filter(F.col("split") == s) for s in learn.SPLITS}
-    model, metrics = learn.train(rows["train"], cfg, rows["val"])
-    return model, metrics, rows
+    It is fitted once a session: several queries look at the same model.
+    """
+    key = (spark.sparkContext.applicationId, sf, repr(cfg))
+    if key not in _models:
+        parts = settle(learn.split(_prepared(spark, sf)))
+        rows = {s: parts.filter(F.col("split") == s) for s in learn.SPLITS}
+        fitted, metrics = learn.train(rows["train"], cfg, rows["val"])
+        folder = _work(spark)
+        save_model(spark, fitted, {"model_type": cfg.model_type}, folder)
+        _models[key] = f"{folder}/model", settle(metrics), parts
+    path, metrics, parts = _models[key]
+    return load_model(spark, path.rsplit("/", 1)[0])[0], path, metrics, parts
 
 
 def j6_random_forest(spark, sf):
-    return _trained(spark, sf)[1]
+    return _model(spark, sf)[2]
 
 
 def j7_gradient_boosting(spark, sf):
-    return _trained(spark, sf, TrainingConfig("gradient_boosting", num_trees=5, max_depth=4))[1]
+    return _model(spark, sf, BOOSTED)[2]
 
 
 def j17_decision_tree(spark, sf):
-    return _trained(spark, sf, TrainingConfig("tree", max_depth=10))[1]
+    return _model(spark, sf, TREE)[2]
+
+
+def _walked(spark, sf, cfg):
+    """Rows per part and label on which a walk down the node table and the reloaded model say the same."""
+    model, path, _, parts = _model(spark, sf, cfg)
+    both = model.transform(models.predict_by_nodes(parts, path))
+    apart = F.array_max(F.transform(F.arrays_zip(vector_to_array("probability").alias("p"), F.col("node_probability").alias("q")),
+                                    lambda z: F.abs(z["p"] - z["q"])))
+    return both.groupBy("split", "label").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("prediction") == F.col("node_prediction")).alias("same_prediction"),
+        F.count_if(apart < 1e-9).alias("same_probability"))
+
+
+def j6_forest_nodes(spark, sf):
+    return _walked(spark, sf, FOREST)
+
+
+def j7_boosting_nodes(spark, sf):
+    return _walked(spark, sf, BOOSTED)
+
+
+def j17_tree_nodes(spark, sf):
+    return _walked(spark, sf, TREE)
+
+
+def j17_tree_leaves(spark, sf):
+    """The training rows, sent down the tree by joins, reach every leaf as often as it was fitted on."""
+    _, path, _, parts = _model(spark, sf, TREE)
+    leaves = models.leaf_counts(parts.filter("split = 'train'"), path)
+    return leaves.agg(F.sum("reached").alias("rows"), F.count_if(F.col("reached") != F.col("rows")).alias("leaves_apart"))
+
+
+def j12_metrics_nodes(spark, sf):
+    """Metrics of the forest by its nodes against those of its training, and on the held-out rows against MLlib's."""
+    model, path, trained, parts = _model(spark, sf)
+    val, test = (learn._binary(parts.filter(F.col("split") == s)) for s in ("val", "test"))
+    names = ["accuracy", "precision", "recall", "f1"]
+
+    def long(df, kind):
+        return df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias(kind)) for n in names])).alias("m")).select("m.*")
+    pairs = [("val", models.metrics_by_nodes(val, path), trained), ("test", models.metrics_by_nodes(test, path), learn.model_metrics(model, test))]
+    out = None
+    for part, left, right in pairs:
+        one = long(left, "a").join(long(right, "b"), "metric").select(
+            F.lit(part).alias("part"), "metric", (F.abs(F.col("a") - F.col("b")) < 1e-9).alias("same"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def j9_predict(spark, sf):
-    model, _, rows = _trained(spark, sf)
-    df = learn.predict(model, rows["test"])
+    model, _, _, parts = _model(spark, sf)
+    df = learn.predict(model, parts.filter("split = 'test'"))
     return df.groupBy("label", "is_attack", "attack_type").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def j9_predict_nodes(spark, sf):
+    """Attack, probability and confidence of the operator against the node table, on the test rows."""
+    model, path, _, parts = _model(spark, sf)
+    test = models.predict_by_nodes(parts.filter("split = 'test'"), path)
+    return _same_verdicts(learn.predict(model, test, keep=["label", "node_probability", "node_prediction"]))
+
+
+def _same_verdicts(df):
+    p = F.col("node_probability")
+    return df.groupBy("label").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("is_attack") == (F.col("node_prediction") == 1)).alias("same_verdict"),
+        F.count_if(F.abs(F.col("attack_probability") - F.get(p, F.lit(1))) < 1e-9).alias("same_probability"),
+        F.count_if(F.abs(F.col("confidence") - 100 * F.array_max(p)) < 1e-7).alias("same_confidence"),
+        F.count_if((F.col("attack_type") == "BENIGN") == ~F.col("is_attack")).alias("typed"))
+
+
 def j11_predict_untrained(spark, sf):
     df = learn.predict(None, A.labelled_flows(spark, sf))
     return df.groupBy("is_attack", "attack_type", "confidence").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def j14_train_job(spark, sf):
-    _, _, tables = learn.train_job(spark, A.labelled_flows(spark, sf),
-                                   TrainingConfig(num_trees=10, max_depth=5, samples_per_file=None))
+    _, _, tables = learn.train_job(spark, A.labelled_flows(spark, sf), TREE)
     return tables["test_report"]
 
 
+def j14_train_job_parts(spark, sf):
+    """What a training job reports on: the rows of its test part by true class, and how often their verdicts are counted."""
+    _, meta, tables = learn.train_job(spark, A.labelled_flows(spark, sf), TREE)
+    seen = tables["test_confusion"].groupBy("label").agg(F.sum("rows").alias("rows"))
+    return seen.select(F.col("label").cast("int").alias("code"), "rows", F.lit(len(meta["features"])).alias("features"))
+
+
+def j15_model_info(spark, sf):
+    model, _, _, _ = _model(spark, sf)
+    return learn.model_info(spark, model, {"model_type": FOREST.model_type}).select("is_trained", "model_type", "features", "trees")
+
+
 def hybrid_scores(spark, sf):
     """A forest trained on the labelled flows judges the ticks next to the rules."""
-    df = detection.hybrid_scores(A.packets(spark, sf), _trained(spark, sf)[0], CFG)
+    df = detection.hybrid_scores(A.packets(spark, sf), _model(spark, sf)[0], CFG)
     return _out(df, "link_id", "tick_start", "score", "is_anomaly", "ml_prediction", "ml_confidence", "attack_type",
                 "detection_source")
 
@@ -708,7 +841,20 @@ def i12_rules_alone(spark, sf):
 
 
 def f5_feature_importance(spark, sf):
-    return learn.feature_importance(spark, _trained(spark, sf)[0], 10)
+    return learn.feature_importance(spark, _model(spark, sf)[0], 10)
+
+
+def f5_importance_nodes(spark, sf):
+    """Importances added up from the node table against those of the model, for every feature, of forest and boosted model."""
+    out = None
+    for cfg in (FOREST, BOOSTED, TREE):
+        model, path, _, _ = _model(spark, sf, cfg)
+        known = learn.feature_importance(spark, model, 1000)
+        own = models.importance_by_nodes(spark, path).withColumnRenamed("importance", "own")
+        one = known.join(own, "feature", "left").select(
+            F.lit(cfg.model_type).alias("model"), "feature", (F.abs(F.col("importance") - F.coalesce("own", F.lit(0.0))) < 1e-9).alias("same"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def j16_select_by_anova(spark, sf):
@@ -716,15 +862,50 @@ def j16_select_by_anova(spark, sf):
     return spark.createDataFrame([(n,) for n in names], "feature string")
 
 
+def j16_anova(spark, sf):
+    """F values of all 64 features of the ticks, over ticks with a new peak in the last hours or without."""
+    df = features.flow_features(_feature_ticks(spark, sf), FEATURE_WINDOW)
+    df = df.withColumn("class", (F.unix_micros("tick_start") / (TICK_SECONDS * 1_000_000)).cast("long") % 3)
+    return _out(learn.anova(df, FEATURES, "class"), "feature", "f")
+
+
+def j16_anova_flows(spark, sf):
+    return _out(learn.anova(_prepared(spark, sf), _flow_columns()), "feature", "f")
+
+
+def j18_folds(spark, sf):
+    df = learn.with_folds(learn._binary(_prepared(spark, sf)))
+    return df.groupBy(F.col("code").cast("int").alias("code"), "fold").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def j18_cross_validate(spark, sf):
+    return learn.cross_validate(_prepared(spark, sf), TrainingConfig("tree", max_depth=5))[1]
+
+
 def j19_mine_signatures(spark, sf):
     df = A.labelled_flows(spark, sf).withColumn(
         "attack_type", F.when(C.is_benign("label"), "BENIGN").otherwise(C.norm_label("label")))
     df = df.withColumn("confidence", F.col("ACK Flag Count") * 2)
-    out = learn.mine_signatures(df, ["Total Fwd Packets", "SYN Flag Count"], exact=True)
+    out = learn.mine_signatures(df, ["Total Fwd Packets", "SYN Flag Count"], extremes=True)
     return _out(out, "attack_type", "matched", "false_rate", "keep", low_0=F.get("low", F.lit(0)),
                 high_1=F.get("high", F.lit(1)))
 
 
+def j19_quantile_signatures(spark, sf):
+    """The default bounds: the shares of 5 % and 95 %."""
+    df = A.labelled_flows(spark, sf).withColumn(
+        "attack_type", F.when(C.is_benign("label"), "BENIGN").otherwise(C.norm_label("label")))
+    df = df.withColumn("confidence", F.col("ACK Flag Count") * 2)
+    out = learn.mine_signatures(df, ["Total Fwd Packets", "Total Length of Fwd Packets", "SYN Flag Count"], min_match=0.7, max_false=0.9)
+    return _out(out, "attack_type", "matched", "false_rate", "keep", low_0=F.get("low", F.lit(0)), high_0=F.get("high", F.lit(0)),
+                low_1=F.get("low", F.lit(1)), high_1=F.get("high", F.lit(1)), high_2=F.get("high", F.lit(2)))
+
+
+def j10_predict_batch(spark, sf):
+    model, path, _, parts = _model(spark, sf)
+    return _same_verdicts(learn.predict_batch(model, models.predict_by_nodes(parts.filter("split = 'val'"), path)))
+
+
 def j20_apply_rules(spark, sf):
     df = (A.labelled_flows(spark, sf)
           .withColumn("Total Fwd Packets", F.col("Total Fwd Packets") * 10)
@@ -882,6 +1063,62 @@ def k8_stream_features(spark, sf):
     return _out(spark.read.parquet(f"{folder}/out"), "link_id", "tick_start", *FEATURES)
 
 
+def k2_running_totals(spark, sf):
+    """The last totals of every source over five batches; a silence of a day begins them anew."""
+    folder = _work(spark)
+    df = bounded.stream_totals(_replayed_packets(spark, sf, folder), "0 seconds", 86_400.0)
+    jobs.totals_sink(df, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return jobs.read_totals(spark, f"{folder}/out").select(*bounded.TOTALS.names)
+
+
+#: Small tables, so that entries are evicted: ten entries in each of four shards, a day of silence.
+TABLE = {"capacity": 40, "idle_seconds": 86_400.0, "shards": 4}
+
+
+def k9_bounded_table(spark, sf):
+    return bounded.bounded_table(_admitted(spark, sf), ["src_ip"], **TABLE)
+
+
+def k9_stream_bounded_table(spark, sf):
+    """Entries as they end, over five batches."""
+    folder = _work(spark)
+    df = bounded.stream_bounded_table(_replayed_packets(spark, sf, folder), ["src_ip"], "0 seconds", **TABLE)
+    return _run(spark, df)
+
+
+def _delayed_packets(spark, sf, folder):
+    """Twelve slices of two and a half days, in which every fiftieth packet comes two slices late."""
+    events = A.read(spark, sf, "events")
+    at = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.to_timestamp(F.lit(SLICES[0])))) / (216_000 * 1_000_000))
+    at = F.least(F.greatest(at, F.lit(0)) + F.when(F.col("event_id") % 50 == 7, 2).otherwise(0), F.lit(11))
+    return A.packets_of(jobs.replay(events, f"{folder}/in", [at == k for k in range(12)]))
+
+
+def k14_late_packets(spark, sf):
+    """What a delay of six hours leaves out, per batch of arrival."""
+    folder = _work(spark)
+    jobs.late_packets(_delayed_packets(spark, sf, folder), f"{folder}/late", f"{folder}/state", f"{folder}/checkpoint",
+                      TICK_SECONDS, 21_600.0).awaitTermination()
+    return spark.read.parquet(f"{folder}/late").select(F.col("batch").cast("long").alias("batch"), "link_id", "seq", "bytes")
+
+
+def k10_profile_restart(spark, sf):
+    """The profile after a run of one slice, one of two and one of the rest, each going on from what the last one wrote."""
+    processors.use_rocksdb(spark)
+    folder, last = _work(spark), None
+    events, slices = A.read(spark, sf, "events"), jobs.time_slices("ts", *SLICES)
+    for run, part in enumerate((slices[:1], slices[:3], slices)):
+        done = None if last is None else last.agg(F.max("tick_start")).first()[0]
+        # What had not closed when the run stopped comes again.
+        rest = events if done is None else events.filter(
+            F.unix_micros(F.col("ts").cast("timestamp")) >= F.unix_micros(F.lit(done)) + int(TICK_SECONDS * 1_000_000))
+        packets = traffic.admit(A.packets_of(jobs.replay(rest, f"{folder}/in{run}", part)))
+        profiles = processors.stream_profile(jobs.stream_rates(packets, TICK_SECONDS), CFG.learning_seconds, initial=last, every_tick=True)
+        jobs.profile_sink(profiles, f"{folder}/profiles/run={run}", f"{folder}/checkpoint{run}").awaitTermination()
+        last = settle(jobs.read_profiles(spark, f"{folder}/profiles"))
+    return _out(last, "link_id", "tick_start", "avg_pps", "peak_pps", "avg_bps", "peak_bps", "learning_samples", "is_learned")
+
+
 def k12_sliding_counters(spark, sf):
     df = _run(spark, jobs.sliding_counters(_streamed_packets(spark, sf), 86_400.0, TICK_SECONDS))
     return _out(df, "link_id", "window_start", "packets", "bytes")
