@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidegauge.llm.frames import extend, fields, parts, with_columns_of
+from tidegauge.llm.frames import extend, fields, parts, tidy, with_columns_of
 
 #: How byte-level vocabularies cut text before merging (fixed value; white space is Unicode's White_Space).
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -165,6 +165,7 @@ def encode(docs: DataFrame, vocabulary_path, text_col="text", decoded=False) ->
     its own special tokens; a special token's string in a text becomes that token. Null and empty texts have no tokens.
     Columns of the added names give way.
     """
+    docs = tidy(docs, [text_col], ["n_tokens", "ids", "decoded_text"] if decoded else ["n_tokens", "ids"])
     tables = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
 
     def run(batches):
@@ -182,6 +183,7 @@ def encode(docs: DataFrame, vocabulary_path, text_col="text", decoded=False) ->
 
 def decode(encoded: DataFrame, vocabulary_path, ids_col="ids") -> DataFrame:
     """Adds decoded_text of a binary column of ids; null ids give an empty text."""
+    encoded = tidy(encoded, [ids_col], ["decoded_text"])
     tables = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path)["strings"])
 
     def run(batches):

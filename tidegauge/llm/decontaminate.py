@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.frames import extend, fields, parts, with_columns_of
+from tidegauge.llm.frames import extend, fields, parts, tidy, with_columns_of
 from tidegauge.llm.textbytes import (
     ALNUM, LOWER, Powers, Words, byte_values, chunks, span_hashes, window_hashes, windows_inside,
 )
@@ -112,6 +112,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n=10, text_col="text", item_col=
     scanned for block by block.
     """
     spark = docs.sparkSession
+    docs = tidy(docs, [text_col], ["n_words", "n_hit", "whole_window", "items", "spans"])
+    benchmark = tidy(benchmark, [item_col, item_text_col], [])
     items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"),
                              F.col(f"`{item_text_col}`").alias("text"))
     windows = settle(items.mapInArrow(item_windows(n), "item string, k int, hash long, window binary").distinct())

@@ -28,6 +28,24 @@ def pick(df: DataFrame, **wanted) -> DataFrame:
     return numbered.select(*[F.col(f"c{i}").alias(new) for new, i in at.items()])
 
 
+def tidy(df: DataFrame, keep, made) -> DataFrame:
+    """``df`` without columns that differ from the names in ``keep`` in case only, or equal one in ``made`` in any case.
+
+    Spark does not tell such names apart. Of other columns that differ in case only the first stays. The columns in
+    ``keep`` stay as they are, and a table without such names is returned as it is.
+    """
+    taken, own = {k.lower() for k in keep}, []
+    taken |= {m.lower() for m in made}
+    for i, c in enumerate(df.columns):
+        if c in keep or c.lower() not in taken:
+            own.append(i)
+            taken.add(c.lower())
+    if len(own) == len(df.columns):
+        return df
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return numbered.select(*[F.col(f"c{i}").alias(df.columns[i]) for i in own])
+
+
 #: What a task works on at a time, in bytes of text and rows; a longer text stands alone.
 PART_BYTES, PART_ROWS = 1 << 20, 2048
 

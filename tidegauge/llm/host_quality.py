@@ -7,6 +7,7 @@ verdict goes back to every document of the host.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge.llm.frames import tidy
 from tidegauge.plans.spread import settle
 
 SPACE = r"[ \t-\r]+"
@@ -53,6 +54,7 @@ def measure(docs: DataFrame, text_col="text") -> DataFrame:
     them repeated. ``symbols_failed``: a symbol of #*$%&|<> for every two words or more. ``lines_failed``: at least 30 %
     of the lines with a word equal an earlier one. Null texts have no words and fail. Columns of the added names give way.
     """
+    docs = tidy(docs, [text_col], _MEASURES)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     own = [c for c in docs.columns if c not in _MEASURES]
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
@@ -112,6 +114,7 @@ def judge(measured: DataFrame, host_col="source", max_rate=0.5) -> DataFrame:
     ``measured`` is read twice; have it written. A document is kept unless it fails the base rule or its host goes. Only
     hosts that go are joined back: Spark broadcasts them if their written size allows it, and else splits skewed hosts.
     """
+    measured = tidy(measured, [host_col, *RULES], ["host_kept", "kept"])
     gone = settle(host_rates(measured, host_col).filter(" or ".join(f"{r}_low > {max_rate}" for r in RULES))
                   .select(F.col("host").alias("__host"), F.lit(False).alias("__kept")))
     df = measured.join(gone, F.col(f"`{host_col}`").eqNullSafe(F.col("__host")), "left")

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegauge.llm.frames import extend, fields, parts, with_columns_of
+from tidegauge.llm.frames import extend, fields, parts, tidy, with_columns_of
 from tidegauge.llm.textbytes import chunks
 
 ORDERS = (1, 2, 3, 4)
@@ -120,6 +120,7 @@ def identify(docs: DataFrame, text_col="text", lang_col="lang", id_col="doc_id",
     Texts that are null or have no letter are ``und`` with score 0, as is everything when there is nothing to learn from.
     Equal values go to the first language in order. Columns of the added names give way.
     """
+    docs = tidy(docs, [text_col, lang_col, id_col], ["held_out", "lang_pred", "score"])
     shared = docs.sparkSession.sparkContext.broadcast(
         fit(training_rows(docs, text_col, lang_col, id_col, per_language), landmarks))
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.frames import extend, fields, with_columns_of
+from tidegauge.llm.frames import extend, fields, tidy, with_columns_of
 from tidegauge.llm.textbytes import ALNUM, LOWER, Powers, Words, byte_values, chunks, span_hashes
 
 # Base phrases and their labels.
@@ -149,6 +149,7 @@ def scan(docs: DataFrame, text_col="text", templates=TEMPLATES, min_share=0.6) -
     an accepted template, or 0. Null texts are empty. Columns of the added names give way. Words are compared by 64-bit
     hashes of their bytes.
     """
+    docs = tidy(docs, [text_col], ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
     vocabulary = sorted({w for _, text, _ in templates for w in text.split()})
     rows, docs_with = document_frequencies(docs, vocabulary, text_col)
     idf = {w: float(np.log((rows + 2) / (docs_with[w] + 1))) for w in vocabulary}

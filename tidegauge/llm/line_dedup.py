@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.frames import ROW, extend, fields, parts, with_columns_of, with_row_ids
+from tidegauge.llm.frames import ROW, extend, fields, parts, tidy, with_columns_of, with_row_ids
 from tidegauge.llm.textbytes import mix
 from tidegauge.plans.spread import settle
 
@@ -160,6 +160,7 @@ def drop_common_lines(docs: DataFrame, min_docs=10, text_col="text", keep_first_
     arrays hold at most ``block_keys`` lines (about 22 bytes each) per broadcast; more are probed block by block.
     """
     spark = docs.sparkSession
+    docs = tidy(docs, [text_col, *([keep_first_by] if keep_first_by else [])], ["n_lines", "n_dropped", "kept_text"])
     docs = with_row_ids(docs, keep_first_by)[0] if keep_first_by else docs.withColumn(ROW, F.lit(-1).cast("long"))
     counted = (docs.select(F.col(f"`{text_col}`").alias("text"), F.col(ROW).alias("row"))
                .mapInArrow(count_lines, "h1 long, h2 long, docs long, first long").groupBy("h1", "h2")

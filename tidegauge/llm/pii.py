@@ -11,7 +11,7 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegauge.llm.frames import ROW, with_row_ids
+from tidegauge.llm.frames import ROW, tidy, with_row_ids
 from tidegauge.plans.spread import settle, sized_join
 
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
@@ -313,7 +313,7 @@ def replace(docs: DataFrame, key: str, text_col="text", id_col="doc_id") -> Data
     Null texts stay null and have no entities; rows may repeat. Columns of the added names give way. Distinct entities are
     counted up before they are shuffled, so one that stands everywhere is one row per task.
     """
-    docs, _ = with_row_ids(docs, id_col)
+    docs, _ = with_row_ids(tidy(docs, [text_col, id_col], ["n_entities", "kinds"]), id_col)
     found = docs.select(F.col(ROW), _matches(F.col(f"`{text_col}`"))["found"].alias("m"))
     mentions = found.filter(F.size("m") > 0).select(F.col(ROW), F.explode(F.flatten(F.transform("m", lambda m: m["parts"]))).alias("e"))
     mentions = mentions.select(ROW, "e.kind", "e.norm").filter("kind <> 'particle'")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.frames import ROW, extend, fields, join_lists, with_columns_of, with_row_ids
+from tidegauge.llm.frames import ROW, extend, fields, join_lists, tidy, with_columns_of, with_row_ids
 from tidegauge.llm.textbytes import Powers, buffers, byte_values, mix
 from tidegauge.plans.spread import settle, sized_join
 
@@ -298,10 +298,10 @@ def remove_repeats(docs: DataFrame, length=50, text_col="text", id_col="doc_id")
     texts are empty. Where ids repeat or are null, rows go by id, nulls first, and then in an order that is written down
     once. Columns of the added names give way. Phrases are compared by 88-bit hashes, all else byte by byte.
     """
-    numbered, _ = with_row_ids(docs, id_col)
+    made = ["n_bytes", "n_removed", "kept", "spans"]
+    numbered, _ = with_row_ids(tidy(docs, [text_col, id_col], made), id_col)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     spans = repeated_spans(numbered.select(F.col(ROW).alias("row"), text.alias("text")), length)
-    made = ["n_bytes", "n_removed", "kept", "spans"]
     own = numbered.select(*[F.col(f"`{c}`") for c in numbered.columns if c not in made])
     joined = join_lists(own, spans.withColumnRenamed("spans", "__spans"))
 
