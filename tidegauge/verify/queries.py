@@ -11,10 +11,10 @@ from tidegauge.functions import columns as C
 from tidegauge.operators import evaluate, features, learn, lists, models, ordered, ranking, rules, status, traffic
 from tidegauge.plans import detection
 from tidegauge.plans.spread import numbered, settle, shared_folder
-from tidegauge.schemas import ALERTS, COUNTERS, FEATURES, FLAG_COUNTERS
+from tidegauge.schemas import COUNTER_SNAPSHOTS, COUNTERS, FEATURES, FLAG_COUNTERS, PACKETS
 from tidegauge.sources.flows import flow_files, read_labelled_flows, sample_per_group, union_flows
 from tidegauge.sources.tables import (
-    load_model, read_alerts, read_profile, save_model, to_metric_rows, write_alerts, write_profile,
+    load_model, read_alerts, read_counters, read_packets, read_profile, save_model, to_metric_rows, write_alerts, write_profile,
 )
 from tidegauge.streaming import bounded, jobs, processors
 
@@ -630,6 +630,35 @@ def a7_left_out_files(spark, sf):
     return files.groupBy(F.coalesce("reason", F.lit("read")).alias("reason")).agg(F.count(F.lit(1)).alias("files"))
 
 
+def a1_packets_source(spark, sf):
+    """Packets written as a table and read with the source's schema."""
+    folder = f"{_work(spark)}/packets"
+    A.packets(spark, sf).select(*[F.col(f.name).cast(f.dataType) for f in PACKETS]).write.parquet(folder)
+    df = read_packets(spark, folder)
+    return df.groupBy("link_id", "protocol").agg(F.count(F.lit(1)).alias("packets"), F.sum("bytes").alias("bytes"),
+                                                 F.count_distinct("src_ip").alias("sources"), F.count_if("l4_ok").alias("complete"))
+
+
+def a2_counters_source(spark, sf):
+    """Counters of which one link's files lack a column; what is missing counts as 0."""
+    folder, df = f"{_work(spark)}/counters", A.counters(spark, sf)
+    kept = [F.col(f.name).cast(f.dataType) for f in COUNTER_SNAPSHOTS if f.name in df.columns]
+    df.select(*kept).filter("link_id = 'link0'").write.parquet(f"{folder}/a")
+    df.select(*kept).filter("link_id = 'link1'").drop("icmp_packets").write.parquet(f"{folder}/b")
+    out = read_counters(spark, f"{folder}/*")
+    return out.groupBy("link_id", "cpu").agg(F.sum("packets").alias("packets"), F.sum("tcp_packets").alias("tcp_packets"),
+                                             F.sum("icmp_packets").alias("icmp_packets"), F.sum("dropped_packets").alias("dropped_packets"))
+
+
+def a12_saved_model(spark, sf):
+    """What is known of a model that was saved and loaded, and the rows its root was fitted on."""
+    model, path, _, _ = _model(spark, sf, TREE)
+    _, meta = load_model(spark, path.rsplit("/", 1)[0])
+    nodes, kind = models.tree_nodes(spark, path)
+    return nodes.filter("node = 0").select(F.lit(meta["model_type"]).alias("model_type"), F.lit(kind).alias("kind"),
+                                           F.lit(len(model.stages)).alias("stages"), "rows")
+
+
 def a4_trimmed_columns(spark, sf):
     files = flow_files(spark, _flow_folder(spark, sf)).filter("reason is null")
     return files.select(F.explode("names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("files"))
@@ -1007,7 +1036,7 @@ def k3_stream_baseline(spark, sf):
 
 def k4_stream_scores(spark, sf):
     folder = _work(spark)
-    jobs.stream_scores(_streamed_packets(spark, sf), f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint",
+    jobs.stream_scores(_replayed_packets(spark, sf, folder), f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint",
                        CFG).awaitTermination()
     return _score_out(spark.read.parquet(f"{folder}/out"))
 
@@ -1029,6 +1058,31 @@ def _replayed_packets(spark, sf, folder):
     return traffic.admit(A.packets_of(jobs.replay(events, f"{folder}/in", jobs.time_slices("ts", *SLICES))))
 
 
+def k3_baseline_batches(spark, sf):
+    rates = jobs.stream_rates(_replayed_packets(spark, sf, _work(spark)), TICK_SECONDS)
+    df = _run(spark, processors.stream_baseline(rates, 40))
+    return _out(df, "link_id", "tick_start", "samples", "mean_pps", "std_pps", "pps_sigma", "change_rate")
+
+
+def _replayed_alerts(spark, sf, folder):
+    processors.use_rocksdb(spark)
+    return A.alert_candidates_of(jobs.replay(A.read(spark, sf, "events"), f"{folder}/in", jobs.time_slices("ts", *SLICES)))
+
+
+def k5_cooldown_batches(spark, sf):
+    df = processors.stream_cooldown(_replayed_alerts(spark, sf, _work(spark)), 3600.0, "ts")
+    return _out(_run(spark, df), "link_id", "type", "seq", "timestamp")
+
+
+def k11_alert_sink(spark, sf):
+    """Alerts appended batch by batch and read again."""
+    folder = _work(spark)
+    df = _replayed_alerts(spark, sf, folder).select(
+        F.col("ts").alias("timestamp"), "type", F.lit("medium").alias("severity"), F.concat("link_id", F.lit(" "), "seq").alias("message"))
+    jobs.alert_sink(df, f"{folder}/alerts", f"{folder}/checkpoint").awaitTermination()
+    return _out(read_alerts(spark, f"{folder}/alerts"), "timestamp", "type", "severity", "message")
+
+
 def _closed_loop(spark, sf):
     folder = _work(spark)
     q = jobs.run_closed_loop(_replayed_packets(spark, sf, folder), f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint", CFG)
@@ -1039,7 +1093,7 @@ def _closed_loop(spark, sf):
 def k6_closed_loop(spark, sf):
     """The alerts of a loop over five batches: what one batch's alerts block is dropped from the next batch on."""
     folder = _closed_loop(spark, sf)
-    return _out(spark.read.schema(ALERTS).json(f"{folder}/out/alerts"), "timestamp", "type", "severity", "message")
+    return _out(read_alerts(spark, f"{folder}/out/alerts"), "timestamp", "type", "severity", "message")
 
 
 def k6_loop_ticks(spark, sf):
@@ -1051,14 +1105,14 @@ def k6_loop_ticks(spark, sf):
 
 
 def k7_stream_profile(spark, sf):
-    rates = jobs.stream_rates(_streamed_packets(spark, sf), TICK_SECONDS)
+    rates = jobs.stream_rates(_replayed_packets(spark, sf, _work(spark)), TICK_SECONDS)
     df = _run(spark, processors.stream_profile(rates, CFG.learning_seconds))
     return _out(df, "link_id", "tick_start", "avg_pps", "peak_pps", "avg_bps", "peak_bps", "learning_samples")
 
 
 def k8_stream_features(spark, sf):
     folder = _work(spark)
-    jobs.stream_features(_streamed_packets(spark, sf), f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint",
+    jobs.stream_features(_replayed_packets(spark, sf, folder), f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint",
                          TICK_SECONDS, cfg=FEATURE_WINDOW).awaitTermination()
     return _out(spark.read.parquet(f"{folder}/out"), "link_id", "tick_start", *FEATURES)
 
