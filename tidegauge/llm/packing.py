@@ -60,9 +60,10 @@ def best_fit(lengths, capacity):
 class Encoder:
     """Ids of texts as the tokenizers library gives them, as little-endian unsigned 32-bit integers.
 
-    The vocabulary's own rules (composition, lower case, a cut at white space) act within the pieces between spaces, so
-    pieces are encoded once each. Pieces below U+0200, which composition cannot change and whose lower case is below U+0300, are
-    cut here and merged by the library's model; others, and pieces that may hold a special token, go to the library as they are.
+    The vocabulary's own rules (composition, lower case, a cut at white space) act within the pieces between spaces. Below
+    U+0200 composition changes nothing and lower case stays below U+0300, so such texts are cut into words here, and each
+    word is merged once by the library's model. In other texts this holds for the pieces without further characters; pieces
+    with them, or that may hold a special token, go to the library as they are.
     """
 
     def __init__(self, path):
@@ -70,10 +71,9 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        names = [t["content"] for t in spec["added_tokens"]]
-        self.local = _is_word_vocabulary(spec) and not any(re.search(r"\s", n) for n in names)
-        outside = r"[^\x00-\u012f\u0131-\u01ff]" + "".join("|" + re.escape(n) for n in names)
-        self.special = re.compile(outside).search
+        self.names = [t["content"] for t in spec["added_tokens"]]
+        self.local = _is_word_vocabulary(spec) and not any(re.search(r"\s", n) for n in self.names)
+        self.outside = re.compile(r"[^\x00-\u012f\u0131-\u01ff]").search
         self.cut = re.compile(_cut_pattern()).findall
         self.letters = dict(enumerate(byte_letters()))
         self.merge = self.library.model.tokenize
@@ -83,12 +83,14 @@ class Encoder:
         plain = word.isascii() and word.isprintable()
         return pack_ids([t.id for t in self.merge(word if plain else word.encode().decode("latin-1").translate(self.letters))])
 
+    def _plain(self, text):
+        return (text.isascii() or not self.outside(text)) and not any(n in text for n in self.names)
+
+    def _cut(self, text):
+        return b"".join(map(self.words.__getitem__, self.cut(text.lower())))
+
     def _piece(self, piece):
-        if self.special(piece):
-            return self._by_library(piece)
-        if piece.isalpha():
-            return self.words[piece.lower()]
-        return b"".join(map(self.words.__getitem__, self.cut(piece.lower())))
+        return self._cut(piece) if self._plain(piece) else self._by_library(piece)
 
     def _by_library(self, text):
         return pack_ids(self.library.encode(text, add_special_tokens=False).ids)
@@ -96,6 +98,8 @@ class Encoder:
     def encode(self, text):
         if not self.local:
             return self._by_library(text)
+        if self._plain(text):
+            return self._cut(text)
         return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
 
