@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from tidegauge.config import TrainingConfig
@@ -166,3 +167,23 @@ def test_only_fitting_rows_are_sampled(spark):
 def test_edges_of_ratios(spark):
     with pytest.raises(ValueError):
         learn.balance(spark.createDataFrame([("Syn",)], "label string"), 1.0)
+
+
+def test_a_forest_moves_rows_by_one_node_a_pass_and_stays_the_same(spark):
+    cfg = TrainingConfig(num_trees=5, max_depth=6)
+    made = learn._classifier(cfg)
+    assert made.getCacheNodeIds() and made.getMaxMemoryInMB() > 256
+    rows = learn.with_weights(learn._binary(separable(spark)), "code")
+    names = ["Flow Duration", "SYN Flag Count", "Flow Bytes/s"]
+    ready = Pipeline(stages=learn._stages(names, cfg)[:-1]).fit(rows).transform(rows)
+    plain = made.copy().setCacheNodeIds(False).setMaxMemoryInMB(256)
+    assert made.fit(ready).toDebugString.split("\n")[1:] == plain.fit(ready).toDebugString.split("\n")[1:]
+
+
+def test_rows_to_fit_on_are_spread_by_their_number(spark, monkeypatch):
+    seen, fit = [], learn.Pipeline.fit
+    monkeypatch.setattr(learn, "FIT_ROWS", 300, raising=False)
+    monkeypatch.setattr(learn.Pipeline, "fit", lambda self, df: (seen.append(df), fit(self, df))[1])
+    learn.train(separable(spark).coalesce(1), TrainingConfig("tree", max_depth=2))
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 310 and sum(sizes) == 1200
