@@ -95,3 +95,27 @@ def test_flow_files_say_what_was_left_out(spark, tmp_path):
     assert rows.columns == ["Flow Duration", "Label", "SYN Flag Count", "source_file"]
     assert sorted((r[0] or "", r[1], r[2] or "") for r in rows.collect()) == [("", "Syn", "9"), ("1", "BENIGN", ""), ("2", "Syn", "")]
     assert read_labelled_flows(spark, str(tmp_path), max_files=1).count() == 2
+
+
+def test_flow_files_of_several_sources_are_written_by_several_tasks(spark, tmp_path):
+    from tidegauge.sources.flows import flow_files
+    from tidegauge.verify import queries
+    n = F.col("id")
+    (spark.range(700).select(n.alias("l_orderkey"), n.alias("l_partkey"), n.alias("l_suppkey"), (n % 7 + 1).alias("l_linenumber"),
+                             (n % 50 + 1.0).alias("l_quantity"), (n + 0.5).alias("l_extendedprice"), F.lit(0.1).alias("l_discount"),
+                             F.lit(0.1).alias("l_tax"), F.lit("N").alias("l_returnflag")).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc = spark.sparkContext
+    sc.setJobGroup("flow files", "")
+    try:
+        folder = queries._flow_folder(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("flow files") for s in tracker.getJobInfo(j).stageIds]
+    # The table is one file, so only what is dealt out by source has more than one task.
+    assert max(s.numTasks for s in stages if s) == 4
+    read = flow_files(spark, folder).filter("reason is null").selectExpr("regexp_extract(file, 'source_file=(\\\\w+)', 1) as f")
+    assert sorted(r.f for r in read.collect()) == [f"file{i}" for i in range(1, 8)]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"

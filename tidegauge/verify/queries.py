@@ -603,8 +603,14 @@ def _flow_folder(spark, sf):
     folder, df = _work(spark), A.labelled_flows(spark, sf)
     padded = df.select(*[F.col(f"`{c}`").alias(f" {c}" if c != "source_file" else c) for c in df.columns])
     some = F.col("source_file") < "file5"
-    for name, rows in (("a", padded.filter(some)), ("b", padded.filter(~some).drop(" ACK Flag Count"))):
-        rows.repartition(1, "source_file").write.option("header", True).partitionBy("source_file").csv(f"{folder}/flows/{name}")
+    # A source is one file, so one task writes it, but no two sources need the same one. Files that are open side by side need no sort.
+    open_files, before = "spark.sql.maxConcurrentOutputFileWriters", spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    spark.conf.set(open_files, "64")
+    try:
+        for name, rows in (("a", padded.filter(some)), ("b", padded.filter(~some).drop(" ACK Flag Count"))):
+            rows.repartition("source_file").write.option("header", True).partitionBy("source_file").csv(f"{folder}/flows/{name}")
+    finally:
+        spark.conf.set(open_files, before)
     spark.createDataFrame([], "label string").coalesce(1).write.csv(f"{folder}/flows/empty")
     spark.createDataFrame([("1", "2")], "x string, y string").coalesce(1).write.option("header", True).csv(f"{folder}/flows/unlabelled")
     return f"{folder}/flows"
