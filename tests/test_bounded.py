@@ -109,3 +109,22 @@ def test_late_packets_over_many_batches(spark, tmp_path):
         reached = max([int(r["t"] * 1000) / 1000 for r in here] + [reached or 0])
     late = spark.read.parquet(f"{tmp_path}/late")
     assert len(want) > 50 and sorted(r.seq for r in late.collect()) == sorted(want)
+
+
+def test_totals_of_many_sources_lie_in_few_state_values(spark, tmp_path):
+    rows, idle = data(), 20.0
+    out = bounded.stream_totals(_stream(spark, rows, tmp_path, 4), "0 seconds", idle, shards=3)
+    jobs.totals_sink(out, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    want = {}
+    for r in sorted(rows, key=lambda r: r["t"]):
+        key = r["link"], r["src"]
+        old = want.get(key)
+        if old is None or r["t"] - old[1] >= idle:
+            old = r["t"], r["t"], 0, 0, 0, 0
+        syn, udp = r["proto"] == 6 and r["flags"] == 2, r["proto"] == 17
+        want[key] = old[0], r["t"], old[2] + 1, old[3] + r["size"], old[4] + syn, old[5] + udp
+    got = {(r.link_id, r.src_ip): r[2:] for r in jobs.read_totals(spark, f"{tmp_path}/out").select(*bounded.TOTALS.names).collect()}
+    assert {k: v[2:] for k, v in got.items()} == {k: v[2:] for k, v in want.items()}
+    base = min(v[0] for v in got.values()) - round(min(v[0] for v in want.values()) * 1e6)
+    assert all(abs(got[k][i] - base - v[i] * 1e6) < 2 for k, v in want.items() for i in (0, 1))
+    assert spark.read.format("statestore").option("stateVarName", "totals").load(f"{tmp_path}/cp").count() <= 2 * 3

@@ -6,6 +6,7 @@ of one link is spread and a shard's entries fit into one state value. The batch
 
 from collections import OrderedDict
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -158,36 +159,59 @@ def stream_bounded_table(packets: DataFrame, keys, delay: str, capacity: int = F
 
 
 class _Totals(StatefulProcessor):
-    """K2: running totals of a source; they start anew after a silence, and a timer then clears them."""
+    """K2: running totals of the sources of a shard; a source starts anew after a silence, and a timer then clears it.
+
+    A batch's rows of all sources of a shard are added up at once, and their totals lie in one state value.
+    """
 
     def __init__(self, idle):
         self.idle = idle
 
     def init(self, handle):
         self.handle = handle
-        self.totals = handle.getValueState("totals", StructType([StructField(n, LongType()) for n in _TOTALS]))
+        held = StructType([StructField("src_ip", LongType()), *[StructField(n, LongType()) for n in _TOTALS]])
+        self.totals = handle.getValueState("totals", StructType([StructField("sources", ArrayType(held))]))
+
+    def _load(self):
+        held = self.totals.get()
+        return {e[0]: tuple(e[1:]) for e in held[0]} if held else {}
+
+    def _save(self, held):
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if held:
+            self.totals.update(([(s, *e) for s, e in held.items()],))
+            self.handle.registerTimer(-(-(min(e[1] for e in held.values()) + self.idle) // 1000))
+        else:
+            self.totals.clear()
 
     def handleInputRows(self, key, rows, timerValues):
         frames = [r for r in rows if not r.empty]
         if not frames:
             return
-        new = pd.concat(frames).sort_values("t", kind="stable")
-        t = new["t"].to_numpy()
-        held = tuple(self.totals.get()) if self.totals.exists() else None
-        silent = (t[1:] - t[:-1] >= self.idle).nonzero()[0]
-        since = int(silent[-1]) + 1 if len(silent) else 0
-        if since or held is None or t[0] - held[1] >= self.idle:
-            held = (int(t[since]), int(t[since]), 0, 0, 0, 0)
-        part = new.iloc[since:]
-        held = (held[0], int(t[-1]), *(h + int(part[c].sum()) for h, c in zip(held[2:], _TOTALS[2:])))
-        self.totals.update(held)
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        self.handle.registerTimer(-(-(held[1] + self.idle) // 1000))
-        yield pd.DataFrame([(*key, *held)], columns=TOTALS.names)
+        new = pd.concat(frames).sort_values(["no_source", "src_ip", "t"], kind="stable")
+        none, source, t = (new[c].to_numpy() for c in ("no_source", "src_ip", "t"))
+        other = np.append(True, (source[1:] != source[:-1]) | (none[1:] != none[:-1]))
+        begins = np.flatnonzero(other)
+        ends = np.append(begins[1:], len(t))
+        starts = np.flatnonzero(other | np.append(True, t[1:] - t[:-1] >= self.idle))
+        since = starts[np.searchsorted(starts, ends) - 1]
+        sums = [np.append(0, np.cumsum(new[c].to_numpy())) for c in _TOTALS[2:]]
+        made = np.column_stack([t[since], t[ends - 1], *[c[ends] - c[since] for c in sums]]).tolist()
+        held, out = self._load(), []
+        for i, at, e in zip(begins.tolist(), since.tolist(), made):
+            src = None if none[i] else int(source[i])
+            old = held.get(src)
+            if at == i and old is not None and t[i] - old[1] < self.idle:
+                e = [old[0], e[1], *(a + b for a, b in zip(old[2:], e[2:]))]
+            held[src] = tuple(e)
+            out.append((key[0], src, *e))
+        self._save(held)
+        yield pd.DataFrame(out, columns=TOTALS.names).astype({"src_ip": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.totals.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        self._save({s: e for s, e in self._load().items() if -(-(e[1] + self.idle) // 1000) > now})
         yield pd.DataFrame([], columns=TOTALS.names)
 
     def close(self):
@@ -199,15 +223,20 @@ TOTALS = StructType([StructField("link_id", StringType()), StructField("src_ip",
                     + [StructField(n, LongType()) for n in _TOTALS])
 
 
-def stream_totals(packets: DataFrame, delay: str, idle_seconds: float) -> DataFrame:
+def stream_totals(packets: DataFrame, delay: str, idle_seconds: float, shards: int = 256) -> DataFrame:
     """K2: totals of every source that a batch touches, since its first packet or its last silence of ``idle_seconds``.
 
-    State of a source ends when the watermark has passed its silence, so it is bounded by the sources of that time.
+    State of a source ends when the watermark has passed its silence, so it is bounded by the sources of that time. The
+    sources of a link are dealt to ``shards`` state values by a hash.
     """
     from tidegauge.functions import columns as C
+    source = F.col("src_ip").cast("long")
+
+    def number(c):
+        return F.coalesce(c.cast("long"), F.lit(0)).cast("long")
     rows = packets.withWatermark("ts", delay).select(
-        "link_id", F.col("src_ip").cast("long").alias("src_ip"), "ts", F.unix_micros("ts").alias("t"),
-        F.lit(1).cast("long").alias("packets"), "bytes", C.is_syn().cast("long").alias("syn_count"),
-        (F.col("protocol") == C.UDP).cast("long").alias("udp_count"))
-    return rows.groupBy("link_id", "src_ip").transformWithStateInPandas(
+        "link_id", F.pmod(F.xxhash64(source), F.lit(shards)).cast("int").alias("shard"), source.isNull().alias("no_source"),
+        number(source).alias("src_ip"), "ts", F.unix_micros("ts").alias("t"), F.lit(1).cast("long").alias("packets"),
+        number(F.col("bytes")).alias("bytes"), number(C.is_syn()).alias("syn_count"), number(F.col("protocol") == C.UDP).alias("udp_count"))
+    return rows.groupBy("link_id", "shard").transformWithStateInPandas(
         _Totals(int(round(idle_seconds * 1_000_000))), TOTALS, "update", "EventTime")
