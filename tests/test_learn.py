@@ -187,3 +187,12 @@ def test_rows_to_fit_on_are_spread_by_their_number(spark, monkeypatch):
     learn.train(separable(spark).coalesce(1), TrainingConfig("tree", max_depth=2))
     sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) <= 310 and sum(sizes) == 1200
+
+
+def test_rows_to_fit_on_are_kept_while_they_are_read_again(spark, monkeypatch):
+    seen, fit = [], learn.Pipeline.fit
+    monkeypatch.setattr(learn.Pipeline, "fit", lambda self, df: (seen.append((df, df.storageLevel)), fit(self, df))[1])
+    learn.train(separable(spark), TrainingConfig("tree", max_depth=2))
+    (df, during), = seen
+    assert during.useDisk and not during.useMemory
+    assert not df.storageLevel.useDisk
