@@ -3,12 +3,13 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 import llm_brute as brute
-from tidegauge.llm import graph, jaccard, language, pii, repeats
+from tidegauge.llm import decontaminate, frames, graph, jaccard, language, pii, repeats, textbytes
 
 SF = "/root/testdata/sf0.001"
 
@@ -316,3 +317,22 @@ def test_pipeline_takes_odd_rows(spark, odd):
             df = stage(spark, df, SF)
             df.count()
         assert set(df.columns) >= {"doc_id", "n_tokens", "ids"}
+
+
+def test_spans_are_cut_without_a_second_python_worker(spark, capsys):
+    rows = [(1, "é ab ü cd", [(3, 5), (9, 11)]), (2, None, []), (3, "kept", []), (4, "all", [(0, 3)]), (5, "", [])]
+    scanned = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start:long,end:long>>")
+    out = decontaminate.remove_spans(scanned)
+    assert out.columns == scanned.columns
+    assert [r.text for r in out.orderBy("doc_id").collect()] == ["é  ü ", None, "kept", "", ""]
+    out.explain()
+    assert "InArrow" not in capsys.readouterr().out
+
+
+def test_freed_memory_goes_back_between_slices_and_after_the_last(monkeypatch):
+    seen = []
+    monkeypatch.setattr(frames, "release", lambda: seen.append(1), raising=False)
+    monkeypatch.setattr(textbytes, "release", lambda: seen.append(2), raising=False)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"])], names=["text"])
+    assert len(list(frames.parts([batch, batch], "text"))) == 2 and len(list(textbytes.chunks(batch.column("text")))) == 1
+    assert seen == [1, 1, 2]

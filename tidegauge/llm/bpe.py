@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tidegauge.llm.frames import extend, fields, parts, tidy, with_columns_of
+from tidegauge.llm.textbytes import release
 
 #: How byte-level vocabularies cut text before merging (fixed value; white space is Unicode's White_Space).
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -176,6 +177,10 @@ def encode(docs: DataFrame, vocabulary_path, text_col="text", decoded=False) ->
             if decoded:
                 made["decoded_text"] = pa.array([decode_ids(i, strings) for i in ids], pa.string())
             yield extend(batch, made)
+        encoder.words.clear()
+        encoder.words.old.clear()
+        encoder.rank.clear()
+        release()
 
     made = fields("n_tokens long, ids binary" + (", decoded_text string" if decoded else ""))
     return docs.mapInArrow(run, with_columns_of(docs, made))
