@@ -52,6 +52,14 @@ def test_merging_a_long_word_needs_no_square(library):
     assert bpe.Encoder(bpe.load_vocabulary(vocabulary())).encode(text) == ids_of(library, text)
 
 
+def test_pieces_of_letters_or_digits_need_no_pattern(library):
+    encoder, rng = bpe.Encoder(bpe.load_vocabulary(vocabulary())), random.Random(2)
+    pieces = ["".join(rng.choices(abc, k=rng.randint(1, 20))) for abc in ["abcdeinrst", "ABCabcxyz", "0123456789"] * 500]
+    want, cut = ids_of(library, " ".join(["a", *pieces])), encoder.cut
+    encoder.cut = lambda text: cut(text) if text == "a" else pytest.fail(f"{text!r} went through the pattern")
+    assert encoder.encode(" ".join(["a", *pieces])) == want
+
+
 def test_word_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "HELD_WORDS", 10)
     encoder = bpe.Encoder(bpe.load_vocabulary(vocabulary()))

@@ -5,11 +5,11 @@ leftmost of equal ones, and entries whose symbols have changed meanwhile are ski
 of the vocabulary. Words recur, so a task keeps the ids of those it met last.
 """
 
-import heapq
 import json
 import re
 import sys
 from array import array
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -64,10 +64,13 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tables):
-        self.first, self.special, self.pairs, self.made = (tables[k] for k in ("first", "special", "pairs", "made"))
+        self.first, self.special, self.made = (tables[k] for k in ("first", "special", "made"))
         self.rank = {}
-        for r, p in enumerate(self.pairs):
+        for r, p in enumerate(tables["pairs"]):
             self.rank.setdefault(p, r)
+        first = self.first
+        self.start = [-1 if r is None else r << _AT for r in (self.rank.get(first[a] << 20 | first[b])
+                                                              for a in range(256) for b in range(256))]
         self.cut = regex.compile(PATTERN).findall
         names = sorted(self.special, key=len, reverse=True)
         self.stops = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
@@ -75,30 +78,40 @@ class Encoder:
         self.words = _Words(self)
 
     def merge(self, word: bytes) -> list[int]:
-        first, rank, pairs, made = self.first, self.rank.get, self.pairs, self.made
+        """``live`` has the heap's entry for the pair that begins at each place, -1 if there is none: others are stale."""
+        start = self.start
+        live = [start[a << 8 | b] | i for i, (a, b) in enumerate(zip(word, word[1:]))]
+        heap = [x for x in live if x >= 0]
+        first = self.first
         ids = [first[b] for b in word]
-        n = len(ids)
-        heap = [r << _AT | i for i in range(n - 1) if (r := rank(ids[i] << 20 | ids[i + 1])) is not None]
         if not heap:
             return ids
-        heapq.heapify(heap)
-        pop, push = heapq.heappop, heapq.heappush
+        live.append(-1)
+        rank, made, n = self.rank.get, self.made, len(ids)
+        heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            x = pop(heap)
-            r, i = x >> _AT, x & _PLACE
-            j = after[i]
-            if j == n or ids[i] << 20 | ids[j] != pairs[r]:
+            x = heappop(heap)
+            i = x & _PLACE
+            if live[i] != x:
                 continue
-            ids[i], ids[j] = made[r], -1
+            j = after[i]
+            ids[i] = new = made[x >> _AT]
+            ids[j] = -1
+            live[i] = live[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (s := rank(ids[i] << 20 | ids[k])) is not None:
-                    push(heap, s << _AT | i)
+                if (s := rank(new << 20 | ids[k])) is not None:
+                    live[i] = s = s << _AT | i
+                    heappush(heap, s)
             h = before[i]
-            if h >= 0 and (s := rank(ids[h] << 20 | ids[i])) is not None:
-                push(heap, s << _AT | h)
+            if h >= 0:
+                if (s := rank(ids[h] << 20 | new)) is not None:
+                    live[h] = s = s << _AT | h
+                    heappush(heap, s)
+                else:
+                    live[h] = -1
         return [x for x in ids if x >= 0]
 
     def fresh(self, text: str) -> bytes:
@@ -109,6 +122,12 @@ class Encoder:
         return b"".join([self.words[w[1:]] if w[0] == " " and w[1:].strip() == w[1:] != ""
                          else pack(self.merge(w.encode())) for w in words])
 
+    def piece(self, text: str) -> bytes:
+        """Ids of a space and a text without white space at its ends. ASCII letters or digits are one word of the pattern."""
+        if text.isascii() and (text.isalpha() or text.isdigit()):
+            return pack(self.merge(b" " + text.encode()))
+        return self.fresh(" " + text)
+
     def encode(self, text: str) -> bytes:
         """A special token's string in the text is that token."""
         if self.stops is None or not self.stops.search(text):
@@ -145,7 +164,7 @@ class _Words(dict):
         if ids is None:
             if not piece or piece[0].isspace() or piece[-1].isspace():
                 raise _Spaces
-            ids = self.encoder.fresh(" " + piece)
+            ids = self.encoder.piece(piece)
         if len(self) >= HELD_WORDS:
             self.old = dict(self)
             self.clear()
