@@ -3,6 +3,7 @@
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tidegauge.llm import alignment
@@ -104,3 +105,13 @@ def test_empty_tables_and_other_columns(spark):
     assert aligned(spark, [], ddl) == ([], set())
     got, _ = aligned(spark, [(1, "hello", "no", "x", 5, "y", 1, "z"), (2, None, None, None, None, None, None, None)], ddl)
     assert [r[0] for r in got] == ["1", "2"] and got[0][1] > 0 and got[1][1:] == (0, 0, 0, 0, 0, 0, "")
+
+
+def test_cuts_and_links_of_flat_tokens():
+    """Places come from one join on one number, and what overlaps from one search: tokens of a are "ab", "c" and "d", of b "a", "bc" and "d"."""
+    sizes = pa.array([1, 2], pa.int64())
+    a, b = (alignment.Tokens(pa.array(ids, pa.list_(pa.int32())), sizes) for ids in ([[1, 0], [0]], [[0, 1], [0]]))
+    in_a, in_b = alignment.cuts(a, b)
+    assert in_a.tolist() == in_b.tolist() == [False, True, True]
+    i, j = alignment.links(a, b, in_a)
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 0), (0, 1), (1, 1), (2, 2)]

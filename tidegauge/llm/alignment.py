@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.acero as acero
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -66,11 +67,12 @@ class PieceTokens:
     def __init__(self, path):
         import sentencepiece
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.encode_all = getattr(self.model, "encode_as_numpy", self.model.encode)  # without a list of numbers in between
         pieces = [(self.model.id_to_piece(i), self.model.is_byte(i)) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if is_byte else p.replace("▁", " ").encode() for p, is_byte in pieces]
 
     def encode(self, texts):
-        return [np.array(ids, np.int32) for ids in self.model.encode(texts, num_threads=1)]
+        return [np.asarray(ids, np.int32) for ids in self.encode_all(texts, num_threads=1)]
 
 
 def _lists(arrays):
@@ -108,20 +110,27 @@ class Tokens:
 
 def cuts(a: Tokens, b: Tokens):
     """Flags of the tokens of either side that end where a token of the other side ends, too."""
-    left = pa.table({"text": a.text, "end": a.end, "i": np.arange(len(a))})
-    right = pa.table({"text": b.text, "end": b.end, "j": np.arange(len(b))})
-    met = left.join(right, ["text", "end"], join_type="inner", use_threads=False)
+    left, right = (pa.table({"at": t.text.to_numpy().astype(np.int64) << 40 | t.end, n: np.arange(len(t), dtype=np.int32)})
+                   for t, n in ((a, "i"), (b, "j")))
+    # (text, end) is one number, and only the places are handed out: a table's own join would copy the keys, too.
+    join = acero.Declaration("hashjoin", acero.HashJoinNodeOptions("inner", ["at"], ["at"], ["i"], ["j"]), inputs=[
+        acero.Declaration("table_source", acero.TableSourceNodeOptions(t)) for t in (left, right)])
+    met = join.to_table(use_threads=False)
     in_a, in_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     in_a[met.column("i").to_numpy()] = True
     in_b[met.column("j").to_numpy()] = True
     return in_a, in_b
 
 
-def links(a: Tokens, b: Tokens):
-    """(token of a, token of b) of all pairs whose byte ranges overlap. Both sides cover the same bytes of the chunk."""
-    starts = np.concatenate([[0], a.until[:-1]]) if len(a) else a.until
-    first = np.searchsorted(b.until, starts, side="right")
+def links(a: Tokens, b: Tokens, in_a):
+    """(token of a, token of b) of all pairs whose byte ranges overlap. Both sides cover the same bytes of the chunk.
+
+    A token has at least a byte, so what a token of a begins with is where the one before it ended, or the next token of b
+    if both ended together (``in_a``).
+    """
     last = np.searchsorted(b.until, a.until, side="left")
+    first = np.zeros_like(last)
+    first[1:] = (last + in_a)[:-1]
     n = last - first + 1
     i = np.repeat(np.arange(len(a)), n)
     return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
@@ -198,7 +207,7 @@ def _tokenize(batches, a_path, b_path, arrow):
         row += len(ids)
         pa.default_memory_pool().release_unused()
         if len(a):
-            i, j = links(a, b)
+            i, j = links(a, b, in_a)
             held.append(_document_counts(a.text.to_numpy()[i], _keys(a, b, i, j)))
             n_held += held[-1].num_rows
         if n_held >= HELD_PAIRS:
@@ -324,14 +333,13 @@ def _count(batches, seen, arrow):
             a, b = Tokens(part.column("a"), a_sizes), Tokens(part.column("b"), b_sizes)
             n = part.num_rows
             in_a, in_b = (_unpacked(part.column(c), t.offsets) for c, t in (("a_cut", a), ("b_cut", b)))
-            i, j = links(a, b)
+            i, j = links(a, b, in_a)
             text, key = a.text.to_numpy()[i], _keys(a, b, i, j)
             place = places.find(key)
             known = place >= 0
-            # Counts add up exactly: links of one text to their known pairs.
-            sums, bests = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            np.add.at(sums, text[known], counts[place[known]])
-            np.add.at(bests, text[known], best[place[known]])
+            # Counts add up exactly: links of one text, which stand together, to their known pairs.
+            until = np.searchsorted(text, np.arange(n + 1))
+            sums, bests = (_sums(np.where(known, v[place], 0), until) if len(v) else np.zeros(n, np.int64) for v in (counts, best))
             rest = _lists_of(text[~known], key[~known], n)
             n_a, n_b = np.diff(a.offsets), np.diff(b.offsets)
             groups, n_groups = _groups(a, b, in_a, in_b, names, n)
@@ -341,6 +349,11 @@ def _count(batches, seen, arrow):
         pa.default_memory_pool().release_unused()
 
 
+def _sums(values, until):
+    """Sums of consecutive groups, as longs."""
+    return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[until])
+
+
 def _bounded(batch):
     """Slices with a bounded number of tokens; a longer text stands alone."""
     size = np.cumsum(pc.list_value_length(batch.column("a")).to_numpy())
