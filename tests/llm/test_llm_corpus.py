@@ -56,6 +56,18 @@ def test_groups(spark, texts, monkeypatch, small):
     assert got == dict(enumerate(brute.groups(texts)))
 
 
+def test_pivots_that_connect_nothing_end_the_rounds(spark, monkeypatch):
+    """Neighbours share half of their shingles: they meet, and no pivot links."""
+    rounds, new_pivots = [], jaccard._new_pivots
+    monkeypatch.setattr(jaccard, "SMALL", 0)
+    monkeypatch.setattr(jaccard, "_new_pivots", lambda live, salt: rounds.append(salt) or new_pivots(live, salt))
+    blocks = [" ".join(f"w{b}x{i}" for i in range(20)) for b in range(6)]
+    texts = [f"{blocks[b]} {blocks[(b + 1) % 6]}" for b in range(6)]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(as_docs(spark, texts)).collect()}
+    assert all(i == c for i, c in got.items()) and len(got) == 6
+    assert rounds == [0]
+
+
 def test_tokens_of_very_many_sets(spark, texts, monkeypatch):
     """Every bin counts as hot, so the pivots are added up and joined back."""
     monkeypatch.setattr(jaccard, "HOT", -10**9)
