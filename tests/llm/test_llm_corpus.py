@@ -80,6 +80,19 @@ def test_one_of_each_group_stays(spark, texts):
     assert {r.doc_id for r in out.collect()} == {g for _, g in brute.groups(texts)}
 
 
+def test_texts_stay_where_they_are_when_near_duplicates_go(spark, texts):
+    """However large a table Spark takes for too large to broadcast: the list of rows that go is counted."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_near_duplicates(spark, as_docs(spark, texts), SF)
+        assert out.columns == ["doc_id", "text"]
+        assert sorted(map(tuple, out.collect())) == [(i, texts[i]) for i in sorted({g for _, g in brute.groups(texts)})]
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_similar_odd_rows(odd):
     rows = jaccard.near_duplicates(odd).collect()
     assert len(rows) == odd.count() and all(r.n_shingles == len(brute.shingles(r.text)) for r in rows)
